@@ -7,4 +7,5 @@ from tessera.catalog import (  # noqa: F401  (registration side effects)
     q_impute,
     q_outliers,
     q_profile,
+    q_scale_select,
 )
