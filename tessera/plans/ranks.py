@@ -11,9 +11,25 @@ coalescing, so the result equals the global rank.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
+
+def _consistent(d: DataFrame, build):
+    """Both branches (per-partition counts and the numbered rows) must see
+    the same range partitioning. Two separate range exchanges would sample
+    their bounds independently, so ``d`` is persisted (one shuffle, one
+    fixed partitioner, also on recompute after executor loss), the result
+    is written with a reliable checkpoint, and the cache is released."""
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(build(d))
+    finally:
+        d.unpersist()
+
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "rank0",
                       partitions: int | None = None) -> DataFrame:
@@ -22,12 +38,49 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rank0",
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    d = df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id())
-    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*cols)))
-    counts = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
-    offs = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__c").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"))
-    return (d.join(F.broadcast(offs), "__pid")
-             .select(*df.columns, (F.col("__off") + F.col("__rn") - 1).alias(out)))
+    d0 = df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id())
+
+    def build(d):
+        d = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*cols)))
+        counts = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+        offs = counts.select(
+            "__pid",
+            F.coalesce(F.sum("__c").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0)).alias("__off"))
+        return (d.join(F.broadcast(offs), "__pid")
+                 .select(*df.columns, (F.col("__off") + F.col("__rn") - 1).alias(out)))
+    return _consistent(d0, build)
+
+
+def running_totals(df: DataFrame, order_cols: list, value_cols: list, group_cols: list = (),
+                   partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Append inclusive running sums of ``value_cols`` in ``order_cols``
+    order within ``group_cols`` (rows must be unique on group+order).
+
+    Same idea as ``global_row_number``: range-partition on (group, order),
+    running sums inside each partition, then add the totals of earlier
+    partitions of the same group (a table of partitions x groups rows).
+    A hot group spans many partitions instead of landing in one task.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = list(group_cols)
+    ordering = [F.col(c) for c in groups] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    d0 = df.repartitionByRange(n, *ordering).withColumn("__pid", F.spark_partition_id())
+    return _consistent(d0, lambda d: _running(d, df, order_cols, value_cols, groups, prefix))
+
+
+def _running(d, df, order_cols, value_cols, groups, prefix):
+    w = (Window.partitionBy("__pid", *groups).orderBy(*[F.col(c) if isinstance(c, str) else c
+                                                         for c in order_cols])
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    for v in value_cols:
+        d = d.withColumn(f"__r_{v}", F.sum(F.col(v)).over(w))
+    tot = d.groupBy("__pid", *groups).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    wo = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) \
+        if groups else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("__pid", *groups, *[F.coalesce(F.sum(f"__t_{v}").over(wo), F.lit(0)).alias(f"__o_{v}")
+                                          for v in value_cols])
+    j = d.join(F.broadcast(offs), ["__pid", *groups])
+    return j.select(*df.columns, *[(F.col(f"__r_{v}") + F.col(f"__o_{v}")).alias(f"{prefix}{v}")
+                                   for v in value_cols])
