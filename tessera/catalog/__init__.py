@@ -9,4 +9,5 @@ from tessera.catalog import (  # noqa: F401  (registration side effects)
     q_outliers,
     q_profile,
     q_scale_select,
+    q_sources,
 )
