@@ -6,6 +6,7 @@ from tessera.catalog import (  # noqa: F401  (registration side effects)
     q_charts_eval,
     q_encode,
     q_impute,
+    q_models,
     q_outliers,
     q_profile,
     q_scale_select,

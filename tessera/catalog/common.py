@@ -64,3 +64,10 @@ def lineitem_typed(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                      "l_returnflag", (F.col("l_linestatus") == "O").cast("int").alias("is_open"))
+
+
+def exact_line_total():
+    """sum(price * (1 - discount) * (1 + tax)) in DECIMAL, so the total does
+    not depend on summation order (identical in Spark and the oracle)."""
+    d = lambda c: F.col(c).cast("decimal(15,2)")
+    return F.sum(d("l_extendedprice") * (1 - d("l_discount")) * (1 + d("l_tax"))).cast("double")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.common import round_doubles
+from tessera.catalog.common import exact_line_total as _exact_line_total, round_doubles
 from tessera.catalog.registry import register, table
 from tessera.functions.exprs import md5_bucket
 from tessera.operators import browse as B
@@ -280,12 +280,12 @@ def _reg_pred(spark, d):
     li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     s = li.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("pred"))
+        _exact_line_total().alias("pred"))
     return o.join(s, o.o_orderkey == s.l_orderkey).select("o_orderkey", F.col("o_totalprice").alias("y"), "pred")
 
 
 REG = """WITH rp AS (SELECT o.o_orderkey, o.o_totalprice AS y, s.pred FROM orders o JOIN
-   (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS pred FROM lineitem GROUP BY l_orderkey) s
+   (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2))) * (1 + CAST(l_tax AS DECIMAL(15,2))))::DOUBLE AS pred FROM lineitem GROUP BY l_orderkey) s
    ON o.o_orderkey = s.l_orderkey)
 """
 

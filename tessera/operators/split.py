@@ -11,6 +11,8 @@ one task and only (classes x 65,536) counts reach the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def _class_thresholds(yh: DataFrame, fraction: float) -> dict:
     want, chosen = {}, {}
     for y, buckets in per.items():
         n = sum(c for _, c in buckets)
-        k = int(round(fraction * n))
+        k = int(math.ceil(fraction * n))     # test share rounds up, as scikit-learn does
         want[y] = k
         acc = 0
         for b, c in sorted(buckets):
