@@ -28,6 +28,7 @@ class FeatureTypes:
     continuous: list = field(default_factory=list)
     non_numeric: list = field(default_factory=list)
     n_unique: dict = field(default_factory=dict)
+    profile: dict = field(default_factory=dict)   # HLL estimates + non-null counts
 
     def type_of(self, c: str) -> str | None:
         for name in ("binary", "low_cardinality", "continuous", "non_numeric"):
@@ -43,7 +44,9 @@ def classify_features(df: DataFrame, target=None, exact: bool = False) -> Featur
     ft = FeatureTypes()
     numeric = [f.name for f in df.schema.fields
                if f.name not in skip and is_numeric_type(f.dataType)]
-    nun = distinct_counts(df, numeric, cap=None if exact else LOW_CARD_MAX)
+    prof: dict = {}
+    nun = distinct_counts(df, numeric, cap=None if exact else LOW_CARD_MAX, profile=prof)
+    ft.profile = prof
     for f in df.schema.fields:
         if f.name in skip:
             continue
@@ -96,7 +99,8 @@ class IQRPlan:
 
 def iqr_plan(df: DataFrame, multiplier: float = 1.5, exclude=None) -> IQRPlan:
     ft = classify_features(df, exclude)
-    q = quantiles(df, ft.continuous, [0.25, 0.75])
+    q = quantiles(df, ft.continuous, [0.25, 0.75], counts=ft.profile.get("counts"),
+                  distinct=ft.profile.get("distinct"))
     bounds, quart, zero = {}, {}, []
     for c in ft.continuous:
         q1, q3 = q[c]

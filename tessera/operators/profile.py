@@ -86,11 +86,13 @@ def missing_profile_rows(df: DataFrame, cols=None, rule: str = IMPUTE_RULE,
         exprs[f"m:{c}"] = F.count_if(F.col(c).isNull())
         if is_numeric_type(df.schema[c].dataType):
             exprs[f"s:{c}"] = adjusted_skewness(c)
+            exprs[f"d:{c}"] = F.approx_count_distinct(F.col(c).cast("double"))
     st = aggregate(df, exprs)
     n = st["__n"]
     chosen = [c for c in cols if not only_missing or st[f"m:{c}"] > 0]
     num = [c for c in chosen if is_numeric_type(df.schema[c].dataType) and st[f"m:{c}"] < n]
-    q = quantiles(df, num, [0.25, 0.75], counts={c: n - st[f"m:{c}"] for c in num})
+    q = quantiles(df, num, [0.25, 0.75], counts={c: n - st[f"m:{c}"] for c in num},
+                  distinct={c: st[f"d:{c}"] for c in num})
     oexpr = {}
     for c in num:
         q1, q3 = q[c]

@@ -32,6 +32,7 @@ CLASSIFIERS = ["logistic_regression", "random_forest", "decision_tree", "svm", "
 REGRESSORS = ["linear_regression", "random_forest_regressor", "gradient_boosting_regressor", "svr"]
 
 FOREST_DEPTH = 12        # Spark needs a bound (reference: unlimited, Spark max 30)
+TREE_MEMORY_MB = 1024    # node statistics per pass: fewer passes over the data for deep forests
 RFF_DIM = 64             # random Fourier features for the RBF-kernel re-aim
 SEED = 42
 
@@ -81,28 +82,31 @@ def rff_columns(df: DataFrame, features: list[str], dim: int = RFF_DIM, seed: in
 
 
 # ------------------------------------------------------------------ models
+_TREE_OPTS = {"maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": True}
+
+
 def make_estimator(name: str, n_classes: int = 2, seed: int = SEED):
     """Spark ML estimator for a model key (features -> 'features',
     label -> 'label')."""
     if name == "logistic_regression":
         return LogisticRegression(maxIter=1000)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed)
+        return RandomForestClassifier(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=FOREST_DEPTH, seed=seed)
+        return DecisionTreeClassifier(maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
     if name == "svm":
         return OneVsRest(classifier=LinearSVC(maxIter=100)) if n_classes > 2 else LinearSVC(maxIter=100)
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "gradient_boosting":
-        g = GBTClassifier(maxIter=100, seed=seed)
+        g = GBTClassifier(maxIter=100, seed=seed, **_TREE_OPTS)
         return OneVsRest(classifier=g) if n_classes > 2 else g
     if name == "linear_regression":
         return LinearRegression()
     if name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed)
+        return RandomForestRegressor(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
     if name == "gradient_boosting_regressor":
-        return GBTRegressor(maxIter=100, seed=seed)
+        return GBTRegressor(maxIter=100, seed=seed, **_TREE_OPTS)
     if name == "svr":
         return LinearRegression(loss="huber", maxIter=100)
     raise ValueError(f"unknown model {name!r}")

@@ -61,7 +61,7 @@ def _interp(lo_v, hi_v, frac):
 
 
 def quantiles(df: DataFrame, cols: Iterable[str], probs: Iterable[float],
-              counts: dict | None = None,
+              counts: dict | None = None, distinct: dict | None = None,
               exact_distinct_limit: int = EXACT_DISTINCT_LIMIT,
               accuracy: int = APPROX_ACCURACY,
               collect_limit: int = BRACKET_COLLECT_LIMIT) -> dict[str, list]:
@@ -69,6 +69,8 @@ def quantiles(df: DataFrame, cols: Iterable[str], probs: Iterable[float],
     ``percentile_cont``) of every column, NULLs ignored.
 
     Returns ``{col: [q(p) for p in probs]}``; ``None`` for all-null columns.
+    ``counts`` (non-null rows) and ``distinct`` (HyperLogLog estimates) from
+    an earlier pass let the pre-pass be skipped.
     """
     cols = list(dict.fromkeys(cols))
     probs = [float(p) for p in probs]
@@ -79,8 +81,11 @@ def quantiles(df: DataFrame, cols: Iterable[str], probs: Iterable[float],
     for c in cols:
         if counts is None or c not in counts:
             pre[f"n:{c}"] = F.count(x[c])
-        pre[f"d:{c}"] = F.approx_count_distinct(x[c])
-    stats = aggregate(df, pre)
+        if distinct is None or c not in distinct:
+            pre[f"d:{c}"] = F.approx_count_distinct(x[c])
+    stats = aggregate(df, pre) if pre else {}
+    if distinct:
+        stats.update({f"d:{c}": distinct[c] for c in cols if c in distinct})
     n = {c: (counts[c] if counts and c in counts else stats[f"n:{c}"]) for c in cols}
 
     result: dict[str, list] = {}
@@ -252,7 +257,8 @@ def modes(df: DataFrame, cols: Iterable[str]) -> dict:
     return out
 
 
-def distinct_counts(df: DataFrame, cols: Iterable[str], cap: int | None = None) -> dict[str, int]:
+def distinct_counts(df: DataFrame, cols: Iterable[str], cap: int | None = None,
+                    profile: dict | None = None) -> dict[str, int]:
     """Distinct non-null values per column.
 
     With ``cap``, columns whose HyperLogLog estimate is far above it are
@@ -266,7 +272,11 @@ def distinct_counts(df: DataFrame, cols: Iterable[str], cap: int | None = None)
     out: dict[str, int] = {}
     exact_cols = cols
     if cap is not None:
-        est = aggregate(df, {c: F.approx_count_distinct(F.col(c), 0.01) for c in cols})
+        got = aggregate(df, {**{c: F.approx_count_distinct(F.col(c), 0.01) for c in cols},
+                             **{f"n:{c}": F.count(F.col(c)) for c in cols}})
+        est = {c: got[c] for c in cols}
+        if profile is not None:      # hand the same pass to quantile planning
+            profile.update({"distinct": est, "counts": {c: got[f"n:{c}"] for c in cols}})
         exact_cols = [c for c in cols if est[c] <= 2 * cap + 32]
         for c in cols:
             if c not in exact_cols:
