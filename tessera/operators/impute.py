@@ -14,7 +14,7 @@ from tessera.functions.columns import is_numeric_type
 from tessera.operators.clean import UNKNOWN, apply_fills
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.operators.profile import missing_profile_rows
-from tessera.plans.stats import aggregate, modes, quantiles
+from tessera.plans.stats import aggregate, modes, quantiles, stats_input
 
 METHODS = ("mean", "median", "most_frequent", "constant", "knn", "iterative")
 MEAN_LIKE = ("mean", "knn", "iterative")   # knn / iterative on one column = mean
@@ -29,6 +29,11 @@ def recommend_imputation(df: DataFrame, rule: str = "analysis") -> dict[str, str
 def imputation_fills(df: DataFrame, config: dict | None = None, constants: dict | None = None,
                      rule: str = "analysis") -> dict:
     """Resolve a fill value for every column that has NULLs (IMP8)."""
+    with stats_input(df) as s:
+        return _imputation_fills(s, config, constants, rule)
+
+
+def _imputation_fills(df, config, constants, rule):
     config = dict(config or {})
     constants = dict(constants or {})
     nulls = aggregate(df, {c: F.count_if(F.col(c).isNull()) for c in df.columns})

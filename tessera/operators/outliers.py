@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import _as_set, as_list, is_integral_type, is_numeric_type
-from tessera.plans.stats import aggregate, distinct_counts, quantiles
+from tessera.plans.stats import aggregate, distinct_counts, quantiles, stats_input
 
 BINARY_MAX = 2       # <= 2 distinct -> binary
 LOW_CARD_MAX = 10    # 3..10 distinct -> low cardinality; above -> continuous
@@ -98,9 +98,13 @@ class IQRPlan:
 
 
 def iqr_plan(df: DataFrame, multiplier: float = 1.5, exclude=None) -> IQRPlan:
-    ft = classify_features(df, exclude)
-    q = quantiles(df, ft.continuous, [0.25, 0.75], counts=ft.profile.get("counts"),
-                  distinct=ft.profile.get("distinct"))
+    skip = _as_set(exclude)
+    num = [f.name for f in df.schema.fields if f.name not in skip and is_numeric_type(f.dataType)]
+    with stats_input(df, num) as s:
+        ft = classify_features(s)
+        q = quantiles(s, ft.continuous, [0.25, 0.75], counts=ft.profile.get("counts"),
+                      distinct=ft.profile.get("distinct"))
+    ft.non_numeric = [f.name for f in df.schema.fields if f.name not in skip and f.name not in num]
     bounds, quart, zero = {}, {}, []
     for c in ft.continuous:
         q1, q3 = q[c]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import (dtype_name, is_float_type, is_integral_type,
                                        is_numeric_type)
 from tessera.functions.exprs import adjusted_skewness
-from tessera.plans.stats import aggregate, distinct_counts, quantiles
+from tessera.plans.stats import aggregate, distinct_counts, quantiles, stats_input
 
 
 def _any_null(df: DataFrame):
@@ -81,6 +81,11 @@ def missing_profile_rows(df: DataFrame, cols=None, rule: str = IMPUTE_RULE,
     column), ordered by missing % descending (stable on column order).
     """
     cols = list(cols) if cols is not None else list(df.columns)
+    with stats_input(df, cols) as s:
+        return _missing_profile_rows(s, cols, rule, only_missing)
+
+
+def _missing_profile_rows(df, cols, rule, only_missing):
     exprs = {"__n": F.count(F.lit(1))}
     for c in cols:
         exprs[f"m:{c}"] = F.count_if(F.col(c).isNull())

@@ -11,9 +11,9 @@ few scans as possible, keeping each aggregate's state bounded:
   distinct values is small enough for its value->count map; otherwise an
   approximate-bracket refinement narrows each requested rank until the
   bracket is small, then reads it exactly (same result, bounded state);
-* modes and exact distinct counts use one exploded ``(column, value)``
-  aggregation (map-side combine, one shuffle for all columns) instead of
-  one holistic aggregate per column.
+* modes and exact distinct counts use one ``groupBy`` per column, unioned
+  into one job (each branch reads only its column and combines map-side)
+  instead of one holistic, single-task aggregate per column.
 
 Only a few numbers per column ever reach the driver.
 """
@@ -30,11 +30,43 @@ from pyspark.sql import types as T
 from tessera.functions.columns import is_float_type, is_integral_type
 
 AGG_CHUNK = 120                 # aggregate expressions per generated plan
-EXACT_DISTINCT_LIMIT = 1_000_000  # percentile() map size we accept per column
+EXACT_DISTINCT_LIMIT = 50_000   # percentile() map size we accept per column
 APPROX_ACCURACY = 10_000         # approx_percentile accuracy during refinement
 BRACKET_COLLECT_LIMIT = 100_000  # values read exactly once a bracket is this small
 
 
+# ------------------------------------------------------------ pass inputs
+class stats_input:
+    """Context for an operator that scans its input several times.
+
+    Input that is a plain scan is re-read each pass (column-pruned parquet
+    is cheap and needs no memory). Input whose plan contains a shuffle (a
+    join or aggregation upstream) is persisted, pruned to the needed
+    columns, for the duration of the passes and released afterwards, so the
+    upstream shuffle runs once instead of once per pass.
+    """
+
+    def __init__(self, df: DataFrame, cols=None):
+        self.df = df.select(*cols) if cols is not None else df
+        self.cached = False
+
+    def __enter__(self) -> DataFrame:
+        try:
+            plan = self.df._jdf.queryExecution().executedPlan().toString()
+        except Exception:  # noqa: BLE001 - be conservative: no caching
+            plan = ""
+        if "Exchange" in plan:
+            from pyspark import StorageLevel
+            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.cached = True
+        return self.df
+
+    def __exit__(self, *exc):
+        if self.cached:
+            self.df.unpersist()
+        return False
+
+
 # ---------------------------------------------------------------- plain aggs
 def aggregate(df: DataFrame, exprs: dict[str, Column], chunk: int = AGG_CHUNK) -> dict:
     """Evaluate named aggregate expressions over the whole table.
@@ -196,37 +228,31 @@ def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit):
 
 
 # --------------------------------------------------- exploded value counting
-def _value_struct(df: DataFrame, cols: list[str]) -> Column:
-    """array<struct<i, lv, dv, sv>> with one element per column, typed so
-    that ordering stays numeric for numbers and binary for text."""
-    elems = []
+def _exploded_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, lv, dv, sv, cnt) for every non-null value of every column.
+
+    One ``groupBy`` per column, unioned into a single job: each branch reads
+    only its own column (column pruning) and is partially aggregated before
+    its shuffle, so hot values collapse map-side.
+    """
+    branches = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        lv = dv = sv = None
-        if is_integral_type(dt):
-            lv = F.col(c).cast("long")
-        elif isinstance(dt, T.BooleanType):
-            lv = F.col(c).cast("long")
+        v = F.col(c)
+        g = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+        nul = {"lv": F.lit(None).cast("long"), "dv": F.lit(None).cast("double"), "sv": F.lit(None).cast("string")}
+        if is_integral_type(dt) or isinstance(dt, T.BooleanType):
+            nul["lv"] = F.col("v").cast("long")
         elif is_float_type(dt):
-            dv = F.col(c).cast("double")
+            nul["dv"] = F.col("v").cast("double")
         else:
-            sv = F.col(c).cast("string")
-        elems.append(F.struct(
-            F.lit(i).alias("i"),
-            (lv if lv is not None else F.lit(None).cast("long")).alias("lv"),
-            (dv if dv is not None else F.lit(None).cast("double")).alias("dv"),
-            (sv if sv is not None else F.lit(None).cast("string")).alias("sv"),
-            F.col(c).isNull().alias("isnull"),
-        ))
-    return F.array(*elems)
-
-
-def _exploded_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, lv, dv, sv, cnt) for every non-null value of every column.
-    Partial aggregation collapses hot values before the shuffle."""
-    e = df.select(F.explode(_value_struct(df, cols)).alias("e")).select("e.*")
-    return (e.where(~F.col("isnull"))
-             .groupBy("i", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("cnt")))
+            nul["sv"] = F.col("v").cast("string")
+        branches.append(g.select(F.lit(i).alias("i"), nul["lv"].alias("lv"), nul["dv"].alias("dv"),
+                                 nul["sv"].alias("sv"), "cnt"))
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionAll(b)
+    return out
 
 
 def _decode(df: DataFrame, c: str, lv, dv, sv):
@@ -272,7 +298,7 @@ def distinct_counts(df: DataFrame, cols: Iterable[str], cap: int | None = None,
     out: dict[str, int] = {}
     exact_cols = cols
     if cap is not None:
-        got = aggregate(df, {**{c: F.approx_count_distinct(F.col(c), 0.01) for c in cols},
+        got = aggregate(df, {**{c: F.approx_count_distinct(F.col(c)) for c in cols},
                              **{f"n:{c}": F.count(F.col(c)) for c in cols}})
         est = {c: got[c] for c in cols}
         if profile is not None:      # hand the same pass to quantile planning
