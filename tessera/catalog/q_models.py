@@ -344,3 +344,19 @@ def str1_stream_replay(spark, d):
 def aml1_automl(spark, d):
     res = automl(_reg(spark, d), "o_totalprice", keys="o_orderkey")
     return round_doubles(res["results"])
+
+
+@register("str2_stream_predict")
+def str2_stream_predict(spark, d):
+    """PRD1 on a stream: the fitted classifier scores documents as they
+    arrive (availableNow over the documents file, joined to word counts
+    inside the stream) and the sink is read back."""
+    df, model, classes = _fit_cls(spark, d)
+    src = f"{d.rstrip('/')}/documents.parquet"
+    raw = spark.read.parquet(src)
+    lab = table(spark, d, "labels").select("doc_id", "toxic")
+
+    def score(stream):
+        feats = stream.select("doc_id", "n_chars", F.size(F.split("text", " ")).alias("words")).join(lab, "doc_id")
+        return TR.predict(model, feats, classes, keys=["doc_id"])
+    return replay_stream(spark, score, src, raw.schema)

@@ -105,7 +105,9 @@ def recommend_encoding(df: DataFrame, target: str, rule: str = "pipeline") -> di
     """ENC10 (``pipeline``: no hint-word rule) or ENC1 (``analysis``) for the
     text feature columns."""
     text = [c for c in string_columns(df) if c != target]
-    nun = distinct_counts(df, text)
+    # thresholds stop at 50: exact below, HyperLogLog (certainly > 50) above,
+    # so free-text columns never go through an exact-distinct shuffle
+    nun = distinct_counts(df, text, cap=50)
     hints = aggregate(df, {c: F.bool_or(F.lower(F.trim(F.col(c))).isin(ORDINAL_HINT_WORDS))
                            for c in text}) if (text and rule == "analysis") else {}
     return {c: _advice(nun[c], bool(hints.get(c)), rule) for c in text}
@@ -115,6 +117,9 @@ def recommend_encoding(df: DataFrame, target: str, rule: str = "pipeline") -> di
 def _sorted_categories(df: DataFrame, c: str, null_as_text: bool) -> list | None:
     """Sorted category texts, or None when there are more than MAP_LIMIT."""
     x = as_text(c) if null_as_text else F.col(c).cast("string")
+    est = aggregate(df, {"d": F.approx_count_distinct(x)})["d"]
+    if est > 2 * MAP_LIMIT:          # certainly too many: keep the codes distributed
+        return None
     d = df.select(x.alias("v")).where(F.col("v").isNotNull()).distinct()
     head = d.limit(MAP_LIMIT + 1).collect()
     if len(head) > MAP_LIMIT:

@@ -188,6 +188,7 @@ def train_classification(train: DataFrame, test: DataFrame, target: str, feature
             scored = model.transform(te)
             pred = scored.select("label", "prediction", *[c for c in ("probability", "rawPrediction")
                                                           if c in scored.columns])
+            pred = pred.persist(StorageLevel.MEMORY_AND_DISK)   # scored once, read by every metric
             m = EV.classification_metrics(pred, "label", "prediction").first()
             auc = 0.0
             try:
@@ -198,6 +199,7 @@ def train_classification(train: DataFrame, test: DataFrame, target: str, feature
                                          classes=[float(i) for i in range(k)])
             except Exception:  # noqa: BLE001 - reference reports 0 on failure
                 auc = 0.0
+            pred.unpersist()
             rows.append((name, order, m["accuracy"], m["precision"], m["recall"], m["f1"], auc))
     finally:
         tr.unpersist()
@@ -219,9 +221,10 @@ def train_regression(train: DataFrame, test: DataFrame, target: str, features=No
         for order, name in enumerate(models):
             model = fit_model(tr, feats, name)
             fitted[name] = model
-            pred = model.transform(te).select("label", "prediction")
+            pred = model.transform(te).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
             m = EV.regression_metrics(pred, "label", "prediction").first()
             acc = EV.tolerance_accuracy(pred, "label", "prediction").first()[0]
+            pred.unpersist()
             rows.append((name, order, m["mae"], m["rmse"], m["r2"], acc))
     finally:
         tr.unpersist()

@@ -290,3 +290,24 @@ def test_dashboard_charts(spark):
     assert pts.count() == 8
     corr = {(r["col_a"], r["col_b"]): r["r"] for r in V.correlation_matrix(df, ["age", "income"]).collect()}
     assert math.isclose(corr[("age", "income")], np.corrcoef(DASHBOARD["age"], DASHBOARD["income"])[0, 1])
+
+
+def test_column_oriented_json_reader(spark, tmp_path):
+    frame = pd.DataFrame({"a": [1, 2, 3], "b": ["x", None, "z"], "c": [1.5, 2.5, 3.0]})
+    path = tmp_path / "cols.json"
+    frame.to_json(path, orient="columns")
+    out = IO.read_json_columns(spark, str(path))
+    assert out.columns == ["a", "b", "c"]
+    assert dict(out.dtypes) == {"a": "bigint", "b": "string", "c": "double"}
+    assert [tuple(r) for r in out.collect()] == [(1, "x", 1.5), (2, None, 2.5), (3, "z", 3.0)]
+
+
+def test_roc_auc_matches_spark_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 300)
+    s = rng.normal(size=300) + y
+    df = spark.createDataFrame(pd.DataFrame({"label": y.astype(float), "score": s}))
+    ours = EV.roc_auc(df)
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(df)
+    assert math.isclose(ours, theirs, abs_tol=1e-9)
