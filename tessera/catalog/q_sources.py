@@ -10,7 +10,10 @@ from tessera.sources import io as IO
 from tessera.sources.stage import StageStore
 
 
-@register("src1_read_csv", oracle="SELECT * FROM customer")
+# CSV integers come back 64-bit (pandas parity), whatever width they had
+@register("src1_read_csv", oracle="""
+SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer
+""")
 def src1_read_csv(spark, d):
     path = IO.export_csv(table(spark, d, "customer"), IO.scratch_path(spark, "src1"))
     return IO.read_table(spark, path, "csv")
@@ -45,15 +48,15 @@ def src5_unique_columns(spark, d):
     return IO.unique_columns(c)
 
 
-@register("src6_preview", oracle="SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
+@register("src6_preview", oracle="SELECT * FROM customer ORDER BY c_custkey LIMIT 20")
 def src6_preview(spark, d):
-    _n, _m, head = IO.preview(table(spark, d, "orders"), 20, keys="o_orderkey")
+    _n, _m, head = IO.preview(table(spark, d, "customer"), 20, keys="c_custkey")
     return head
 
 
-@register("src6_counts", oracle="SELECT count(*) AS n_rows, 6 AS n_columns FROM orders")
+@register("src6_counts", oracle="SELECT count(*) AS n_rows, 5 AS n_columns FROM customer")
 def src6_counts(spark, d):
-    n, m, _ = IO.preview(table(spark, d, "orders"), 20, keys="o_orderkey")
+    n, m, _ = IO.preview(table(spark, d, "customer"), 20, keys="c_custkey")
     return spark.createDataFrame([(n, m)], "n_rows long, n_columns int")
 
 

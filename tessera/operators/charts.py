@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_numeric_type
 from tessera.functions.exprs import guarded_corr, md5_unit
-from tessera.plans.stats import aggregate, distinct_counts
+from tessera.plans.stats import aggregate, distinct_counts, grouped_quantiles, quantiles
 
 
 def _bucket(x, lo, hi, bins):
@@ -44,19 +44,25 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """VIZ2: per group q1, median, q3, whisker ends (most extreme values
     inside the 1.5 IQR fences), count and number of points beyond them.
-    Quartiles are exact per group (``percentile``); one pass for them, one
-    for whiskers after joining the (one row per group) fences back."""
+    Quartiles are exact per group with bounded state (``grouped_quantiles``:
+    a hot category never builds one big value map); whiskers take one pass
+    after joining the per-group fences back (broadcast, one row per group)."""
     x = F.col(col).cast("double")
     keys = [by] if by else []
     base = df.where(x.isNotNull()).select(*keys, x.alias("__x"))
-    q = (base.groupBy(*keys)
-             .agg(F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-                  F.count(F.lit(1)).alias("n"))
-             .select(*keys, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                     F.col("__q")[2].alias("q3")))
+    if keys:
+        qs = grouped_quantiles(df, keys, col, [0.25, 0.5, 0.75])
+        counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        q = qs.join(counts, keys).select(*keys, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                                         F.col("q2").alias("q3"))
+    else:
+        vals = quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+        n = base.count()
+        q = df.sparkSession.createDataFrame([(n, *vals)], "n long, q1 double, median double, q3 double")
     fences = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
-    joined = base.join(fences, keys, "inner") if keys else base.crossJoin(fences)
+    # fences: one row per group (bounded by the number of categories)
+    joined = base.join(F.broadcast(fences), keys, "inner") if keys else base.crossJoin(F.broadcast(fences))
     inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
     w = joined.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),

@@ -8,6 +8,7 @@ in one map stage, fuses into whole-stage codegen and also works on streams.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -81,14 +82,23 @@ class IQRPlan:
     bounds: dict            # col -> (lower, upper)
     quartiles: dict         # col -> (q1, q3)
     skipped_iqr_zero: list
+    integral: set = field(default_factory=set)
 
     def outside(self, c: str) -> Column:
+        """Comparison in the column's own type so parquet can take it as a
+        pushed filter: for integers x < lo <=> x < ceil(lo), x > hi <=>
+        x > floor(hi)."""
         lo, hi = self.bounds[c]
         x = F.col(c)
+        if c in self.integral:
+            return (x < F.lit(math.ceil(lo))) | (x > F.lit(math.floor(hi)))
         return (x < F.lit(lo)) | (x > F.lit(hi))
 
     def any_outside(self) -> Column:
-        conds = [F.coalesce(self.outside(c), F.lit(False)) for c in self.bounds]
+        """NULL-valued cells are not outliers; in a WHERE a NULL condition
+        already drops the row, so no coalesce is needed (and none blocks
+        pushdown)."""
+        conds = [self.outside(c) for c in self.bounds]
         if not conds:
             return F.lit(False)
         out = conds[0]
@@ -96,6 +106,10 @@ class IQRPlan:
             out = out | c
         return out
 
+    def no_outside(self) -> Column:
+        """Rows to keep when removing outliers (NULL cells count as inside)."""
+        return ~F.coalesce(self.any_outside(), F.lit(False))
+
 
 def iqr_plan(df: DataFrame, multiplier: float = 1.5, exclude=None) -> IQRPlan:
     skip = _as_set(exclude)
@@ -116,7 +130,8 @@ def iqr_plan(df: DataFrame, multiplier: float = 1.5, exclude=None) -> IQRPlan:
             continue
         quart[c] = (q1, q3)
         bounds[c] = (q1 - multiplier * iqr, q3 + multiplier * iqr)
-    return IQRPlan(multiplier, ft, bounds, quart, zero)
+    integral = {c for c in bounds if is_integral_type(df.schema[c].dataType)}
+    return IQRPlan(multiplier, ft, bounds, quart, zero, integral)
 
 
 def detect_outliers(df: DataFrame, multiplier: float = 1.5, exclude=None,
@@ -212,7 +227,7 @@ def remove_outliers(df: DataFrame, multiplier: float = 1.5, exclude=None,
                     plan: IQRPlan | None = None) -> DataFrame:
     """OUT7: keep rows with no continuous column outside its fences."""
     plan = plan or iqr_plan(df, multiplier, exclude)
-    return df.where(~plan.any_outside())
+    return df.where(plan.no_outside())
 
 
 def apply_edits(df: DataFrame, edits: DataFrame, keys) -> DataFrame:

@@ -136,7 +136,7 @@ def quantiles(df: DataFrame, cols: Iterable[str], probs: Iterable[float],
     return result
 
 
-def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit):
+def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit, exprs=None):
     """Exact order statistics with bounded state.
 
     For each needed rank k keep a closed bracket [lo, hi] with ``below`` =
@@ -145,7 +145,7 @@ def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit):
     exactly; the bracket shrinks ~accuracy/6-fold per round. Once it holds
     <= collect_limit values it is read sorted and indexed exactly.
     """
-    x = {c: F.col(c).cast("double") for c in cols}
+    x = exprs or {c: F.col(c).cast("double") for c in cols}
     # needed ranks per column (0-based)
     state = {}
     for c in cols:
@@ -227,6 +227,54 @@ def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit):
     return out
 
 
+def grouped_quantiles(df: DataFrame, by: list, col: str, probs: Iterable[float],
+                      exact_distinct_limit: int = EXACT_DISTINCT_LIMIT,
+                      accuracy: int = APPROX_ACCURACY,
+                      collect_limit: int = BRACKET_COLLECT_LIMIT) -> DataFrame:
+    """Exact per-group quantiles of ``col`` as a DataFrame (by..., q0, q1, ...).
+
+    Groups with few distinct values take one grouped ``percentile`` pass
+    (restricted to them by a broadcast semi-join of their keys). Each large
+    group becomes a masked virtual column (``col`` where the row is in the
+    group) in the same bracket refinement used for whole columns, so a hot
+    group never builds a value->count map of its own.
+    """
+    probs = [float(p) for p in probs]
+    x = F.col(col).cast("double")
+    base = df.where(x.isNotNull()).select(*by, x.alias("__x"))
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
+                                  F.approx_count_distinct("__x").alias("__d")).collect()
+    spark = df.sparkSession
+    key_schema = base.select(*by).schema
+    small = [r for r in stats if r["__d"] <= exact_distinct_limit]
+    big = [r for r in stats if r["__d"] > exact_distinct_limit]
+    qcols = [f"q{i}" for i in range(len(probs))]
+    out = None
+    if small:
+        keys = spark.createDataFrame([tuple(r[b] for b in by) for r in small], key_schema)
+        arr = F.array(*[F.lit(p) for p in probs])
+        out = (base.join(F.broadcast(keys), by, "left_semi").groupBy(*by)
+                   .agg(F.percentile("__x", arr).alias("__q"))
+                   .select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(qcols)]))
+    if big:
+        exprs, n = {}, {}
+        for i, r in enumerate(big):
+            cond = F.lit(True)
+            for b in by:
+                cond = cond & (F.col(b).isNull() if r[b] is None else (F.col(b) == F.lit(r[b])))
+            exprs[f"g{i}"] = F.when(cond, x)
+            n[f"g{i}"] = r["__n"]
+        got = _quantiles_by_selection(df, list(exprs), probs, n, accuracy, collect_limit, exprs=exprs)
+        rows = [tuple(r[b] for b in by) + tuple(got[f"g{i}"]) for i, r in enumerate(big)]
+        fields = list(key_schema.fields) + [T.StructField(q, T.DoubleType()) for q in qcols]
+        extra = spark.createDataFrame(rows, T.StructType(fields))
+        out = extra if out is None else out.unionByName(extra)
+    if out is None:
+        fields = list(key_schema.fields) + [T.StructField(q, T.DoubleType()) for q in qcols]
+        out = spark.createDataFrame([], T.StructType(fields))
+    return out
+
+
 # --------------------------------------------------- exploded value counting
 def _exploded_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(i, lv, dv, sv, cnt) for every non-null value of every column.

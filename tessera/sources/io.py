@@ -25,8 +25,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     fmt = fmt.lower()
     if fmt == "csv":
         r = spark.read.option("header", True)
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
+        if schema is not None:
+            return r.schema(schema).csv(path)
+        df = r.option("inferSchema", True).csv(path)
+        # inferred integers are 64-bit, as pandas reads them
+        return df.select(*[F.col(f"`{f.name}`").cast("long").alias(f.name)
+                           if f.dataType.simpleString() in ("int", "smallint", "tinyint") else F.col(f"`{f.name}`")
+                           for f in df.schema.fields])
     if fmt == "json":
         r = spark.read.option("multiLine", _is_json_array(spark, path))
         if schema is not None:
