@@ -56,19 +56,27 @@ def box_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
         q = qs.join(counts, keys).select(*keys, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                                          F.col("q2").alias("q3"))
     else:
-        vals = quantiles(df, [col], [0.25, 0.5, 0.75])[col]
-        n = base.count()
-        q = df.sparkSession.createDataFrame([(n, *vals)], "n long, q1 double, median double, q3 double")
+        q1, med, q3 = quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+        if q1 is None:
+            return df.sparkSession.createDataFrame(
+                [], "n long, q1 double, median double, q3 double, whisker_low double, "
+                    "whisker_high double, n_outliers long")
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = (F.col("__x") >= F.lit(lo)) & (F.col("__x") <= F.lit(hi))
+        return base.agg(F.count(F.lit(1)).alias("n"), F.lit(q1).alias("q1"), F.lit(med).alias("median"),
+                        F.lit(q3).alias("q3"), F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
+                        F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
+                        F.count_if(~inside).cast("long").alias("n_outliers"))
     fences = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
     # fences: one row per group (bounded by the number of categories)
-    joined = base.join(F.broadcast(fences), keys, "inner") if keys else base.crossJoin(F.broadcast(fences))
+    joined = base.join(F.broadcast(fences), keys, "inner")
     inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
     w = joined.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    out = q.join(w, keys, "inner") if keys else q.crossJoin(w)
+    out = q.join(w, keys, "inner")
     return out.select(*keys, "n", "q1", "median", "q3", "whisker_low", "whisker_high",
                       F.col("n_outliers").cast("long").alias("n_outliers"))
 

@@ -32,10 +32,10 @@ def duplicate_count(df: DataFrame) -> int:
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """CLN2 as a one-row DataFrame (rows, distinct_rows, duplicate_rows)."""
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    distinct = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    return total.crossJoin(distinct).select(
-        "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    distinct = df.distinct().count()
+    return df.sparkSession.createDataFrame([(total, distinct, total - distinct)],
+                                           "rows long, distinct_rows long, duplicate_rows long")
 
 
 def default_fills(df: DataFrame, cols=None) -> dict:

@@ -176,7 +176,7 @@ def residuals(pred: DataFrame, y: str = "y", p: str = "pred", keys=()) -> DataFr
     """EVL10: (keys, actual, predicted, residual) with the reference-line
     ends (min / max over actual and predicted) from one aggregate."""
     yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
-    line = pred.agg(F.least(F.min(yy), F.min(pp)).alias("line_min"),
-                    F.greatest(F.max(yy), F.max(pp)).alias("line_max"))
-    pts = pred.select(*keys, yy.alias("actual"), pp.alias("predicted"), (yy - pp).alias("residual"))
-    return pts.crossJoin(F.broadcast(line))
+    line = pred.agg(F.least(F.min(yy), F.min(pp)).alias("lo"), F.greatest(F.max(yy), F.max(pp)).alias("hi")).first()
+    return pred.select(*keys, yy.alias("actual"), pp.alias("predicted"), (yy - pp).alias("residual"),
+                       F.lit(line["lo"]).cast("double").alias("line_min"),
+                       F.lit(line["hi"]).cast("double").alias("line_max"))

@@ -311,3 +311,13 @@ def test_roc_auc_matches_spark_evaluator(spark):
     ours = EV.roc_auc(df)
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(df)
     assert math.isclose(ours, theirs, abs_tol=1e-9)
+
+
+def test_box_stats_without_groups(spark):
+    df = pdf(spark, DASHBOARD)
+    r = V.box_stats(df, "income").first()
+    s = pd.Series(DASHBOARD["income"], dtype=float)
+    q1, q3 = s.quantile(0.25), s.quantile(0.75)
+    inside = s[(s >= q1 - 1.5 * (q3 - q1)) & (s <= q3 + 1.5 * (q3 - q1))]
+    assert (r["n"], r["q1"], r["median"], r["q3"]) == (8, q1, s.median(), q3)
+    assert (r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (inside.min(), inside.max(), 8 - len(inside))
