@@ -329,6 +329,8 @@ def encode_target(df: DataFrame, target: str, out: str | None = None):
     """ENC11: target label -> 0..n-1 by sorted text; returns
     ``(df, classes)`` where ``classes[i]`` is the label of code i."""
     cats = _sorted_categories(df, target, null_as_text=False)
+    if cats is None:
+        raise ValueError(f"target {target!r} has more than {MAP_LIMIT} classes; not a classification target")
     mp = _literal_map({v: i for i, v in enumerate(cats)}, "int")
     col = F.element_at(mp, F.col(target).cast("string")).alias(out or target)
     keep = [F.col(c) for c in df.columns if c != target or out]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.ranks import running_totals
 
-MAX_CLASSES = 10_000
+MAX_CLASSES = 1_000    # confusion counts (classes^2 rows) reach the driver
 
 
 def _cm_rows(pred: DataFrame, label: str, prediction: str):

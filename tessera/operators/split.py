@@ -3,10 +3,9 @@ not depend on partitioning or on the order rows arrive in.
 
 Plain split: row goes to test when ``md5(key) mod 10^6 < fraction * 10^6``.
 Stratified split: within each class, the rows with the smallest hashes go
-to test, ``round(fraction * n_class)`` of them. The per-class hash
-threshold is found from two small histograms (hash >> 16, then the low 16
-bits inside the one boundary bucket), so no class is ever gathered into
-one task and only (classes x 65,536) counts reach the driver.
+to test, ``ceil(fraction * n_class)`` of them. The per-class hash threshold
+comes from a byte-wise radix selection (four passes, at most classes x 256
+counts each), so no class is ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -33,60 +32,52 @@ def split(df: DataFrame, keys, test_fraction: float = 0.25, stratify: str | None
         cut = F.lit(int(round(test_fraction * SCALE)))
         return df.where(h >= cut), df.where(h < cut)
     h = md5_unit(*as_list(keys))
-    thresholds = _class_thresholds(df.select(F.col(stratify).alias("__y"), h.alias("__h")),
-                                   test_fraction)
-    hcol = md5_unit(*as_list(keys))
+    thresholds = _class_thresholds(df.select(F.col(stratify).alias("__y"), h.alias("__h")), test_fraction)
     is_test = F.lit(False)
-    for y, (hi_bucket, lo_cut) in thresholds.items():
+    for y, t in thresholds.items():
         cls = F.col(stratify).isNull() if y is None else (F.col(stratify) == F.lit(y))
-        below = (F.shiftright(hcol, 16) < F.lit(hi_bucket)) | (
-            (F.shiftright(hcol, 16) == F.lit(hi_bucket)) & (hcol.bitwiseAND(F.lit(0xFFFF)) < F.lit(lo_cut)))
-        is_test = is_test | (cls & below)
+        is_test = is_test | (cls & (h < F.lit(t)))
     return df.where(~is_test), df.where(is_test)
 
 
 def _class_thresholds(yh: DataFrame, fraction: float) -> dict:
-    """class -> (high bucket, low cut): test = hash below that point.
-    Exact except for md5-32 collisions on the boundary value."""
-    hi = (yh.groupBy("__y", F.shiftright("__h", 16).alias("b")).count().collect())
-    per = {}
-    for r in hi:
-        per.setdefault(r["__y"], []).append((r["b"], r["count"]))
-    want, chosen = {}, {}
-    for y, buckets in per.items():
-        n = sum(c for _, c in buckets)
+    """class -> T such that exactly ceil(fraction * n_class) rows have
+    hash < T (fewer only if md5-32 values collide on T).
+
+    Radix selection on the 32-bit hash, one byte per pass: each pass counts
+    rows per (class, next byte) among rows whose higher bytes match the
+    prefix chosen so far, so at most classes x 256 counts reach the driver
+    and no class is ever gathered into one task.
+    """
+    totals = {r["__y"]: r["count"] for r in yh.groupBy("__y").count().collect()}
+    state = {}
+    for y, n in totals.items():
         k = int(math.ceil(fraction * n))     # test share rounds up, as scikit-learn does
-        want[y] = k
-        acc = 0
-        for b, c in sorted(buckets):
-            if acc + c > k:
-                chosen[y] = (b, k - acc)   # need k - acc rows from bucket b
-                break
-            acc += c
-        else:
-            chosen[y] = (1 << 16, 0)        # everything
-    out = {}
-    need = {y: v for y, v in chosen.items() if v[0] < (1 << 16) and v[1] > 0}
-    if need:
+        state[y] = {"k": k, "prefix": 0, "below": 0, "done": k == 0 or k >= n,
+                    "t": 0 if k == 0 else (1 << 32)}
+    for level in range(4):
+        shift = 24 - 8 * level
+        todo = {y: st for y, st in state.items() if not st["done"]}
+        if not todo:
+            break
         cond = F.lit(False)
-        for y, (b, _) in need.items():
+        for y, st in todo.items():
             cls = F.col("__y").isNull() if y is None else (F.col("__y") == F.lit(y))
-            cond = cond | (cls & (F.shiftright("__h", 16) == F.lit(b)))
-        lo = (yh.where(cond).groupBy("__y", F.col("__h").bitwiseAND(F.lit(0xFFFF)).alias("l"))
-                .count().collect())
-        per_lo = {}
-        for r in lo:
-            per_lo.setdefault(r["__y"], []).append((r["l"], r["count"]))
-    for y, (b, r) in chosen.items():
-        if y in need:
-            acc = 0
-            cut = 1 << 16
-            for l, c in sorted(per_lo[y]):
-                if acc >= r:
-                    cut = l
+            same = F.lit(True) if level == 0 else (F.shiftright("__h", shift + 8) == F.lit(st["prefix"]))
+            cond = cond | (cls & same)
+        rows = (yh.where(cond).groupBy("__y", F.shiftright("__h", shift).bitwiseAND(F.lit(255)).alias("b"))
+                  .count().collect())
+        per: dict = {}
+        for r in rows:
+            per.setdefault(r["__y"], []).append((r["b"], r["count"]))
+        for y, st in todo.items():
+            acc = st["below"]
+            for b, c in sorted(per.get(y, [])):
+                if acc + c > st["k"]:           # the k-th smallest hash has this byte
+                    st["prefix"] = (st["prefix"] << 8) | b
+                    st["below"] = acc
                     break
                 acc += c
-            out[y] = (b, cut)
-        else:
-            out[y] = (b, 0)
-    return out
+            if level == 3:
+                st["t"], st["done"] = st["prefix"], True
+    return {y: st["t"] for y, st in state.items()}
