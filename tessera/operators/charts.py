@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_numeric_type
 from tessera.functions.exprs import guarded_corr, md5_unit
-from tessera.plans.stats import aggregate, distinct_counts, grouped_quantiles, quantiles
+from tessera.plans.stats import MAX_GROUPS, aggregate, distinct_counts, grouped_quantiles, quantiles
 
 
 def _bucket(x, lo, hi, bins):
@@ -69,8 +69,9 @@ def box_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
                         F.count_if(~inside).cast("long").alias("n_outliers"))
     fences = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
-    # fences: one row per group (bounded by the number of categories)
-    joined = base.join(F.broadcast(fences), keys, "inner")
+    # fences: one row per group; broadcast only under a checked bound
+    n_groups = q.count()
+    joined = base.join(F.broadcast(fences) if n_groups <= MAX_GROUPS else fences, keys, "inner")
     inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
     w = joined.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import as_list, dtype_name, is_numeric_type, string_columns
+from tessera.functions.columns import dtype_name, is_numeric_type, string_columns
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.plans.ranks import global_row_number
 from tessera.plans.stats import aggregate, distinct_counts

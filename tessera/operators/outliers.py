@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import _as_set, as_list, is_integral_type, is_numeric_type
 from tessera.plans.stats import aggregate, distinct_counts, quantiles, stats_input

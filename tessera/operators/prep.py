@@ -10,7 +10,6 @@ no shuffle, valid on a streaming DataFrame.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_numeric_type
 from tessera.operators import select as SEL

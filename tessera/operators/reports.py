@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.plans.stats import aggregate, distinct_counts
+from tessera.plans.stats import distinct_counts
 
 
 def quality_summary(raw: DataFrame, cleaned: DataFrame | None = None,

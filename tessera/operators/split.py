@@ -19,6 +19,7 @@ from tessera.functions.columns import as_list
 from tessera.functions.exprs import md5_unit
 
 SCALE = 1_000_000
+MAX_STRATA = 10_000     # classes we keep per-class thresholds for
 
 
 def hash_fraction(keys) -> F.Column:
@@ -49,7 +50,10 @@ def _class_thresholds(yh: DataFrame, fraction: float) -> dict:
     prefix chosen so far, so at most classes x 256 counts reach the driver
     and no class is ever gathered into one task.
     """
-    totals = {r["__y"]: r["count"] for r in yh.groupBy("__y").count().collect()}
+    rows = yh.groupBy("__y").count().limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"stratifying column has more than {MAX_STRATA} classes")
+    totals = {r["__y"]: r["count"] for r in rows}
     state = {}
     for y, n in totals.items():
         k = int(math.ceil(fraction * n))     # test share rounds up, as scikit-learn does

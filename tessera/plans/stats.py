@@ -33,6 +33,7 @@ AGG_CHUNK = 120                 # aggregate expressions per generated plan
 EXACT_DISTINCT_LIMIT = 50_000   # percentile() map size we accept per column
 APPROX_ACCURACY = 10_000         # approx_percentile accuracy during refinement
 BRACKET_COLLECT_LIMIT = 100_000  # values read exactly once a bracket is this small
+MAX_GROUPS = 10_000              # per-group statistics we plan for on the driver
 
 
 # ------------------------------------------------------------ pass inputs
@@ -242,17 +243,22 @@ def grouped_quantiles(df: DataFrame, by: list, col: str, probs: Iterable[float],
     probs = [float(p) for p in probs]
     x = F.col(col).cast("double")
     base = df.where(x.isNotNull()).select(*by, x.alias("__x"))
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
-                                  F.approx_count_distinct("__x").alias("__d")).collect()
+    arr = F.array(*[F.lit(p) for p in probs])
+    qcols = [f"q{i}" for i in range(len(probs))]
+    stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.approx_count_distinct("__x").alias("__d"))
+                 .limit(MAX_GROUPS + 1).collect())
+    if len(stats) > MAX_GROUPS:
+        # many small groups: one distributed grouped pass, nothing planned
+        # per group on the driver and nothing broadcast
+        return (base.groupBy(*by).agg(F.percentile("__x", arr).alias("__q"))
+                    .select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(qcols)]))
     spark = df.sparkSession
     key_schema = base.select(*by).schema
     small = [r for r in stats if r["__d"] <= exact_distinct_limit]
     big = [r for r in stats if r["__d"] > exact_distinct_limit]
-    qcols = [f"q{i}" for i in range(len(probs))]
     out = None
     if small:
         keys = spark.createDataFrame([tuple(r[b] for b in by) for r in small], key_schema)
-        arr = F.array(*[F.lit(p) for p in probs])
         out = (base.join(F.broadcast(keys), by, "left_semi").groupBy(*by)
                    .agg(F.percentile("__x", arr).alias("__q"))
                    .select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(qcols)]))
