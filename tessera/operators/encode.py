@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import dtype_name, is_numeric_type, string_columns
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.plans.ranks import global_row_number
-from tessera.plans.stats import aggregate, distinct_counts
+from tessera.plans.stats import aggregate, distinct_counts, stats_input
 
 MAP_LIMIT = 10_000      # categories kept as a literal map in the fitted state
 ONEHOT_LIMIT = 1_000    # widest one-hot we build; wider fails loudly
@@ -243,6 +243,10 @@ class Encoder(JsonEstimator):
     encoded and is moved last."""
 
     def _fit(self, df: DataFrame) -> "EncoderModel":
+        with stats_input(df) as d:        # one pass per column: run an upstream shuffle once
+            return self._fit_passes(d)
+
+    def _fit_passes(self, df: DataFrame) -> "EncoderModel":
         cfg = self.conf
         target = cfg.get("target")
         cols = [c for c in string_columns(df) if c != target]

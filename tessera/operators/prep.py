@@ -19,6 +19,7 @@ from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.operators.impute import imputation_fills
 from tessera.operators.profile import task_type_of
 from tessera.operators.scale import apply_scaling, scaler_params
+from tessera.plans.stats import stats_input
 
 SCALINGS = ("standard", "minmax", "robust", "none")
 SELECTIONS = ("correlation", "kbest", "rfe", "tree", "none")
@@ -47,6 +48,10 @@ class Preprocessor(JsonEstimator):
     None (auto)}."""
 
     def _fit(self, df: DataFrame) -> "PreprocessorModel":
+        with stats_input(df) as d:        # many passes: run an upstream shuffle once
+            return self._fit_passes(d)
+
+    def _fit_passes(self, df: DataFrame) -> "PreprocessorModel":
         cfg = self.conf
         target = cfg["target"]
         if target not in df.columns:
