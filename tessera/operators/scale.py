@@ -132,3 +132,16 @@ def scale_and_split(df: DataFrame, features, target: str, keys, method: str = "s
     train, test = split(base, keys, test_fraction)
     params = scaler_params(base if leaky else train, numeric, method)
     return apply_scaling(train, params), apply_scaling(test, params)
+
+
+def load_latest_scaler(spark, folder: str) -> ScalerModel:
+    """SCL6 reload: the most recently saved scaler under ``folder`` (by
+    modification time, as the reference picks its latest scaler file)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = [s for s in fs.listStatus(path) if s.isDirectory()]
+    if not entries:
+        raise FileNotFoundError(f"no saved scaler under {folder}")
+    latest = max(entries, key=lambda s: s.getModificationTime())
+    return ScalerModel.load(latest.getPath().toString())

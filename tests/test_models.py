@@ -116,3 +116,28 @@ def test_preprocessor_replay_and_save_load(spark, tmp_path):
     a = model.transform(df).toPandas()
     b = again.transform(df).toPandas()
     assert "y" not in a.columns and a.equals(b)
+
+
+def test_iterative_imputer_recovers_linear_relation(spark):
+    from tessera.operators.impute import impute_iterative
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=400)
+    y = 2 * x + 1 + 0.01 * rng.normal(size=400)
+    miss = rng.random(400) < 0.3
+    pdf = pd.DataFrame({"k": np.arange(400), "x": x, "y": np.where(miss, np.nan, y)}).replace({np.nan: None})
+    out = impute_iterative(spark.createDataFrame(pdf), ["y"], features=["x", "y"]).toPandas().sort_values("k")
+    err_model = np.abs(out["y"].to_numpy()[miss] - y[miss]).mean()
+    err_mean = np.abs(np.nanmean(np.where(miss, np.nan, y)) - y[miss]).mean()
+    assert err_model < 0.1 * err_mean
+    assert np.allclose(out["y"].to_numpy()[~miss], y[~miss])
+
+
+def test_latest_scaler_by_modification_time(spark, tmp_path):
+    import time
+    from tessera.operators.scale import Scaler, load_latest_scaler
+    df = spark.createDataFrame(pd.DataFrame({"a": [1.0, 2.0, 3.0, 10.0]}))
+    Scaler({"columns": ["a"], "method": "standard"}).fit(df).write().save(str(tmp_path / "s1"))
+    time.sleep(1.1)
+    Scaler({"columns": ["a"], "method": "minmax"}).fit(df).write().save(str(tmp_path / "s2"))
+    latest = load_latest_scaler(spark, str(tmp_path))
+    assert latest.conf["method"] == "minmax"
