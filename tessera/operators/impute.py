@@ -36,8 +36,14 @@ def imputation_fills(df: DataFrame, config: dict | None = None, constants: dict
 def _imputation_fills(df, config, constants, rule):
     config = dict(config or {})
     constants = dict(constants or {})
-    nulls = aggregate(df, {c: F.count_if(F.col(c).isNull()) for c in df.columns})
-    need = [c for c in df.columns if nulls[c] > 0]
+    numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)]
+    # pass 1: NULL counts, means and distinct estimates of every column at once
+    st = aggregate(df, {"__n": F.count(F.lit(1)),
+                        **{f"m:{c}": F.count_if(F.col(c).isNull()) for c in df.columns},
+                        **{f"a:{c}": F.avg(F.col(c).cast("double")) for c in numeric},
+                        **{f"d:{c}": F.approx_count_distinct(F.col(c).cast("double")) for c in numeric}})
+    n = st["__n"]
+    need = [c for c in df.columns if st[f"m:{c}"] > 0]
     missing_cfg = [c for c in need if not config.get(c)]
     if missing_cfg:
         rec = {r["column_name"]: r["recommended"]
@@ -52,18 +58,17 @@ def _imputation_fills(df, config, constants, rule):
         if not is_num and m in MEAN_LIKE + ("median",):
             m = "most_frequent"
         plan[c] = m
-    means = [c for c in need if plan[c] in MEAN_LIKE]
     medians = [c for c in need if plan[c] == "median"]
     mode_cols = [c for c in need if plan[c] == "most_frequent"]
-    avg = aggregate(df, {c: F.avg(F.col(c).cast("double")) for c in means}) if means else {}
-    med = quantiles(df, medians, [0.5]) if medians else {}
+    med = quantiles(df, medians, [0.5], counts={c: n - st[f"m:{c}"] for c in medians},
+                    distinct={c: st[f"d:{c}"] for c in medians}) if medians else {}
     md = modes(df, mode_cols)
     fills = {}
     for c in need:
         is_num = is_numeric_type(df.schema[c].dataType)
         m = plan[c]
         if m in MEAN_LIKE:
-            fills[c] = avg[c]
+            fills[c] = st[f"a:{c}"]
         elif m == "median":
             fills[c] = med[c][0]
         elif m == "most_frequent":
