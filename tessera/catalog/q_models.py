@@ -360,3 +360,21 @@ def str2_stream_predict(spark, d):
         feats = stream.select("doc_id", "n_chars", F.size(F.split("text", " ")).alias("words")).join(lab, "doc_id")
         return TR.predict(model, feats, classes, keys=["doc_id"])
     return replay_stream(spark, score, src, raw.schema)
+
+
+@register("trn8_linear_regression_slope", oracle="""
+WITH r AS (SELECT o.o_totalprice AS y, s.sum_base AS x FROM orders o JOIN
+   (SELECT l_orderkey, sum(l_extendedprice) AS sum_base FROM lineitem GROUP BY l_orderkey) s
+   ON o.o_orderkey = s.l_orderkey)
+SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 3) AS intercept FROM r
+""")
+def trn8_linear_regression_slope(spark, d):
+    """TRN8, bounded sub-case: a one-feature least-squares fit (Spark ML's
+    normal-equation solver) equals SQL's regr_slope / regr_intercept."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    df = _reg(spark, d).select(F.col("o_totalprice").alias("label"), "sum_base")
+    data = VectorAssembler(inputCols=["sum_base"], outputCol="features").transform(df)
+    m = LinearRegression(solver="normal").fit(data)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 3))],
+                                 "slope double, intercept double")
