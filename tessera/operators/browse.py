@@ -27,9 +27,6 @@ def sort_rows(df: DataFrame, col: str, ascending: bool = True, keys=None) -> Dat
     num = F.col(col).cast("string").try_cast("double")
     d = df.withColumn("__num", num).withColumn("__txt", F.col(col).cast("string"))
     d = d.withColumn("__isnum", F.col("__num").isNotNull().cast("int"))
-    order = [F.col("__isnum").desc(),
-             F.col("__num").asc() if ascending else F.col("__num").desc(),
-             F.col("__txt").asc() if ascending else F.col("__txt").desc()]
-    order += [F.col(k) for k in as_list(keys)]
+    order = [("__isnum", False), ("__num", ascending), ("__txt", ascending)] + [(k, True) for k in as_list(keys)]
     ranked = global_row_number(d, order, out="position")
     return ranked.select(*df.columns, "position")

@@ -75,3 +75,15 @@ def test_grouped_quantiles_both_paths_match_pandas(spark):
                                    accuracy=100, collect_limit=50).collect()}
         for g in "abcd":
             assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for a, b in zip(got[g], ref.loc[g]))
+
+
+def test_global_rank_splits_a_hot_value(spark):
+    from tessera.plans.ranks import _bucketed, _spec
+    rows = [(i, 7 if i % 3 == 0 else i) for i in range(6000)]          # value 7 holds a third
+    df = spark.createDataFrame(rows, "k long, v long")
+    b = _bucketed(df, _spec(["v", "k"]), 8)
+    hot_buckets = b.where("v = 7").select("__bkt").distinct().count()
+    assert hot_buckets > 1
+    out = global_row_number(df, [("v", False), ("k", True)], out="r", partitions=8).collect()
+    expect = {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda t: (-t[1], t[0])))}
+    assert {r["k"]: r["r"] for r in out} == expect
