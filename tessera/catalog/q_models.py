@@ -51,16 +51,16 @@ def trn1_split(spark, d):
 
 
 @register("trn1_stratified_split", oracle=f"""
-SELECT o_orderkey, o_orderstatus FROM (
+SELECT CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS side, o_orderkey, o_orderstatus FROM (
   SELECT o_orderkey, o_orderstatus,
          row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_H}, o_orderkey) AS rn,
          ceil(0.25 * count(*) OVER (PARTITION BY o_orderstatus)) AS k
-  FROM orders) WHERE rn <= k
+  FROM orders)
 """)
 def trn1_stratified_split(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    _tr, te = split(o, "o_orderkey", 0.25, stratify="o_orderstatus")
-    return te
+    tr, te = split(o, "o_orderkey", 0.25, stratify="o_orderstatus")
+    return tr.select(F.lit("train").alias("side"), "*").unionByName(te.select(F.lit("test").alias("side"), "*"))
 
 
 # ---------------------------------------------------- single-model training
