@@ -309,6 +309,13 @@ def _exploded_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+UNION_CHUNK = 64   # per-column branches per job (keeps plans small on wide tables)
+
+
+def _chunks(cols: list) -> list:
+    return [cols[i:i + UNION_CHUNK] for i in range(0, len(cols), UNION_CHUNK)]
+
+
 def _decode(df: DataFrame, c: str, lv, dv, sv):
     dt = df.schema[c].dataType
     if isinstance(dt, T.BooleanType):
@@ -324,16 +331,14 @@ def modes(df: DataFrame, cols: Iterable[str]) -> dict:
     """Most frequent non-null value per column; ties -> smallest value
     (pandas ``mode().iloc[0]``). ``None`` when a column is all null."""
     cols = list(dict.fromkeys(cols))
-    if not cols:
-        return {}
-    counted = _exploded_counts(df, cols)
-    best = (counted.groupBy("i")
-            .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), "lv", "dv", "sv")).alias("b"))
-            .select("i", "b.*").collect())
     out = {c: None for c in cols}
-    for r in best:
-        c = cols[r["i"]]
-        out[c] = _decode(df, c, r["lv"], r["dv"], r["sv"])
+    for part in _chunks(cols):
+        best = (_exploded_counts(df, part).groupBy("i")
+                .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), "lv", "dv", "sv")).alias("b"))
+                .select("i", "b.*").collect())
+        for r in best:
+            c = part[r["i"]]
+            out[c] = _decode(df, c, r["lv"], r["dv"], r["sv"])
     return out
 
 
@@ -361,11 +366,11 @@ def distinct_counts(df: DataFrame, cols: Iterable[str], cap: int | None = None,
         for c in cols:
             if c not in exact_cols:
                 out[c] = int(est[c])
-    if exact_cols:
-        rows = (_exploded_counts(df, exact_cols).groupBy("i")
+    for c in exact_cols:
+        out[c] = 0
+    for part in _chunks(exact_cols):
+        rows = (_exploded_counts(df, part).groupBy("i")
                 .agg(F.count(F.lit(1)).alias("n")).collect())
-        for c in exact_cols:
-            out[c] = 0
         for r in rows:
-            out[exact_cols[r["i"]]] = int(r["n"])
+            out[part[r["i"]]] = int(r["n"])
     return out

@@ -87,3 +87,16 @@ def test_global_rank_splits_a_hot_value(spark):
     out = global_row_number(df, [("v", False), ("k", True)], out="r", partitions=8).collect()
     expect = {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda t: (-t[1], t[0])))}
     assert {r["k"]: r["r"] for r in out} == expect
+
+
+def test_wide_table_modes_and_counts_chunked(spark):
+    cols = [f"c{i}" for i in range(70)]                 # more than one union chunk
+    rows = [tuple((r * (i + 1)) % 3 for i in range(70)) for r in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in cols))
+    nun = S.distinct_counts(df, cols)
+    md = S.modes(df, cols)
+    for i, c in enumerate(cols):
+        vals = [row[i] for row in rows]
+        assert nun[c] == len(set(vals))
+        counts = {v: vals.count(v) for v in set(vals)}
+        assert md[c] == min(v for v in counts if counts[v] == max(counts.values()))
