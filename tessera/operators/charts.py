@@ -118,6 +118,10 @@ def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """VIZ5: long form (col_a, col_b, r) over numeric columns, pairwise
     complete rows, NULL for zero variance; one aggregate (chunked)."""
     cols = as_list(cols) or [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
+    if len(cols) > WIDE_CORR:
+        nulls = aggregate(df, {c: F.count_if(F.col(c).isNull()) for c in cols})
+        if not any(nulls.values()):
+            return _correlation_matrix_gramian(df, cols)
     exprs = {}
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -133,6 +137,29 @@ def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
 
 
+WIDE_CORR = 20   # above this many columns, null-free inputs use one Gramian pass
+
+
+def _correlation_matrix_gramian(df: DataFrame, cols: list) -> DataFrame:
+    """All pairwise Pearson r from one pass (Spark ML ``Correlation``, a
+    distributed Gramian) instead of n^2 aggregate expressions; only valid
+    without NULLs (pairwise-complete rows are then all rows). Zero-variance
+    columns give NULL, like the aggregate path."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    mat = Correlation.corr(vec, "__v").first()[0].toArray()
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            r = float(mat[i][j])
+            rows.append((a, b, None if math.isnan(r) else r))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
+
+
 def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, keys=None,
                    max_points: int | None = 5000) -> DataFrame:
     """VIZ6: (x, y[, hue]) points, hash-sampled to about ``max_points``."""

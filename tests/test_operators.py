@@ -321,3 +321,15 @@ def test_box_stats_without_groups(spark):
     inside = s[(s >= q1 - 1.5 * (q3 - q1)) & (s <= q3 + 1.5 * (q3 - q1))]
     assert (r["n"], r["q1"], r["median"], r["q3"]) == (8, q1, s.median(), q3)
     assert (r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (inside.min(), inside.max(), 8 - len(inside))
+
+
+def test_wide_correlation_gramian_matches_aggregate(spark):
+    rng = np.random.default_rng(8)
+    data = {f"x{i}": rng.normal(size=200) for i in range(24)}
+    data["x23"] = np.full(200, 3.0)                      # zero variance -> NULL
+    df = spark.createDataFrame(pd.DataFrame(data))
+    wide = {(r["col_a"], r["col_b"]): r["r"] for r in V.correlation_matrix(df).collect()}
+    narrow = {(r["col_a"], r["col_b"]): r["r"] for r in V.correlation_matrix(df, ["x0", "x1", "x23"]).collect()}
+    assert wide[("x23", "x0")] is None and narrow[("x23", "x0")] is None
+    assert math.isclose(wide[("x0", "x1")], narrow[("x0", "x1")], rel_tol=1e-9, abs_tol=1e-12)
+    assert math.isclose(wide[("x0", "x1")], np.corrcoef(data["x0"], data["x1"])[0, 1], rel_tol=1e-9)
