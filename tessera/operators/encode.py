@@ -172,6 +172,42 @@ def _fit_column(df: DataFrame, c: str, method: str, order_key: str | None, workd
     raise ValueError(f"unknown encoding {method!r}")
 
 
+def _fit_batched(df: DataFrame, methods: dict) -> dict:
+    """Code maps for many text columns at once: one distinct-estimate pass,
+    then value counts per column (chunked union jobs, map-side combined).
+    Columns above MAP_LIMIT categories are left to the per-column path."""
+    from tessera.plans.stats import _chunks, _exploded_counts
+    if not methods:
+        return {}
+    keyed = {c: (as_text(c) if m != "frequency" else F.col(c).cast("string")) for c, m in methods.items()}
+    est = aggregate(df, {c: F.approx_count_distinct(x) for c, x in keyed.items()})
+    small = [c for c in methods if est[c] <= 2 * MAP_LIMIT]
+    if not small:
+        return {}
+    proj = df.select(*[keyed[c].alias(c) for c in small])
+    values: dict = {c: [] for c in small}
+    for part in _chunks(small):
+        for r in _exploded_counts(proj, part).collect():
+            values[part[r["i"]]].append((r["sv"], r["cnt"]))
+    state = {}
+    for c in small:
+        vals = values[c]
+        if len(vals) > MAP_LIMIT:
+            continue
+        m = methods[c]
+        cats = sorted(v for v, _ in vals)
+        if m in ("ordinal", "label"):
+            state[c] = {"method": "ordinal", "categories": cats}
+        elif m == "onehot":
+            if len(cats) - 1 > ONEHOT_LIMIT:
+                raise ValueError(f"one-hot of {c!r} would exceed {ONEHOT_LIMIT} columns")
+            state[c] = {"method": "onehot", "categories": cats, "names": [f"{c}_{v}" for v in cats[1:]]}
+        else:
+            total = sum(n for _, n in vals)
+            state[c] = {"method": "frequency", "freq": {v: n / total for v, n in vals}}
+    return state
+
+
 def _save(df: DataFrame, workdir: str | None, c: str) -> str:
     from tessera.session import ensure_checkpoint_dir
     import uuid
@@ -255,13 +291,13 @@ class Encoder(JsonEstimator):
         if todo:
             methods.update(recommend_encoding(df.select(*todo, *([target] if target else [])),
                                               target, cfg.get("rule", "analysis")))
-        state = {}
-        for c in cols:
-            m = methods.get(c, "ordinal")
-            if m == "none":
-                continue
-            state[c] = _fit_column(df, c, m, cfg.get("order_key"), cfg.get("workdir"))
-        return EncoderModel(config=cfg, state=state)
+        todo = {c: methods.get(c, "ordinal") for c in cols if methods.get(c, "ordinal") != "none"}
+        state = _fit_batched(df, {c: m for c, m in todo.items()
+                                  if m in ("ordinal", "label", "onehot", "frequency")})
+        for c, m in todo.items():
+            if c not in state:           # binary, or too many categories for a literal map
+                state[c] = _fit_column(df, c, m, cfg.get("order_key"), cfg.get("workdir"))
+        return EncoderModel(config=cfg, state={c: state[c] for c in todo})
 
 
 class EncoderModel(JsonStateModel):
