@@ -326,7 +326,10 @@ def encode_all_ordinal(df: DataFrame, target: str):
     binary = [c for c in numeric if nun[c] <= 2]
     plain = [c for c in numeric if c not in binary]
     skipped = [c for c in feats if c not in text and c not in numeric]
-    state = {c: _fit_column(df, c, "ordinal", None, None) for c in text}
+    state = _fit_batched(df, {c: "ordinal" for c in text})
+    for c in text:
+        if c not in state:               # too many categories: distributed code table
+            state[c] = _fit_column(df, c, "ordinal", None, None)
     enc = _apply(df, state)
     enc = enc.select(*[F.col(c).cast("double").alias(c) if c in text else F.col(c) for c in enc.columns])
     enc = _reorder_target(enc, target)
@@ -349,6 +352,8 @@ def encode_train_test(train: DataFrame, test: DataFrame, target: str | None = No
     state = {}
     for c in text:
         cats = _sorted_categories(train, c, null_as_text=False)
+        if cats is None:
+            raise ValueError(f"column {c!r} has more than {MAP_LIMIT} categories; use Encoder (code tables)")
         state[c] = cats
     def apply(df):
         out = []
