@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, piece_bpe, quality, toxicity
+from tessera.llm import ann, html_text, packing, piece_bpe, quality, toxicity
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def _crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+@register("op2_html_text")
+def op2(spark, d):
+    return html_text.extract(table(spark, d, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op3_quality_classifier")
 def op3(spark, d):
     docs = table(spark, d, "documents")
@@ -58,3 +64,10 @@ def op9(spark, d):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op10_nearest_neighbours")
+def op10(spark, d):
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 100 == 0)
+    return ann.search(vectors, asked, ann.fit(vectors))
