@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, html_text, packing, piece_bpe, quality, toxicity
+from tessera.llm import ann, embed_dedup, html_text, packing, piece_bpe, quality, toxicity
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op6(spark, d):
         "evidence")
 
 
+@register("op8_embedding_dedup")
+def op8(spark, d):
+    return embed_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 @register("op9_sentencepiece")
 def op9(spark, d):
     got = piece_bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
