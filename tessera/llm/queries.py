@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, embed_dedup, html_text, packing, piece_bpe, quality, toxicity
+from tessera.llm import ann, embed_dedup, html_text, minhash_dedup, packing, piece_bpe, quality, toxicity
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def _crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+@register("op1_minhash_dedup")
+def op1(spark, d):
+    return minhash_dedup.near_duplicates(table(spark, d, "documents"), words=4)
+
+
 @register("op2_html_text")
 def op2(spark, d):
     return html_text.extract(table(spark, d, "pages")).select(
