@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, embed_dedup, html_text, minhash_dedup, packing, piece_bpe, quality, toxicity
+from tessera.llm import ann, embed_dedup, html_text, line_dedup, lm_score, minhash_dedup, packing, piece_bpe, quality, toxicity
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op4(spark, d):
     return packing.pack(cut)
 
 
+@register("op5_line_dedup")
+def op5(spark, d):
+    return line_dedup.dedup(table(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @register("op6_toxicity")
 def op6(spark, d):
     docs = table(spark, d, "documents")
@@ -62,6 +67,12 @@ def op6(spark, d):
         "evidence")
 
 
+@register("op7_lm_score")
+def op7(spark, d):
+    docs = table(spark, d, "documents")
+    return lm_score.score(docs, *lm_score.fit(docs))
+
+
 @register("op8_embedding_dedup")
 def op8(spark, d):
     return embed_dedup.near_duplicates(table(spark, d, "embeddings"))
