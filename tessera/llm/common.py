@@ -48,6 +48,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_FILTER_WORDS = 1 << 17
+
+
+def holding(df: DataFrame, id_col: str, ids: DataFrame, hit: bool = True) -> DataFrame:
+    """Rows of ``df`` whose id may be among ``ids`` (its first column), or
+    with ``hit=False`` the others: a bit filter of fixed size (2 MB) goes to
+    every task, so that most rows without a partner never reach a shuffle.
+    The kept rows still need the exact join."""
+    def spot(col):
+        return F.pmod(F.xxhash64(col), F.lit(_FILTER_WORDS)), F.pmod(F.xxhash64(col, F.lit(1)), F.lit(64)).cast("int")
+
+    word, bit = spot(ids[ids.columns[0]].cast("long"))
+    bits = ids.select(word.alias("_word"), bit.alias("_b")).groupBy("_word").agg(
+        F.expr("bit_or(shiftleft(1L, _b))").alias("_bits"))  # at most _FILTER_WORDS rows
+    word, bit = spot(F.col(id_col).cast("long"))
+    got = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    return got.where(F.expr("coalesce(bit_get(_bits, _bit), 0)") == int(hit)).select(*df.columns)
+
+
 # ------------------------------------------------------------ arrow texts
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, _powers, buffers, column, mix, slices, stage
+from tessera.llm.common import U64, _powers, buffers, column, holding, mix, slices, stage
 
 _CHARS = mix(np.arange(1 << 16, dtype=np.uint64) + U64(99))
 _CHARS[65:91] = _CHARS[97:123]
@@ -145,7 +145,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, text) of the wanted (id, line, h) lines."""
-    per = wanted.groupBy("id").agg(F.collect_set("h").alias("hs"))  # of one document's lines
+    per = stage(wanted.groupBy("id").agg(F.collect_set("h").alias("hs")))  # of one document's lines
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
@@ -158,7 +158,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
                                              names=["h", "text"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.join(per, "id").select("text", "hs").mapInArrow(run, "h long, text string").dropDuplicates(["h"])
+    return holding(src, "id", per).join(per.hint("merge"), "id").select("text", "hs").mapInArrow(run, "h long, text string").dropDuplicates(["h"])
 
 
 def _emit(texts: DataFrame) -> DataFrame:
@@ -229,29 +229,31 @@ def dedup(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col
     per = stage(dropped_lines(docs, min_chars, id_col, text_col).groupBy("id").agg(
         F.collect_set(F.struct("line", "h")).alias("_gone")))  # of one document's lines
     counts = [c if c not in docs.columns else f"_{c}" for c in ("n_lines", "n_dropped")]
-    src = docs.withColumn("_id", F.col(id_col).cast("long")).join(per.withColumnRenamed("id", "_id"), "_id", "left")
-    src = src.drop("_id")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.IntegerType()) for c in counts]])
+    gone = holding(docs, id_col, per).withColumn("_id", F.col(id_col).cast("long")).join(
+        per.withColumnRenamed("id", "_id").hint("merge"), "_id", "left").select(*names, "_gone")
+    free = holding(docs, id_col, per, hit=False)  # no text of these moves
 
     def run(batches):
         for batch in slices(batches, text_col, 1 << 20):
-            x = Lines(column(batch, text_col))
-            h = x.hashes(x.start, x.end).view(np.int64).tolist()
-            total = np.bincount(x.text, minlength=batch.num_rows)
-            gone = column(batch, "_gone").to_pylist()
             texts = column(batch, text_col).to_pylist()
             lost = [0] * batch.num_rows
-            cut = np.searchsorted(x.text, np.arange(batch.num_rows + 1))
-            number = x.number.tolist()
-            for r, g in enumerate(gone):
-                if g:
-                    pairs = {(e["line"], e["h"]) for e in g}
-                    drop = {number[k] for k in range(cut[r], cut[r + 1]) if (number[k], h[k]) in pairs}
+            split = [t.split("\n") if t else [] for t in texts]
+            total = [sum(1 for k in ls if k.strip(" \t\r\x0b\x0c")) for ls in split]
+            if "_gone" in batch.schema.names:
+                sets = column(batch, "_gone").to_pylist()
+                some = [r for r, g in enumerate(sets) if g]
+                x = Lines(column(batch, text_col).take(pa.array(some, pa.int32())))
+                h = x.hashes(x.start, x.end).view(np.int64).tolist()
+                cut, number = np.searchsorted(x.text, np.arange(len(some) + 1)), x.number.tolist()
+                for k, r in enumerate(some):
+                    pairs = {(e["line"], e["h"]) for e in sets[r]}
+                    drop = {number[j] for j in range(cut[k], cut[k + 1]) if (number[j], h[j]) in pairs}
                     lost[r] = len(drop)
-                    texts[r] = "\n".join([t for k, t in enumerate(texts[r].split("\n")) if k not in drop])
+                    texts[r] = "\n".join([t for j, t in enumerate(split[r]) if j not in drop])
             cols = [pa.array(texts, pa.string()) if c == text_col else column(batch, c) for c in names]
-            cols += [pa.array(total.astype(np.int32)), pa.array(lost, pa.int32())]
+            cols += [pa.array(total, pa.int32()), pa.array(lost, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *counts])
 
-    return src.select(*names, "_gone").mapInArrow(run, schema)
+    return gone.mapInArrow(run, schema).union(free.mapInArrow(run, schema))
