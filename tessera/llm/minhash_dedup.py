@@ -3,11 +3,11 @@
 Every document is a set of hashed word shingles; equal sets are one class.
 A class carries minwise tokens (the least hash of its set under many hash
 functions). In each of several independent trees the classes branch by a
-chosen token: a node's members share the tokens chosen on the way. Nodes with
-few members are compared exhaustively. In a larger node all members are
-compared with its centre (the member that shares most nodes); the links found
-merge members into components, and only pairs of different components matter
-from then on. A node whose members outside its main component are few has
+chosen token: a node's members share the tokens chosen on the way. First all
+members of each node are compared with its centre (the member that shares most
+nodes); the links found merge members into components, and only pairs of
+different components matter from then on. Nodes with few members are then
+compared exhaustively. A larger node whose members outside its main component are few has
 them compared with all its members; any other branches again. Links are
 confirmed on the full sets.
 """
@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, buffers, column, components, drop_staged, mix, shingles, slices, stage, word_hashes
+from tessera.llm.common import U64, buffers, column, components, drop_staged, holding, mix, shingles, slices, stage, word_hashes
 
-TOKENS = 64     # minwise tokens of a class
-TREES = 16      # a pair at 0.8 meets in a root's child of some tree with 1 - 0.2 ** 16
-SMALL = 24      # members compared exhaustively
-FEW = 48        # members outside the main component compared with the whole node
-DEPTH = 16      # nodes that are still large here are compared exhaustively
-_SIG_BITS = 22  # of 64 token bits a pair at 0.8 differs in 6.4 on average, over 22 once in 1e8
+TOKENS = 64      # minwise tokens of a class
+TREES = 20       # a pair at 0.8 shares both root tokens in some tree with 1 - 0.36 ** 20
+SMALL = 24       # members compared exhaustively
+FEW = 48         # members outside the main component compared with the whole node
+DEPTH = 16       # nodes that are still large here are compared exhaustively
+_SIG_BITS = 18   # of 64 token bits a pair at 0.8 differs in 6.4 on average, over 18 once in 7e4
+_EQUAL = 34      # of 64 tokens a pair at 0.8 shares 51.2 on average, under 34 once in 1e7
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,30 +90,58 @@ def _maybe(a: str, b: str, num: int, den: int):
             & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= _SIG_BITS))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = sets.join(ids, "rep", "left_semi")
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    got = pairs.join(a, "a").join(b, "b").select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return got.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b").distinct()
+def _verified(pairs: DataFrame, tokens: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that are links: those that share enough tokens, confirmed on the
+    full sets."""
+    def two(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        for side in ("a", "b"):
+            df = df.join(values.select(F.col("rep").alias(side), F.col(name).alias(f"_{side}")).hint("merge"), side)
+        return df
+
+    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda e: e))
+    likely = stage(two(pairs, tokens, "tokens").where(same >= _EQUAL).select("a", "b"))
+    inter = F.size(F.array_intersect("_a", "_b")).cast("long")
+    got = two(likely, sets, "shingles").select("a", "b", inter.alias("i"), (F.size("_a") + F.size("_b")).alias("t"))
+    return got.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
+
+
+def _pairs(left: DataFrame, right: DataFrame, on, num: int, den: int) -> DataFrame:
+    got = left.alias("l").join(right.alias("r"), (F.col("l.node") == F.col("r.node")) & on & _maybe("l", "r", num, den))
+    return got.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """The member of each node that shares most nodes, the least on a tie."""
+    top = F.max(F.struct("central", (-F.col("rep")).alias("r"), "n", "sig", "cls")).alias("c")
+    return members.groupBy("node").agg(top).select("node", (-F.col("c.r")).alias("rep"), "c.n", "c.sig", "c.cls")
 
 
 def links(reps: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the classes that have a link; reps: rep, n, sig, tokens."""
-    root = reps.select("rep", "n", "sig", F.posexplode(F.slice("tokens", 1, TREES)).alias("t", "token")).select(
-        F.xxhash64("t", "token").alias("node"), "rep", "n", "sig")
+    t = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
+    root = reps.select("rep", "n", "sig", "tokens", t).select(
+        F.xxhash64("t", F.expr("tokens[2 * t]"), F.expr("tokens[2 * t + 1]")).alias("node"), "rep", "n", "sig")
     sizes = stage(root.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
-    members = root.join(sizes, "node")
-    central = members.groupBy("rep").agg(F.sum("m").alias("central"))
-    members = members.drop("m").join(central, "rep").withColumn("cls", F.col("rep"))
-    members = stage(members.select("node", "rep", "n", "sig", "central", "cls"))
-    active = stage(members.select("rep").distinct())
-    sets = stage(sets_of(docs.join(active.withColumnRenamed("rep", id_col), id_col, "left_semi"),
-                         words, id_col, text_col))
-    tokens = reps.select("rep", "tokens")
-    comp, depth = None, 0
+    members = stage(root.join(sizes.hint("merge"), "node"))
+    central = stage(members.groupBy("rep").agg(F.sum("m").alias("central")))
+    members = stage(members.join(central.hint("merge"), "rep").select(
+        "node", "rep", "n", "sig", "central", F.col("rep").alias("cls")))
+    src = holding(docs, id_col, central).join(
+        central.select(F.col("rep").alias(id_col)).hint("merge"), id_col, "left_semi")
+    sets = stage(sets_of(src, words, id_col, text_col))
+    tokens = stage(reps.join(central.hint("merge"), "rep", "left_semi").select("rep", "tokens"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return stage(_verified(stage(pairs.distinct()), tokens, sets, num, den))
+
+    def relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        return stage(rows.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
+            "node", "rep", "n", "sig", "central", F.coalesce("comp", "rep").alias("cls")))
+
+    # first every member against its node's centre
+    other = F.col("l.rep") != F.col("r.rep")
+    comp = stage(components(checked(_pairs(members, stage(_centres(members)), other, num, den))))
+    members, depth = relabelled(members.drop("cls"), comp), 0
     while True:
         per = members.groupBy("node", "cls").agg(F.count("*").alias("k"))
         info = stage(per.groupBy("node").agg(
@@ -120,45 +149,33 @@ def links(reps: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_c
             F.max(F.struct("k", (-F.col("cls")).alias("c"))).alias("top")).where("classes > 1")
             .select("node", "m", (F.col("m") - F.col("top.k")).alias("minor"), (-F.col("top.c")).alias("main")))
         ready = (F.col("m") <= SMALL) | (F.col("minor") <= FEW) | F.lit(depth >= DEPTH)
+        apart = F.col("l.cls") != F.col("r.cls")
         # members outside the main component against all members of another one
-        few = info.where(ready).select("node", "main")
-        whole = members.join(few, "node")
-        minor = whole.where("cls <> main")
-        left, right = minor.alias("l"), whole.alias("r")
-        pairs = left.join(right, (F.col("l.node") == F.col("r.node")) & (F.col("l.cls") != F.col("r.cls"))
-                          & ((F.col("r.cls") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
-                          & _maybe("l", "r", num, den)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        # large nodes: all members of other components against the centre
-        wide = members.join(info.where(~ready).select("node"), "node")
-        centre = stage(wide.groupBy("node").agg(
-            F.max(F.struct("central", (-F.col("rep")).alias("r"), "n", "sig", "cls")).alias("c"))
-            .select("node", (-F.col("c.r")).alias("rep"), "c.n", "c.sig", "c.cls"))
-        more = wide.alias("l").join(centre.alias("r"), (F.col("l.node") == F.col("r.node"))
-                                    & (F.col("l.cls") != F.col("r.cls")) & _maybe("l", "r", num, den))
-        pairs = pairs.union(more.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
-        pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        new = stage(_verified(pairs, sets, num, den))
-        # link components of the round before; a new label is the least of its group
-        if comp is None:
-            comp = stage(components(new))
-        elif not new.isEmpty():
+        whole = members.join(info.where(ready).select("node", "main"), "node")
+        once = (F.col("r.cls") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))
+        pairs = _pairs(whole.where("cls <> main"), whole, apart & once, num, den)
+        # in large nodes all members against a centre from outside the main component
+        wide = members.join(info.where(~ready).select("node", "main"), "node")
+        centre = stage(_centres(wide.where("cls <> main")))
+        pairs = pairs.union(_pairs(wide, centre, apart, num, den))
+        new = checked(pairs)
+        last = centre.isEmpty()
+        if not new.isEmpty():  # link the components found so far
             here = comp.select("node", "comp")
-            new = (new.join(here.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-                   .join(here.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-                   .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-            comp = stage(components(new.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
-        if centre.isEmpty():
+            joined = (new.join(here.toDF("a", "ca"), "a", "left").join(here.toDF("b", "cb"), "b", "left")
+                      .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            comp = stage(components(joined.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+        if last:
             drop_staged(sets)
             return comp
         depth += 1
         # the next chosen tokens: one branch, and a second for a quarter of the nodes
         token = F.element_at("tokens", (F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)) + 1).cast("int"))
         extra = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(4)) == 0
-        grown = (wide.drop("cls").join(tokens, "rep")
+        grown = (wide.drop("cls", "main").join(tokens, "rep")
                  .withColumn("branch", F.explode(F.when(extra, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
                  .select(F.xxhash64("node", "branch", token).alias("node"), "rep", "n", "sig", "central"))
-        members = stage(grown.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
-            "node", "rep", "n", "sig", "central", F.coalesce("comp", "rep").alias("cls")))
+        members = relabelled(grown, comp)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
