@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import common
-from tessera.llm.common import U64, buffers, column, mix, shingles, slices, span_hashes
+from tessera.llm.common import U64, buffers, column, mix, shingles, slices, span_hashes, stage
 from tessera.llm.quality import labelled_sample
 
 _OTHER = np.ones(256, bool)
@@ -153,51 +154,54 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_trai
                  pa.array(tt, pa.list_(pa.int64())), pa.array(nn, pa.list_(pa.int32()))],
                 names=["id", "y", "sign", "t", "n"])
 
-    got = sample.mapInArrow(run, schema).toArrow().sort_by("id")
-    sign = got["sign"].to_numpy()
-    first = np.sort(np.unique(sign, return_index=True)[1])
-    tcol, ncol = got["t"].combine_chunks(), got["n"].combine_chunks()
-    rows = [(tcol[int(i)].values.to_numpy().view(U64), ncol[int(i)].values.to_numpy()) for i in first]
-    return build_index(got["id"].to_numpy()[first], got["y"].to_numpy()[first], rows, least_gain, k)
-
-
-def build_index(ids, y, rows, least_gain: float = 40.0, k: int = 16) -> ToxicityIndex:
-    """Choose terms, weigh and index examples, calibrate by leaving one out."""
-    if not len(rows):
-        return ToxicityIndex(np.zeros(0, U64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), k=k)
-    total, pos = len(rows), float(y.sum())
-    every = np.concatenate([t for t, _ in rows])
-    flag = np.repeat(y, [len(t) for t, _ in rows])
-    vocab, inv = np.unique(every, return_inverse=True)
-    df = np.bincount(inv, minlength=len(vocab)).astype(float)
-    a = np.bincount(inv, flag, len(vocab))
+    rows = stage(sample.mapInArrow(run, schema))
+    first = rows.groupBy("sign").agg(F.min("id").alias("id"))
+    rows = rows.join(first, ["sign", "id"]).dropDuplicates(["id"])
+    people = rows.select("id", "y").toArrow().sort_by("id")  # at most ``max_train`` ids
+    ids, y = people["id"].to_numpy(), people["y"].to_numpy()
+    total, pos = len(ids), float(y.sum())
+    terms_ = rows.select("id", "y", F.explode(F.arrays_zip("t", "n")).alias("e")).select("id", "y", "e.t", "e.n")
+    stats = terms_.groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("y").alias("a"))
+    stats = stats.where(F.col("a") * total > F.col("df") * pos).where(_gain(total, pos) >= least_gain)
+    chosen = stage(stats)  # terms of the bounded sample that pass the test
+    got = terms_.join(F.broadcast(chosen.select("t")), "t").select("id", "t", "n").toArrow()
+    chosen = chosen.toArrow()
+    vocab = chosen["t"].to_numpy().view(U64)
+    o = np.argsort(vocab)
+    idx = ToxicityIndex(vocab[o], np.log((total + 1) / (chosen["df"].to_numpy()[o] + 1)) + 1, np.zeros(0, np.int64),
+                        np.zeros(0), base=pos / max(total, 1), k=k)
+    fill_index(idx, ids, y, got["id"].to_numpy(), idx.find(got["t"].to_numpy().view(U64)), got["n"].to_numpy())
+    return idx
 
-    def part(o, e):
-        return o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12))
 
+def _gain(total: int, pos: float):
+    """Log-likelihood ratio of a term (document frequency df, a of them with
+    the label) against independence."""
+    df, a = F.col("df"), F.col("a")
     e1, e0 = df * pos / total, df * (total - pos) / total
-    gain = 2 * (part(a, e1) + part(df - a, e0) + part(pos - a, pos - e1) + part(total - pos - df + a, total - pos - e0))
-    chosen = np.flatnonzero((gain >= least_gain) & (a > e1))
-    idx = ToxicityIndex(vocab[chosen], np.log((total + 1) / (df[chosen] + 1)) + 1, np.zeros(0, np.int64),
-                        np.zeros(0), base=pos / total, k=k)
-    vec, keep = [], []
-    for d, (t, n) in enumerate(rows):
-        at = idx.find(t)
-        hit = at >= 0
-        if hit.any():
-            vec.append(idx.vector(np.repeat(at[hit], n[hit])))
-            keep.append(d)
-    keep = np.array(keep, np.int64)
-    none = np.setdiff1d(np.arange(total), keep)
-    idx.ids, idx.y = np.asarray(ids)[keep], np.asarray(y, float)[keep]
-    idx.prior = float((y[none].sum() + idx.base) / (len(none) + 1.0))
+
+    def part(o, e):
+        return F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
+    return 2 * (part(a, e1) + part(df - a, e0) + part(pos - a, pos - e1)
+                + part(total - pos - df + a, total - pos - e0))
+
+
+def fill_index(idx: ToxicityIndex, ids, y, doc, term, count) -> None:
+    """Index the examples with a direction and calibrate by leaving one out.
+    doc, term, count: occurrences of vocabulary terms by document id."""
+    o = np.lexsort((term, doc))
+    doc, term, count = doc[o], term[o], count[o]
+    some, start = np.unique(doc, return_index=True)
+    label = dict(zip(np.asarray(ids).tolist(), np.asarray(y, float).tolist(), strict=True))
+    idx.ids, idx.y = some, np.array([label[i] for i in some.tolist()], float)
+    idx.prior = float((sum(label.values()) - idx.y.sum() + idx.base) / (len(label) - len(some) + 1.0))
+    cut = np.append(start, len(doc)).tolist()
+    vec = [idx.vector(np.repeat(term[a:b], count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     idx.build(vec)
-    if len(vec):
-        near = [idx.nearest(t, w, skip=d) for d, (t, w) in enumerate(vec)]
-        some = np.array([len(d) > 0 for d, _ in near])
-        if some.any():
-            idx.curve = isotonic(np.array([idx.vote(*x) for x in near])[some], idx.y[some])
-    return idx
+    near = [idx.nearest(t, w, skip=d) for d, (t, w) in enumerate(vec)]
+    hit = np.array([len(d) > 0 for d, _ in near], bool)
+    if hit.any():
+        idx.curve = isotonic(np.array([idx.vote(*x) for x in near])[hit], idx.y[hit])
 
 
 def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_col: str = "text",
