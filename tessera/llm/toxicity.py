@@ -101,8 +101,10 @@ class ToxicityIndex:
             got_s.append(s)
             n += len(d)
             if n >= self.k:
-                s = np.concatenate(got_s)
+                s, d = np.concatenate(got_s), np.concatenate(got_d)
                 kth = np.partition(s, -self.k)[-self.k]
+                top = s >= kth - 1e-12  # the others cannot come back
+                got_s, got_d, n = [s[top]], [d[top]], int(top.sum())
         if not n:
             return np.zeros(0, np.int64), np.zeros(0)
         d, s = np.concatenate(got_d), np.concatenate(got_s)
@@ -132,10 +134,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_train: int = 12000,
-        least_gain: float = 40.0, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> ToxicityIndex:
+        least_gain: float = 40.0, least_odds: float = 4.0, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> ToxicityIndex:
     """Index at most ``max_train`` labelled documents (those of least hashed
     id). Texts that share their least 5-word shingle hash (copies) count once.
-    ``least_gain``: log-likelihood ratio that a term must reach."""
+    A term must reach the log-likelihood ratio ``least_gain`` and raise the
+    odds of the label ``least_odds`` times."""
     sample = labelled_sample(docs, labels, label, keep, max_train, id_col, text_col)
     schema = "id long, y double, sign long, t array<long>, n array<int>"
 
@@ -162,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_trai
     total, pos = len(ids), float(y.sum())
     terms_ = rows.select("id", "y", F.explode(F.arrays_zip("t", "n")).alias("e")).select("id", "y", "e.t", "e.n")
     stats = terms_.groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("y").alias("a"))
-    stats = stats.where(F.col("a") * total > F.col("df") * pos).where(_gain(total, pos) >= least_gain)
+    odds = F.col("a") * (total - pos) >= least_odds * (F.col("df") - F.col("a")) * pos
+    stats = stats.where(odds).where(_gain(total, pos) >= least_gain)
     chosen = stage(stats)  # terms of the bounded sample that pass the test
     got = terms_.join(F.broadcast(chosen.select("t")), "t").select("id", "t", "n").toArrow()
     chosen = chosen.toArrow()
