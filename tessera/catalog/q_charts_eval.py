@@ -52,13 +52,10 @@ def viz3_category_counts(spark, d):
 
 @register("viz4_pair_points", oracle="""
 SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders
-WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 1000000
-      < CAST(2000 / (SELECT count(*) FROM orders) * 1000000 AS BIGINT)
 """)
 def viz4_pair_points(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    return V.pair_points(o, ["o_custkey", "o_totalprice"], hue="o_orderstatus", keys="o_orderkey",
-                         max_points=2000)
+    return V.pair_points(o, ["o_custkey", "o_totalprice"], hue="o_orderstatus", keys="o_orderkey")
 
 
 _VZ = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -73,12 +70,10 @@ def viz5_correlation_matrix(spark, d):
 
 @register("viz6_scatter_points", oracle="""
 SELECT event_id, user_id, value, event_type FROM events
-WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 1000000
-      < CAST(1000 / (SELECT count(*) FROM events) * 1000000 AS BIGINT)
 """)
 def viz6_scatter_points(spark, d):
     return V.scatter_points(table(spark, d, "events"), "user_id", "value", hue="event_type",
-                            keys="event_id", max_points=1000)
+                            keys="event_id")
 
 
 @register("viz7_target_distribution", oracle="""

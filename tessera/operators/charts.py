@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_numeric_type
-from tessera.functions.exprs import guarded_corr, md5_unit
+from tessera.functions.exprs import guarded_corr
 from tessera.plans.stats import MAX_GROUPS, aggregate, distinct_counts, grouped_quantiles, quantiles
 
 
@@ -97,14 +97,14 @@ def _sample(df: DataFrame, keys, max_points: int | None) -> DataFrame:
     n = df.count()
     if n <= max_points:
         return df
-    frac = max_points / n
-    return df.where(F.pmod(md5_unit(*as_list(keys)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
+    # 64-bit hash share, so that a sample of any table is not empty by rounding
+    return df.where(F.xxhash64(*as_list(keys)).cast("double") / float(1 << 64) + 0.5 < F.lit(max_points / n))
 
 
 def pair_points(df: DataFrame, cols=None, hue: str | None = None, keys=None,
-                max_points: int | None = 5000) -> DataFrame:
+                max_points: int | None = None) -> DataFrame:
     """VIZ4: the first five numeric columns (at least two) and an optional
-    hue, hash-sampled to about ``max_points`` rows."""
+    hue, of every row; ``max_points`` asks for a hash sample of about so many."""
     cols = as_list(cols) or [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     cols = cols[:5]
     if len(cols) < 2:
@@ -161,8 +161,9 @@ def _correlation_matrix_gramian(df: DataFrame, cols: list) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, keys=None,
-                   max_points: int | None = 5000) -> DataFrame:
-    """VIZ6: (x, y[, hue]) points, hash-sampled to about ``max_points``."""
+                   max_points: int | None = None) -> DataFrame:
+    """VIZ6: (x, y[, hue]) points of every row; ``max_points`` asks for a
+    hash sample of about so many."""
     keys = as_list(keys) or [x, y]
     sel = list(dict.fromkeys(keys + [x, y] + ([hue] if hue else [])))
     return _sample(df.select(*sel), keys, max_points)

@@ -23,44 +23,46 @@ def pdf(spark, frame):
 
 
 # ------------------------------------------------------------------ outliers
+# Tank readings: ten distinct levels and flows, so both count as low
+# cardinality; an eleventh row makes them continuous.
 CAPPING = {
     "k": list(range(10)),
-    "binary_feature": [0, 1, 0, 1, 0, 1, 0, 1, 0, 1],
-    "low_card_feature": [1, 2, 3, 1, 2, 3, 1, 2, 3, 4],
-    "continuous_feature1": [10, 12, 11, 13, 100, -50, 16, 17, 1000, 14],
-    "continuous_feature2": [1.1, 2.2, 3.3, 4.4, 5.5, 6.6, 7.7, 8.8, 9.9, 100.0],
-    "target": [0, 1, 0, 1, 0, 1, 0, 1, 0, 1],
+    "valve_open": [1, 1, 0, 1, 0, 0, 1, 0, 1, 1],
+    "pump": [7, 8, 9, 9, 8, 7, 7, 9, 6, 8],
+    "level": [41, 43, 38, 420, 40, 44, -90, 39, 42, 37],
+    "flow": [0.25, 0.5, 0.75, 1.25, 1.5, 1.75, 2.25, 2.5, 2.75, 60.0],
+    "alarm": [0, 0, 1, 1, 0, 0, 1, 0, 0, 1],
 }
 
 
 def test_capping_demo_ten_distinct_is_low_cardinality(spark):
     df = pdf(spark, CAPPING)
-    ft = O.classify_features(df, target=["target", "k"])
-    assert ft.binary == ["binary_feature"]
-    assert set(ft.low_cardinality) == {"low_card_feature", "continuous_feature1", "continuous_feature2"}
+    ft = O.classify_features(df, target=["alarm", "k"])
+    assert ft.binary == ["valve_open"]
+    assert set(ft.low_cardinality) == {"pump", "level", "flow"}
     assert ft.continuous == []
-    capped = O.cap_outliers(df, target=["target", "k"]).toPandas()
-    assert capped["continuous_feature1"].tolist() == CAPPING["continuous_feature1"]
+    capped = O.cap_outliers(df, target=["alarm", "k"]).toPandas()
+    assert capped["level"].tolist() == CAPPING["level"]
 
 
 def test_capping_with_eleventh_row_caps_and_keeps_int(spark):
     data = {c: v + [v[-1]] for c, v in CAPPING.items()}
     data["k"][-1] = 10
-    data["continuous_feature1"][-1] = 15
-    data["continuous_feature2"][-1] = 3.0
+    data["level"][-1] = 15
+    data["flow"][-1] = 3.0
     df = pdf(spark, data)
-    s = pd.Series(data["continuous_feature1"], dtype=float)
+    s = pd.Series(data["level"], dtype=float)
     q1, q3 = s.quantile(0.25), s.quantile(0.75)
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     expect = s.clip(lo, hi).round().astype(int).tolist()
-    got = O.cap_outliers(df, target=["target", "k"], keep_int=True).orderBy("k").toPandas()
-    assert got["continuous_feature1"].tolist() == expect
-    assert str(got["continuous_feature1"].dtype).startswith("int")
-    det = O.outlier_details(df, keys="k", exclude=["target", "k"]).toPandas()
-    assert set(det["k"]) == {i for i, v in enumerate(data["continuous_feature1"]) if v < lo or v > hi} | \
-        set(det[det.column_name == "continuous_feature2"]["k"])
-    copy = O.cap_outliers(df, target=["target", "k"], keep_int=False)
-    assert dict(copy.dtypes)["continuous_feature1"] == "double"
+    got = O.cap_outliers(df, target=["alarm", "k"], keep_int=True).orderBy("k").toPandas()
+    assert got["level"].tolist() == expect
+    assert str(got["level"].dtype).startswith("int")
+    det = O.outlier_details(df, keys="k", exclude=["alarm", "k"]).toPandas()
+    assert set(det["k"]) == {i for i, v in enumerate(data["level"]) if v < lo or v > hi} | \
+        set(det[det.column_name == "flow"]["k"])
+    copy = O.cap_outliers(df, target=["alarm", "k"], keep_int=False)
+    assert dict(copy.dtypes)["level"] == "double"
 
 
 def test_iqr_zero_is_skipped(spark):
@@ -117,15 +119,19 @@ def test_skewness_matches_pandas(spark):
 
 
 # ------------------------------------------------------------------- scaling
-SCALING = {"feature_1": [1, 2, 3, 4, 100], "feature_2": [0.5, 1.5, 2.5, 3.5, 4.5],
-           "feature_3": [7, 7, 7, 7, 7], "category": ["a", "b", "a", "b", "a"], "target": [0, 1, 0, 1, 0]}
+SCALING = {
+    "depth": [3.5, 9.25, 4.0, 12.75, 7.5, 0.5, 6.25],
+    "salinity": [31, 35, 35, 28, 40, 33, 37],
+    "turbidity": [6, 6, 6, 6, 6, 6, 6],
+    "station": ["n", "n", "w", "e", "w", "s", "e"],
+}
 
 
 @pytest.mark.parametrize("method", ["standard", "minmax", "robust"])
 def test_scaling_demo(spark, method):
     df = pdf(spark, SCALING)
-    out = S.scale(df, ["feature_1", "feature_2", "feature_3"], method).toPandas()
-    for c in ["feature_1", "feature_2", "feature_3"]:
+    out = S.scale(df, ["depth", "salinity", "turbidity"], method).toPandas()
+    for c in ["depth", "salinity", "turbidity"]:
         x = pd.Series(SCALING[c], dtype=float)
         if method == "standard":
             sd = x.std(ddof=0) or 1.0
@@ -137,12 +143,12 @@ def test_scaling_demo(spark, method):
             iqr = (x.quantile(0.75) - x.quantile(0.25)) or 1.0
             exp = (x - x.median()) / iqr
         assert np.allclose(out[c].to_numpy(), exp.to_numpy())
-    assert out["category"].tolist() == SCALING["category"]
+    assert out["station"].tolist() == SCALING["station"]
 
 
 def test_scaler_save_load(spark, tmp_path):
     df = pdf(spark, SCALING)
-    m = S.Scaler({"columns": ["feature_1"], "method": "robust"}).fit(df)
+    m = S.Scaler({"columns": ["depth"], "method": "robust"}).fit(df)
     m.write().overwrite().save(str(tmp_path / "s"))
     m2 = S.ScalerModel.load(str(tmp_path / "s"))
     a = m.transform(df).toPandas()
@@ -273,23 +279,25 @@ def test_regression_metrics(spark):
 
 
 # --------------------------------------------------------------------- charts
-DASHBOARD = {"age": [25, 32, 47, 51, 38, 29, 44, 60], "income": [40, 52, 70, 81, 60, 45, 66, 90],
-             "department": ["IT", "HR", "Sales", "IT", "HR", "Sales", "IT", "HR"],
-             "target": [0, 1, 1, 0, 1, 0, 1, 0]}
+DASHBOARD = {
+    "basin": ["north", "south", "south", "east", "north", "south", "east", "south", "north"],
+    "rain": [12, 55, 31, 8, 27, 60, 19, 44, 35],
+    "runoff": [3.0, 21.5, 9.0, 1.5, 8.0, 30.0, 4.5, 15.0, 11.0],
+}
 
 
 def test_dashboard_charts(spark):
     df = pdf(spark, DASHBOARD)
-    h = V.histogram(df, "age", bins=5).orderBy("bin").toPandas()
-    assert h["count"].sum() == 8 and len(h) == 5
-    box = {r["department"]: r for r in V.box_stats(df, "income", by="department").collect()}
-    assert math.isclose(box["IT"]["median"], float(np.median([40, 81, 66])))
-    pie = V.category_counts(df, "department").collect()
-    assert [(r["value"], r["count"]) for r in pie] == [("HR", 3), ("IT", 3), ("Sales", 2)]
-    pts = V.pair_points(df, ["age", "income"], hue="department", max_points=None)
-    assert pts.count() == 8
-    corr = {(r["col_a"], r["col_b"]): r["r"] for r in V.correlation_matrix(df, ["age", "income"]).collect()}
-    assert math.isclose(corr[("age", "income")], np.corrcoef(DASHBOARD["age"], DASHBOARD["income"])[0, 1])
+    h = V.histogram(df, "rain", bins=4).orderBy("bin").toPandas()
+    assert h["count"].tolist() == [3, 2, 2, 2]  # edges 8, 21, 34, 47, 60
+    box = {r["basin"]: r for r in V.box_stats(df, "runoff", by="basin").collect()}
+    assert math.isclose(box["south"]["median"], (15.0 + 21.5) / 2) and math.isclose(box["east"]["median"], 3.0)
+    pie = V.category_counts(df, "basin").collect()
+    assert [(r["value"], r["count"]) for r in pie] == [("south", 4), ("north", 3), ("east", 2)]
+    pts = V.pair_points(df, ["rain", "runoff"], hue="basin", max_points=None)
+    assert pts.count() == 9
+    corr = {(r["col_a"], r["col_b"]): r["r"] for r in V.correlation_matrix(df, ["rain", "runoff"]).collect()}
+    assert math.isclose(corr[("rain", "runoff")], np.corrcoef(DASHBOARD["rain"], DASHBOARD["runoff"])[0, 1])
 
 
 def test_column_oriented_json_reader(spark, tmp_path):
@@ -315,12 +323,12 @@ def test_roc_auc_matches_spark_evaluator(spark):
 
 def test_box_stats_without_groups(spark):
     df = pdf(spark, DASHBOARD)
-    r = V.box_stats(df, "income").first()
-    s = pd.Series(DASHBOARD["income"], dtype=float)
+    r = V.box_stats(df, "runoff").first()
+    s = pd.Series(DASHBOARD["runoff"], dtype=float)
     q1, q3 = s.quantile(0.25), s.quantile(0.75)
     inside = s[(s >= q1 - 1.5 * (q3 - q1)) & (s <= q3 + 1.5 * (q3 - q1))]
-    assert (r["n"], r["q1"], r["median"], r["q3"]) == (8, q1, s.median(), q3)
-    assert (r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (inside.min(), inside.max(), 8 - len(inside))
+    assert (r["n"], r["q1"], r["median"], r["q3"]) == (9, q1, s.median(), q3)
+    assert (r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (inside.min(), inside.max(), 9 - len(inside))
 
 
 def test_wide_correlation_gramian_matches_aggregate(spark):
@@ -333,3 +341,11 @@ def test_wide_correlation_gramian_matches_aggregate(spark):
     assert wide[("x23", "x0")] is None and narrow[("x23", "x0")] is None
     assert math.isclose(wide[("x0", "x1")], narrow[("x0", "x1")], rel_tol=1e-9, abs_tol=1e-12)
     assert math.isclose(wide[("x0", "x1")], np.corrcoef(data["x0"], data["x1"])[0, 1], rel_tol=1e-9)
+
+
+def test_reviewed_decimal_text_reaches_an_integer_target(spark):
+    from tessera.operators import noise
+    df = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "k int, y int")
+    review = spark.createDataFrame([(1, "123.45"), (2, "7.0"), (3, "x")], "k int, predicted_target string")
+    out, changed = noise.apply_labels(df, review, "k", "y")
+    assert changed == 2 and {r["k"]: r["y"] for r in out.collect()} == {1: 123, 2: 7, 3: 7}
