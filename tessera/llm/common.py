@@ -195,26 +195,35 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 # ------------------------------------------------- connected components
 
+_ROWS_PER_FILE = 100_000
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, comp), comp the least
     node reachable. Alternating large-star and small-star steps, each a
     partially aggregated minimum and a join whose hot keys Spark can split;
-    every step is a staged table. Empty input gives no rows."""
+    the result of each, and what is returned, is a staged table. Empty input
+    gives no rows."""
     cur = stage(edges.where("a is not null and b is not null and a <> b")
                 .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # no step makes more than two rows of a link: as many files as its rows need, at least 8
+    files = max(8, 2 * cur.count() // _ROWS_PER_FILE + 1)
+
+    def step(df: DataFrame) -> DataFrame:
+        return stage(df.coalesce(files) if files < partitions(df.sparkSession) else df)
+
     while True:
         # done once every node is a centre or has one link, to a centre
         seen = cur.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
             cur.select("v", F.lit(0), F.lit(1)))
         seen = seen.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if seen.where("up + down > 1").isEmpty():
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
-                cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+            return step(cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
+                cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct())
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u <> v").distinct())
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
-        cur = stage(large.join(low, "u").where("v <> m")
+        large = step(large.where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        cur = step(large.join(low, "u").where("v <> m")
                     .select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .union(low.select("u", F.col("m").alias("v"))).distinct())

@@ -8,8 +8,9 @@ members of each node are compared with its centre (the member that shares most
 nodes); the links found merge members into components, and only pairs of
 different components matter from then on. Nodes with few members are then
 compared exhaustively. A larger node whose members outside its main component are few has
-them compared with all its members; any other branches again. Links are
-confirmed on the full sets.
+them compared with all its members; any other branches again. A comparison
+first looks at sizes and 512-bit signatures inside the join, so that few
+unlinked pairs leave it; the rest are decided on the full sets, once each.
 """
 
 from __future__ import annotations
@@ -24,16 +25,16 @@ from tessera.llm.common import U64, buffers, column, components, drop_staged, ho
 
 TOKENS = 64      # minwise tokens of a class
 TREES = 20       # a pair at 0.8 shares both root tokens in some tree with 1 - 0.36 ** 20
-SMALL = 24       # members compared exhaustively
-FEW = 48         # members outside the main component compared with the whole node
+SMALL = 96       # members compared exhaustively
+FEW = 96         # members outside the main component compared with the whole node
 DEPTH = 16       # nodes that are still large here are compared exhaustively
-_SIG_BITS = 18   # of 64 token bits a pair at 0.8 differs in 6.4 on average, over 18 once in 7e4
-_EQUAL = 34      # of 64 tokens a pair at 0.8 shares 51.2 on average, under 34 once in 1e7
+_SIG = 256       # minwise tokens of which a signature keeps two bits each, in 8 longs
+_SIGMAS = 4.2    # a pair at the bound has a signature further apart than allowed once in 7e4
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(11))
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | U64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return rng.integers(1, 1 << 31, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 31, n, dtype=np.uint32)
 
 
 def _sets(batch: pa.RecordBatch, text_col: str, words: int) -> list[np.ndarray]:
@@ -43,30 +44,33 @@ def _sets(batch: pa.RecordBatch, text_col: str, words: int) -> list[np.ndarray]:
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, key, key2, sig, tokens) per row; ``key``/``key2``
-    identify the set, ``sig`` holds one bit of each token."""
-    schema = T.StructType([docs.schema[id_col]] + [T.StructField(c, T.LongType()) for c in
-                                                   ("n_shingles", "key", "key2", "sig")]
-                          + [T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    identify the set, ``sig`` holds the low bits of 256 tokens (4 longs), then
+    their second bits; ``tokens`` are the first 64."""
+    schema = T.StructType([docs.schema[id_col]] + [T.StructField(c, T.LongType()) for c in ("n_shingles", "key", "key2")]
+                          + [T.StructField("sig", T.ArrayType(T.LongType())),
+                             T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        mul, add = _coefficients(TOKENS)
+        mul, add = (c[:, None] for c in _coefficients(_SIG))
         for batch in slices(batches, text_col):
             rows = []
             for s in _sets(batch, text_col, words):
                 if not len(s):
-                    rows.append((0, 0, 0, 0, None))
+                    rows.append((0, 0, 0, None, None))
                     continue
-                low = np.full(TOKENS, np.iinfo(np.uint64).max, U64)
-                for a in range(0, len(s), 8192):
-                    low = np.minimum(low, (s[None, a:a + 8192] * mul[:, None] + add[:, None]).min(1))
-                top = (mix(low) >> U64(32)).astype(np.uint32)
-                sig = int(np.packbits((top & 1).astype(np.uint8)).view(np.int64)[0])
+                low, high = np.full(_SIG, np.iinfo(np.uint32).max, np.uint32), (s >> U64(32)).astype(np.uint32)
+                for a in range(0, len(s), 1024):
+                    h = high[None, a:a + 1024] * mul
+                    h += add
+                    low = np.minimum(low, h.min(1))
+                top = (mix(low.astype(U64)) >> U64(32)).astype(np.uint32)
+                sig = np.packbits(np.stack([top & 1, top >> 1 & 1]).astype(np.uint8)).view(np.int64)
                 rows.append((len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s)).view(np.int64)),
-                             sig, top.view(np.int32)))
+                             sig, top[:TOKENS].view(np.int32)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, id_col), *[pa.array(c, pa.int64()) for c in cols[:4]],
-                 pa.array(cols[4], pa.list_(pa.int32()))], names=schema.names)
+                [column(batch, id_col), *[pa.array(c, pa.int64()) for c in cols[:3]],
+                 pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -83,26 +87,22 @@ def sets_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
 
 
 def _maybe(a: str, b: str, num: int, den: int):
-    """What a linked pair must satisfy: set sizes within the bound, token bits
-    mostly equal."""
+    """What a linked pair must satisfy: set sizes within the bound, signatures
+    mostly equal (of two bits, a token that differs shows in three of four)."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((na * den >= nb * num) & (nb * den >= na * num)
-            & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= _SIG_BITS))
+    off = 0.75 * (1 - num / den)
+    most = int(_SIG * off + _SIGMAS * (_SIG * off * (1 - off)) ** 0.5)
+    apart = " + ".join(f"bit_count(({a}.sig[{i}] ^ {b}.sig[{i}]) | ({a}.sig[{i + 4}] ^ {b}.sig[{i + 4}]))" for i in range(4))
+    return (na * den >= nb * num) & (nb * den >= na * num) & (F.expr(apart) <= most)
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that are links: those that share enough tokens, confirmed on the
-    full sets."""
-    def two(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        for side in ("a", "b"):
-            df = df.join(values.select(F.col("rep").alias(side), F.col(name).alias(f"_{side}")).hint("merge"), side)
-        return df
-
-    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda e: e))
-    likely = stage(two(pairs, tokens, "tokens").where(same >= _EQUAL).select("a", "b"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of pairs, decided on the full sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"_{side}")).hint("merge"), side)
     inter = F.size(F.array_intersect("_a", "_b")).cast("long")
-    got = two(likely, sets, "shingles").select("a", "b", inter.alias("i"), (F.size("_a") + F.size("_b")).alias("t"))
-    return got.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
+    got = pairs.select("a", "b", inter.alias("i"), (F.size("_a") + F.size("_b")).alias("t"))
+    return got.select("a", "b", (F.col("i") * den >= (F.col("t") - F.col("i")) * num).alias("linked"))
 
 
 def _pairs(left: DataFrame, right: DataFrame, on, num: int, den: int) -> DataFrame:
@@ -119,60 +119,63 @@ def _centres(members: DataFrame) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the classes that have a link; reps: rep, n, sig, tokens."""
     t = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
-    root = reps.select("rep", "n", "sig", "tokens", t).select(
-        F.xxhash64("t", F.expr("tokens[2 * t]"), F.expr("tokens[2 * t + 1]")).alias("node"), "rep", "n", "sig")
-    sizes = stage(root.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+    root = reps.select("rep", "tokens", t).select(
+        F.xxhash64("t", F.expr("tokens[2 * t]"), F.expr("tokens[2 * t + 1]")).alias("node"), "rep")
+    sizes = root.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
     members = stage(root.join(sizes.hint("merge"), "node"))
     central = stage(members.groupBy("rep").agg(F.sum("m").alias("central")))
-    members = stage(members.join(central.hint("merge"), "rep").select(
+    signed = reps.select("rep", "n", "sig").join(central.hint("merge"), "rep")
+    members = stage(members.join(signed.hint("merge"), "rep").select(
         "node", "rep", "n", "sig", "central", F.col("rep").alias("cls")))
     src = holding(docs, id_col, central).join(
         central.select(F.col("rep").alias(id_col)).hint("merge"), id_col, "left_semi")
     sets = stage(sets_of(src, words, id_col, text_col))
-    tokens = stage(reps.join(central.hint("merge"), "rep", "left_semi").select("rep", "tokens"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        return stage(_verified(stage(pairs.distinct()), tokens, sets, num, den))
+    tokens = None
 
     def relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
-        return stage(rows.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
-            "node", "rep", "n", "sig", "central", F.coalesce("comp", "rep").alias("cls")))
+        """Members of nodes with several classes: their class, the node's
+        main class and whether the node is compared as a whole."""
+        rows = rows.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(
+            "node", "rep", "n", "sig", "central", F.coalesce("comp", "rep").alias("cls"))
+        per = rows.groupBy("node", "cls").agg(F.count("*").alias("k"))
+        info = per.groupBy("node").agg(
+            F.sum("k").alias("m"), F.count("*").alias("classes"),
+            F.max(F.struct("k", (-F.col("cls")).alias("c"))).alias("top")).where("classes > 1")
+        ready = (F.col("m") <= SMALL) | (F.col("m") - F.col("top.k") <= FEW) | F.lit(depth >= DEPTH)
+        return stage(rows.join(info.select("node", (-F.col("top.c")).alias("main"), ready.alias("ready")), "node"))
 
     # first every member against its node's centre
     other = F.col("l.rep") != F.col("r.rep")
-    comp = stage(components(checked(_pairs(members, stage(_centres(members)), other, num, den))))
-    members, depth = relabelled(members.drop("cls"), comp), 0
+    tried = stage(_verified(_pairs(members, _centres(members), other, num, den).distinct(), sets, num, den))
+    comp = components(tried.where("linked").select("a", "b"))
+    depth = 0
+    members = relabelled(members.drop("cls"), comp)
     while True:
-        per = members.groupBy("node", "cls").agg(F.count("*").alias("k"))
-        info = stage(per.groupBy("node").agg(
-            F.sum("k").alias("m"), F.count("*").alias("classes"),
-            F.max(F.struct("k", (-F.col("cls")).alias("c"))).alias("top")).where("classes > 1")
-            .select("node", "m", (F.col("m") - F.col("top.k")).alias("minor"), (-F.col("top.c")).alias("main")))
-        ready = (F.col("m") <= SMALL) | (F.col("minor") <= FEW) | F.lit(depth >= DEPTH)
         apart = F.col("l.cls") != F.col("r.cls")
         # members outside the main component against all members of another one
-        whole = members.join(info.where(ready).select("node", "main"), "node")
+        whole, wide = members.where("ready"), members.where("not ready")
         once = (F.col("r.cls") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))
         pairs = _pairs(whole.where("cls <> main"), whole, apart & once, num, den)
         # in large nodes all members against a centre from outside the main component
-        wide = members.join(info.where(~ready).select("node", "main"), "node")
-        centre = stage(_centres(wide.where("cls <> main")))
-        pairs = pairs.union(_pairs(wide, centre, apart, num, den))
-        new = checked(pairs)
-        last = centre.isEmpty()
+        pairs = pairs.union(_pairs(wide, _centres(wide.where("cls <> main")), apart, num, den))
+        got = stage(_verified(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, num, den))
+        new = got.where("linked")
         if not new.isEmpty():  # link the components found so far
             here = comp.select("node", "comp")
             joined = (new.join(here.toDF("a", "ca"), "a", "left").join(here.toDF("b", "cb"), "b", "left")
                       .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-            comp = stage(components(joined.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
-        if last:
+            comp = components(joined.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        if wide.isEmpty():
             drop_staged(sets)
             return comp
+        tried = tried.union(got)
+        if tokens is None:
+            tokens = stage(reps.join(central.hint("merge"), "rep", "left_semi").select("rep", "tokens"))
         depth += 1
         # the next chosen tokens: one branch, and a second for a quarter of the nodes
         token = F.element_at("tokens", (F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)) + 1).cast("int"))
         extra = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(4)) == 0
-        grown = (wide.drop("cls", "main").join(tokens, "rep")
+        grown = (wide.drop("cls", "main", "ready").join(tokens, "rep")
                  .withColumn("branch", F.explode(F.when(extra, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
                  .select(F.xxhash64("node", "branch", token).alias("node"), "rep", "n", "sig", "central"))
         members = relabelled(grown, comp)
