@@ -1,17 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a
-block-max inverted index, distance-weighted votes, calibrated scores and the
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted
+index with block maxima, distance-weighted votes, calibrated scores and the
 examples behind each score.
 
 Terms are words and the first four to seven bytes of words (lower-cased
-runs of letters and digits). The vocabulary is fitted on a bounded, documented
-sample of labelled documents: terms that go with the label far beyond chance.
-Documents without any such term have no direction, hence no neighbours; they
-get the share of toxic documents among such examples.
+runs of letters and digits). Every term of the labelled sample is in the
+index, none is left out; a term's weight is its idf, raised where the label
+is more frequent among the documents that hold it. Documents without any
+known term have no direction, hence no neighbours; they get the share of
+toxic documents among such examples.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +21,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import common
-from tessera.llm.common import U64, buffers, column, mix, shingles, slices, span_hashes, stage
+from tessera.llm.common import U64, buffers, column, mix, slices, span_hashes, stage
 from tessera.llm.quality import labelled_sample
 
 _OTHER = np.ones(256, bool)
 _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = _OTHER[128:] = False
 PREFIXES = (4, 5, 6, 7)
 BLOCK = 64  # examples under one maximum
+HEAVY = 0.09  # terms in a larger share of the examples are a dense matrix
+BATCH = 64  # texts looked up together
 
 
-def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term hashes in text order and their offsets per text."""
+def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term hashes in text order, their offsets per text and how many equal
+    terms each stands for: a prefix as long as the word occurs where the word
+    does, so it is counted in the word's weight."""
     flat = np.where(_OTHER[data], np.uint8(32), data)
     s, e = common.word_spans(flat, off)
+    size = e - s
     parts = [span_hashes(flat, s, e)]
     parts += [mix(span_hashes(flat, s, np.minimum(s + n, e)) + U64(n)) for n in PREFIXES]
-    return np.stack(parts, 1).reshape(-1), np.searchsorted(s, off) * len(parts)
+    own = np.stack([np.ones(len(s), bool)] + [size > n for n in PREFIXES], 1)
+    many = np.ones(own.shape, np.int8)
+    many[:, 0] = len(parts) - own[:, 1:].sum(1)
+    count = np.concatenate([[0], np.cumsum(own.sum(1))])
+    return np.stack(parts, 1)[own], count[np.searchsorted(s, off)], many[own]
 
 
 @dataclass
 class ToxicityIndex:
     vocabulary: np.ndarray                 # sorted term hashes
-    idf: np.ndarray
+    idf: np.ndarray                        # weight of each term
     ids: np.ndarray                        # example ids, examples with a direction
     y: np.ndarray
-    postings: list = field(default_factory=list)   # by term: (examples, weights, block starts)
-    block_max: np.ndarray | None = None    # term x block
+    start: np.ndarray | None = None        # postings of each term: examples and weights
+    doc: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    column: np.ndarray | None = None       # column of each heavy term, else -1
+    dense: np.ndarray | None = None        # example x heavy term
+    block_max: np.ndarray | None = None    # heavy term x block
     prior: float = 0.0                     # of documents without a term
     base: float = 0.0                      # share of toxic examples
     curve: tuple = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -57,6 +71,11 @@ class ToxicityIndex:
         w = np.log1p(n) * self.idf[t]
         return t, w / np.sqrt(w @ w)
 
+    def vectors(self, row: np.ndarray, t: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+        """Weights of unit vectors; row, t, n: texts, terms and counts."""
+        w = np.log1p(n) * self.idf[t]
+        return w / np.sqrt(np.bincount(row, w * w, rows))[row]
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary position of each term, -1 if it is not there."""
         if not len(self.vocabulary):
@@ -65,51 +84,75 @@ class ToxicityIndex:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
-        self.block_max = np.zeros((len(self.vocabulary), max(blocks, 1)))
-        by: list[list] = [[] for _ in self.vocabulary]
-        for d, (t, w) in enumerate(vectors):
-            for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                by[i].append((d, x))
-        for i, p in enumerate(by):
-            d = np.array([a for a, _ in p], np.int64)
-            w = np.array([b for _, b in p])
-            np.maximum.at(self.block_max[i], d // BLOCK, w)
-            self.postings.append((d, w, np.searchsorted(d, np.arange(blocks + 1) * BLOCK)))
+        none = [np.zeros(0, np.int64)]
+        self.fill(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]),
+                  np.concatenate(none + [t for t, _ in vectors]), np.concatenate([np.zeros(0)] + [w for _, w in vectors]))
+
+    def fill(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Postings of all terms. The heavy ones, and the greatest weight of
+        each within a block of examples, are also kept as matrices."""
+        n, size = len(self.ids), len(self.vocabulary)
+        o = np.lexsort((doc, term))
+        self.doc, self.weight = doc[o].astype(np.int32), weight[o]
+        self.start = np.searchsorted(term[o], np.arange(size + 1))
+        heavy = np.flatnonzero(np.diff(self.start) > HEAVY * n)
+        self.column = np.full(size, -1)
+        self.column[heavy] = np.arange(len(heavy))
+        self.dense = np.zeros((-(-n // BLOCK) * BLOCK, len(heavy)))
+        at = self.column[term]
+        self.dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        self.block_max = self.dense.reshape(len(self.dense) // BLOCK, BLOCK, len(heavy)).max(1).T
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, exact: blocks go in
-        order of their bound and stop once no bound reaches the k-th cosine.
-        Ties go to the smaller example id."""
-        bound = w @ self.block_max[t]
-        order = np.argsort(-bound, kind="stable")
-        got_d, got_s, kth, n = [], [], 0.0, 0
-        for b in order.tolist():
-            if bound[b] <= 0 or (n >= self.k and bound[b] < kth - 1e-12):
-                break
-            s = np.zeros(BLOCK)
-            for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                d, v, cut = self.postings[i]
-                lo, hi = cut[b], cut[b + 1]
-                if lo < hi:
-                    s[d[lo:hi] - b * BLOCK] += x * v[lo:hi]
-            d = np.flatnonzero(s > 0)
-            d, s = d + b * BLOCK, s[d]
-            if skip >= 0:
-                d, s = d[d != skip], s[d != skip]
-            got_d.append(d)
-            got_s.append(s)
-            n += len(d)
-            if n >= self.k:
-                s, d = np.concatenate(got_s), np.concatenate(got_d)
-                kth = np.partition(s, -self.k)[-self.k]
-                top = s >= kth - 1e-12  # the others cannot come back
-                got_s, got_d, n = [s[top]], [d[top]], int(top.sum())
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        d, s = np.concatenate(got_d), np.concatenate(got_s)
-        o = np.lexsort((self.ids[d], -np.round(s, 12)))[: self.k]
-        return d[o], s[o].clip(max=1.0)
+        """:meth:`search` for one vector."""
+        return self.search(np.array([0, len(t)]), t, w, np.array([skip]))[0]
+
+    def search(self, cut: np.ndarray, t: np.ndarray, w: np.ndarray, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector cut[i]:cut[i + 1] of (t, w), the k examples of
+        greatest cosine above 0 except ``skip``, exact. All postings of the
+        other terms are added up; then heavy terms are multiplied for the
+        blocks whose bound reaches the k-th sum of some vector of the batch.
+        That product is in single precision: what comes within 1e-4 of the
+        k-th is added up again in double. Ties go to the smaller example id."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        size = len(self.dense)
+        if not hasattr(self, "_single"):
+            self._single = self.dense.astype(np.float32)
+        for a in range(0, len(cut) - 1, BATCH):
+            b = min(a + BATCH, len(cut) - 1)
+            light = np.zeros((b - a, size))
+            heavy = np.zeros((b - a, self.dense.shape[1]))
+            for i in range(a, b):
+                ti, wi = t[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]]
+                col = self.column[ti]
+                heavy[i - a, col[col >= 0]] = wi[col >= 0]
+                ti, wi = ti[col < 0], wi[col < 0]
+                lo, hi = self.start[ti], self.start[ti + 1]
+                spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                if spans:
+                    light[i - a] = np.bincount(np.concatenate([self.doc[x:z] for x, z in spans]),
+                                               np.concatenate([self.weight[x:z] for x, z in spans]) * np.repeat(wi, hi - lo), size)
+                if skip[i] >= 0:
+                    light[i - a, skip[i]] = -9.0
+            if not size:
+                out += [(np.zeros(0, np.int64), np.zeros(0))] * (b - a)
+                continue
+            k = min(self.k, size)
+            bound = light.reshape(b - a, size // BLOCK, BLOCK).max(2) + heavy @ self.block_max
+            least = np.partition(light, size - k, 1)[:, size - k]
+            need = (bound >= np.maximum(least, 0)[:, None] - 1e-4).any(0)
+            rows = np.flatnonzero(np.repeat(need, BLOCK))
+            part = self._single if need.all() else self._single[rows]
+            near = light[:, rows] + heavy.astype(np.float32) @ part.T
+            k = min(k, len(rows))
+            for i in range(b - a):
+                kth = np.partition(near[i], len(rows) - k)[len(rows) - k] if k else 0.0
+                d = rows[near[i] >= max(kth - 1e-4, 1e-9)]
+                s = light[i, d] + (self.dense[d] * heavy[i]).sum(1)
+                d, s = d[s > 0], s[s > 0]
+                o = np.lexsort((self.ids[d], -np.round(s, 12)))[: self.k]
+                out.append((d[o], s[o].clip(max=1.0)))
+        return out
 
     def vote(self, d: np.ndarray, s: np.ndarray) -> float:
         """Votes weighted by 1 / (distance + 0.1) and a quarter vote for the
@@ -134,78 +177,114 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_train: int = 12000,
-        least_gain: float = 40.0, least_odds: float = 4.0, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> ToxicityIndex:
+        least_gain: float | None = None, least_odds: float = 4.0, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> ToxicityIndex:
     """Index at most ``max_train`` labelled documents (those of least hashed
-    id). Texts that share their least 5-word shingle hash (copies) count once.
-    A term must reach the log-likelihood ratio ``least_gain`` and raise the
-    odds of the label ``least_odds`` times."""
+    id) by all their terms. Equal texts (word by word) count once. A term
+    weighs idf * log2(1 + odds)^2, with ``odds`` how many times it raises the
+    odds of the label (half a document of the base rate on each side; 1 at
+    least): one rule at every size and in every language. Only with
+    ``least_gain`` are terms left out: those that do not reach this
+    log-likelihood ratio and ``least_odds``. The driver holds the index."""
     sample = labelled_sample(docs, labels, label, keep, max_train, id_col, text_col)
-    schema = "id long, y double, sign long, t array<long>, n array<int>"
+    schema = "id long, y double, sign long, t array<long>, n array<int>, m array<byte>"
 
     def run(batches):
         for batch in slices(batches, text_col, 1 << 20):
-            h, at = terms(*buffers(column(batch, text_col)))
-            tt, nn, sign = [], [], []
+            h, at, m = terms(*buffers(column(batch, text_col)))
+            tt, nn, mm, sign = [], [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                u, n = np.unique(h[a:b], return_counts=True)
-                copy = shingles(h[a:b:len(PREFIXES) + 1], 5)
+                u, i, n = np.unique(h[a:b], return_index=True, return_counts=True)
                 tt.append(u.view(np.int64))
                 nn.append(n.astype(np.int32))
-                sign.append(int(copy[0].view(np.int64)) if len(copy) else 0)
+                mm.append(m[a:b][i])
+                sign.append(int(mix(h[a:b] + np.arange(b - a, dtype=U64) * U64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, id_col).cast(pa.int64()), column(batch, "y"), pa.array(sign, pa.int64()),
-                 pa.array(tt, pa.list_(pa.int64())), pa.array(nn, pa.list_(pa.int32()))],
-                names=["id", "y", "sign", "t", "n"])
+                 pa.array(tt, pa.list_(pa.int64())), pa.array(nn, pa.list_(pa.int32())), pa.array(mm, pa.list_(pa.int8()))],
+                names=["id", "y", "sign", "t", "n", "m"])
 
     rows = stage(sample.mapInArrow(run, schema))
-    first = rows.groupBy("sign").agg(F.min("id").alias("id"))
-    rows = rows.join(first, ["sign", "id"]).dropDuplicates(["id"])
-    people = rows.select("id", "y").toArrow().sort_by("id")  # at most ``max_train`` ids
-    ids, y = people["id"].to_numpy(), people["y"].to_numpy()
+    first = rows.groupBy("sign").agg(F.min("id").alias("id")).toArrow()  # at most ``max_train`` rows
+    got = rows.toArrow()
+    ids, at = np.unique(got["id"].to_numpy(), return_index=True)
+    at = at[np.isin(ids, first["id"].to_numpy())]
+    got = got.take(pa.array(at))
+    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
     total, pos = len(ids), float(y.sum())
-    terms_ = rows.select("id", "y", F.explode(F.arrays_zip("t", "n")).alias("e")).select("id", "y", "e.t", "e.n")
-    stats = terms_.groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("y").alias("a"))
-    odds = F.col("a") * (total - pos) >= least_odds * (F.col("df") - F.col("a")) * pos
-    stats = stats.where(odds).where(_gain(total, pos) >= least_gain)
-    chosen = stage(stats)  # terms of the bounded sample that pass the test
-    got = terms_.join(F.broadcast(chosen.select("t")), "t").select("id", "t", "n").toArrow()
-    chosen = chosen.toArrow()
-    vocab = chosen["t"].to_numpy().view(U64)
-    o = np.argsort(vocab)
-    idx = ToxicityIndex(vocab[o], np.log((total + 1) / (chosen["df"].to_numpy()[o] + 1)) + 1, np.zeros(0, np.int64),
-                        np.zeros(0), base=pos / max(total, 1), k=k)
-    fill_index(idx, ids, y, got["id"].to_numpy(), idx.find(got["t"].to_numpy().view(U64)), got["n"].to_numpy())
+    size = np.array([len(x) for x in got["t"]], np.int64)
+    doc = np.repeat(np.arange(total), size)
+
+    def flat(name):
+        return np.concatenate([c.flatten().to_numpy() for c in got[name].chunks]) if total else np.zeros(0, np.int64)
+
+    vocab, first, term = np.unique(flat("t").view(U64), return_index=True, return_inverse=True)
+    count, many = flat("n"), flat("m")[first]
+    df, a = np.bincount(term, minlength=len(vocab)).astype(float), np.bincount(term, y[doc], len(vocab))
+    base = pos / max(total, 1)
+    odds = (a + base / 2) / (df - a + (1 - base) / 2) * (total - pos) / max(pos, 1e-9) if 0 < pos < total else np.ones(len(vocab))
+    idf = (np.log((total + 1) / (df + 1)) + 1) * np.log2(1 + np.maximum(odds, 1)) ** 2 * np.sqrt(many)
+    if least_gain is not None:
+        good = (_gain(df, a, total, pos) >= least_gain) & (a * (total - pos) >= least_odds * (df - a) * pos)
+        new = np.cumsum(good) - 1
+        on = good[term]
+        vocab, idf, term, doc, count = vocab[good], idf[good], new[term[on]], doc[on], count[on]
+    idx = ToxicityIndex(vocab, idf, np.zeros(0, np.int64), np.zeros(0), base=base, k=k)
+    fill_index(idx, docs.sparkSession, ids, y, doc, term, count)
     return idx
 
 
-def _gain(total: int, pos: float):
+def _gain(df: np.ndarray, a: np.ndarray, total: int, pos: float) -> np.ndarray:
     """Log-likelihood ratio of a term (document frequency df, a of them with
     the label) against independence."""
-    df, a = F.col("df"), F.col("a")
-    e1, e0 = df * pos / total, df * (total - pos) / total
+    e1, e0 = df * pos / max(total, 1), df * (total - pos) / max(total, 1)
 
     def part(o, e):
-        return F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
+        return np.where((o > 0) & (e > 0), o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0.0)
     return 2 * (part(a, e1) + part(df - a, e0) + part(pos - a, pos - e1)
                 + part(total - pos - df + a, total - pos - e0))
 
 
-def fill_index(idx: ToxicityIndex, ids, y, doc, term, count) -> None:
-    """Index the examples with a direction and calibrate by leaving one out.
-    doc, term, count: occurrences of vocabulary terms by document id."""
+def fill_index(idx: ToxicityIndex, spark, ids, y, doc, term, count) -> None:
+    """Index the examples with a direction, those that share their heaviest
+    common term side by side, and calibrate by leaving one out, in Spark tasks.
+    doc, term, count: occurrences of vocabulary terms by position in ids."""
+    some, doc = np.unique(doc, return_inverse=True)
+    w = idx.vectors(doc, term, count, len(some))
+    common_ = np.bincount(term, minlength=len(idx.vocabulary)) > HEAVY * len(some)
+    o = np.lexsort((-w, doc))
+    o = o[common_[term[o]]]
+    d, first = np.unique(doc[o], return_index=True)
+    top = np.full(len(some), -1)
+    top[d] = term[o][first]
+    order = np.argsort(top, kind="stable")
+    doc = np.argsort(order)[doc]
+    idx.ids, idx.y = np.asarray(ids)[some][order], np.asarray(y, float)[some][order]
+    idx.prior = float((np.sum(y) - idx.y.sum() + idx.base) / (len(ids) - len(some) + 1.0))
+    idx.fill(doc, term, w)
+    if not len(some):
+        return
+    n = len(some)
     o = np.lexsort((term, doc))
-    doc, term, count = doc[o], term[o], count[o]
-    some, start = np.unique(doc, return_index=True)
-    label = dict(zip(np.asarray(ids).tolist(), np.asarray(y, float).tolist(), strict=True))
-    idx.ids, idx.y = some, np.array([label[i] for i in some.tolist()], float)
-    idx.prior = float((sum(label.values()) - idx.y.sum() + idx.base) / (len(label) - len(some) + 1.0))
-    cut = np.append(start, len(doc)).tolist()
-    vec = [idx.vector(np.repeat(term[a:b], count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    idx.build(vec)
-    near = [idx.nearest(t, w, skip=d) for d, (t, w) in enumerate(vec)]
-    hit = np.array([len(d) > 0 for d, _ in near], bool)
+    cut = np.searchsorted(doc[o], np.arange(n + 1))
+    shared = spark.sparkContext.broadcast((idx, cut, term[o].astype(np.int32), w[o]))
+
+    def run(batches):
+        ix, cut, t, w = shared.value
+        for batch in batches:
+            at = column(batch, "id").to_numpy()
+            for a in range(0, len(at), BATCH):
+                rows = at[a:a + BATCH]
+                own = np.concatenate([np.arange(cut[r], cut[r + 1]) for r in rows])
+                near = ix.search(np.concatenate([[0], np.cumsum(cut[rows + 1] - cut[rows])]), t[own], w[own], rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), pa.array([ix.vote(*x) for x in near]), pa.array([len(d) > 0 for d, _ in near])],
+                    names=["r", "v", "hit"])
+
+    got = spark.range(0, n, 1, max(1, min(24, n // BATCH))).mapInArrow(run, "r long, v double, hit boolean").toArrow()
+    shared.destroy()
+    hit = got["hit"].to_numpy()
     if hit.any():
-        idx.curve = isotonic(np.array([idx.vote(*x) for x in near])[hit], idx.y[hit])
+        idx.curve = isotonic(got["v"].to_numpy()[hit], idx.y[got["r"].to_numpy()[hit]])
 
 
 def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_col: str = "text",
@@ -226,14 +305,18 @@ def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_co
     def run(batches):
         ix = shared.value
         for batch in slices(batches, text_col):
-            h, at = terms(*buffers(column(batch, text_col)))
-            found = ix.find(h)
+            h, at, _ = terms(*buffers(column(batch, text_col)))
+            u, back = np.unique(h, return_inverse=True)
+            found = ix.find(u)[back]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            on, wide = found >= 0, max(len(ix.vocabulary), 1)
+            key, n = np.unique(row[on] * wide + found[on], return_counts=True)
+            row, t = key // wide, key % wide
+            rows, cut = np.unique(row, return_index=True)
+            near = ix.search(np.append(cut, len(row)), t, ix.vectors(row, t, n, batch.num_rows), np.full(len(rows), -1))
             s = np.full(batch.num_rows, ix.prior)
             why: list[list] = [[] for _ in range(batch.num_rows)]
-            hits = np.flatnonzero(found >= 0)
-            cut = np.searchsorted(hits, at)
-            for r in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                d, c = ix.nearest(*ix.vector(found[hits[cut[r]:cut[r + 1]]]))
+            for r, (d, c) in zip(rows.tolist(), near, strict=True):
                 s[r] = ix.calibrated(ix.vote(d, c)) if len(d) else ix.prior
                 why[r] = [{"example_id": int(ix.ids[i]), "cosine": float(x), "label": int(ix.y[i])}
                           for i, x in zip(d[:evidence], c[:evidence], strict=True)]

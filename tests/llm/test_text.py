@@ -136,6 +136,28 @@ def test_toxicity_held_out_and_exact_search(spark):
     assert {x["score"] for x in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_indexes_every_term(spark):
+    """A language with three toxic examples keeps its terms (default values),
+    and texts that only share a line are separate examples."""
+    docs, lab = _labelled(spark, "scumbag", "fine")
+    r = random.Random(4)
+    few = [f"palabra{i}" for i in range(40)]
+    rows = [(1000 + i, " ".join(r.choice(few) for _ in range(30)) + (" canalla canalla" if i % 4 == 0 else ""))
+            for i in range(16)]
+    line = "a line of five words that many texts hold"
+    rows += [(2000 + i, f"{line} own{i}") for i in range(5)]
+    docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    lab = lab.union(spark.createDataFrame([(i, int(i < 2000 and i % 4 == 0)) for i, _ in rows], "doc_id long, y int"))
+    index = toxicity.fit(docs, lab, F.col("doc_id") != 1000, label="y")
+    held = {x["doc_id"]: x for x in toxicity.score(docs, index).collect()}
+    assert [e["label"] for e in held[1000]["evidence"][:3]] == [1, 1, 1]
+    assert held[1000]["score"] > max(held[1000 + i]["score"] for i in range(16) if i % 4)
+    assert set(range(2000, 2005)) <= set(index.ids.tolist())
+    for _, text in rows[1:]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert (index.find(toxicity.terms(data, np.array([0, len(data)]))[0]) >= 0).all()
+
+
 def test_lm_score_brute_force(spark, docs):
     vocab, net = lm_score.fit(docs, size=50, one_in=2, rounds=2)
     got = lm_score.score(docs, vocab, net).collect()
