@@ -93,7 +93,7 @@ class ToxicityIndex:
         each within a block of examples, are also kept as matrices."""
         n, size = len(self.ids), len(self.vocabulary)
         o = np.lexsort((doc, term))
-        self.doc, self.weight = doc[o].astype(np.int32), weight[o]
+        self.doc, self.weight = doc[o], weight[o]
         self.start = np.searchsorted(term[o], np.arange(size + 1))
         heavy = np.flatnonzero(np.diff(self.start) > HEAVY * n)
         self.column = np.full(size, -1)
@@ -127,11 +127,10 @@ class ToxicityIndex:
                 col = self.column[ti]
                 heavy[i - a, col[col >= 0]] = wi[col >= 0]
                 ti, wi = ti[col < 0], wi[col < 0]
-                lo, hi = self.start[ti], self.start[ti + 1]
-                spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-                if spans:
-                    light[i - a] = np.bincount(np.concatenate([self.doc[x:z] for x, z in spans]),
-                                               np.concatenate([self.weight[x:z] for x, z in spans]) * np.repeat(wi, hi - lo), size)
+                lo = self.start[ti]
+                size_of = self.start[ti + 1] - lo
+                at = np.repeat(lo - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+                light[i - a] = np.bincount(self.doc[at], self.weight[at] * np.repeat(wi, size_of), size)
                 if skip[i] >= 0:
                     light[i - a, skip[i]] = -9.0
             if not size:
