@@ -54,6 +54,10 @@ class ToxicityIndex:
     idf: np.ndarray                        # weight of each term
     ids: np.ndarray                        # example ids, examples with a direction
     y: np.ndarray
+    cut: np.ndarray | None = None          # terms and counts of each example, and its place
+    term: np.ndarray | None = None
+    count: np.ndarray | None = None
+    rank: np.ndarray | None = None
     start: np.ndarray | None = None        # postings of each term: examples and weights
     doc: np.ndarray | None = None
     weight: np.ndarray | None = None
@@ -88,6 +92,14 @@ class ToxicityIndex:
         self.fill(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]),
                   np.concatenate(none + [t for t, _ in vectors]), np.concatenate([np.zeros(0)] + [w for _, w in vectors]))
 
+    def ready(self) -> ToxicityIndex:
+        """Make the postings of ``term`` and ``count``, in the task that uses them."""
+        if self.start is None:
+            size = np.diff(self.cut)
+            row, term = np.repeat(np.arange(len(size)), size), self.term.astype(np.int64)
+            self.fill(np.repeat(self.rank, size), term, self.vectors(row, term, self.count, len(size)))
+        return self
+
     def fill(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """Postings of all terms. The heavy ones, and the greatest weight of
         each within a block of examples, are also kept as matrices."""
@@ -202,33 +214,26 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_trai
                  pa.array(tt, pa.list_(pa.int64())), pa.array(nn, pa.list_(pa.int32())), pa.array(mm, pa.list_(pa.int8()))],
                 names=["id", "y", "sign", "t", "n", "m"])
 
-    rows = stage(sample.mapInArrow(run, schema))
-    first = rows.groupBy("sign").agg(F.min("id").alias("id")).toArrow()  # at most ``max_train`` rows
-    got = rows.toArrow()
-    ids, at = np.unique(got["id"].to_numpy(), return_index=True)
-    at = at[np.isin(ids, first["id"].to_numpy())]
-    got = got.take(pa.array(at))
-    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
-    total, pos = len(ids), float(y.sum())
-    size = np.array([len(x) for x in got["t"]], np.int64)
-    doc = np.repeat(np.arange(total), size)
-
-    def flat(name):
-        return np.concatenate([c.flatten().to_numpy() for c in got[name].chunks]) if total else np.zeros(0, np.int64)
-
-    vocab, first, term = np.unique(flat("t").view(U64), return_index=True, return_inverse=True)
-    count, many = flat("n"), flat("m")[first]
-    df, a = np.bincount(term, minlength=len(vocab)).astype(float), np.bincount(term, y[doc], len(vocab))
+    rows = stage(sample.mapInArrow(run, schema).withColumn("r", F.monotonically_increasing_id()))
+    first = rows.groupBy("sign").agg(F.min(F.struct("id", "r")).alias("f")).select("f.id", "f.r")
+    first = first.groupBy("id").agg(F.min("r").alias("r")).select("r").collect()  # at most ``max_train`` rows
+    first = docs.sparkSession.createDataFrame([(x["r"],) for x in first], "r long")
+    rows = rows.join(F.broadcast(first), "r")
+    total, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    stats = rows.select("y", F.explode(F.arrays_zip("t", "m")).alias("e")).groupBy("e.t").agg(
+        F.count("*").cast("double").alias("df"), F.sum("y").alias("a"), F.max("e.m").alias("m")).toArrow()
+    vocab, df, a, many = (stats[c].to_numpy() for c in ("t", "df", "a", "m"))
+    vocab = vocab.view(U64)
+    o = np.argsort(vocab)
+    vocab, df, a, many = vocab[o], df[o], a[o], many[o]
     base = pos / max(total, 1)
     odds = (a + base / 2) / (df - a + (1 - base) / 2) * (total - pos) / max(pos, 1e-9) if 0 < pos < total else np.ones(len(vocab))
     idf = (np.log((total + 1) / (df + 1)) + 1) * np.log2(1 + np.maximum(odds, 1)) ** 2 * np.sqrt(many)
     if least_gain is not None:
         good = (_gain(df, a, total, pos) >= least_gain) & (a * (total - pos) >= least_odds * (df - a) * pos)
-        new = np.cumsum(good) - 1
-        on = good[term]
-        vocab, idf, term, doc, count = vocab[good], idf[good], new[term[on]], doc[on], count[on]
+        vocab, idf, df = vocab[good], idf[good], df[good]
     idx = ToxicityIndex(vocab, idf, np.zeros(0, np.int64), np.zeros(0), base=base, k=k)
-    fill_index(idx, docs.sparkSession, ids, y, doc, term, count)
+    fill_index(idx, rows, df > HEAVY * total)
     return idx
 
 
@@ -243,40 +248,62 @@ def _gain(df: np.ndarray, a: np.ndarray, total: int, pos: float) -> np.ndarray:
                 + part(total - pos - df + a, total - pos - e0))
 
 
-def fill_index(idx: ToxicityIndex, spark, ids, y, doc, term, count) -> None:
-    """Index the examples with a direction, those that share their heaviest
-    common term side by side, and calibrate by leaving one out, in Spark tasks.
-    doc, term, count: occurrences of vocabulary terms by position in ids."""
-    some, doc = np.unique(doc, return_inverse=True)
-    w = idx.vectors(doc, term, count, len(some))
-    common_ = np.bincount(term, minlength=len(idx.vocabulary)) > HEAVY * len(some)
-    o = np.lexsort((-w, doc))
-    o = o[common_[term[o]]]
-    d, first = np.unique(doc[o], return_index=True)
-    top = np.full(len(some), -1)
-    top[d] = term[o][first]
-    order = np.argsort(top, kind="stable")
-    doc = np.argsort(order)[doc]
-    idx.ids, idx.y = np.asarray(ids)[some][order], np.asarray(y, float)[some][order]
-    idx.prior = float((np.sum(y) - idx.y.sum() + idx.base) / (len(ids) - len(some) + 1.0))
-    idx.fill(doc, term, w)
-    if not len(some):
-        return
+def fill_index(idx: ToxicityIndex, rows: DataFrame, common_terms: np.ndarray) -> None:
+    """Index the examples ``rows`` with a direction, those that share their
+    heaviest common term side by side, and calibrate by leaving one out, in
+    Spark tasks. The driver holds terms and counts of the bounded sample."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((idx, common_terms))
+
+    def place(batches):
+        ix, often = shared.value
+        for batch in batches:
+            top, tt, nn = [], [], []
+            for t, n in zip(column(batch, "t"), column(batch, "n"), strict=True):
+                at = ix.find(t.values.to_numpy().view(U64))
+                n, at = n.values.to_numpy()[at >= 0], at[at >= 0]
+                w = np.log1p(n) * ix.idf[at] * often[at]
+                top.append(int(at[np.argmax(w)]) if len(w) and w.max() > 0 else -1)
+                tt.append(at.astype(np.int32))
+                nn.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "id"), column(batch, "y"), pa.array(top, pa.int32()), pa.array(tt, pa.list_(pa.int32())),
+                 pa.array(nn, pa.list_(pa.int32()))], names=["id", "y", "top", "t", "n"])
+
+    got = rows.mapInArrow(place, "id long, y double, top int, t array<int>, n array<int>").toArrow()
+    shared.destroy()
+    size = np.array([0], np.int64)
+    if got.num_rows:
+        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["t"].chunks])
+    ids, y, top = (got[c].to_numpy() for c in ("id", "y", "top"))
+    some = np.flatnonzero(size[:len(ids)] > 0)
+    idx.prior = float((y.sum() - y[some].sum() + idx.base) / (len(ids) - len(some) + 1.0))
+    order = np.lexsort((ids[some], top[some]))
+    idx.ids, idx.y = ids[some][order], y[some][order]
+    idx.rank = np.argsort(order)
+    idx.cut = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int64)
+    none = [np.zeros(0, np.int32)]
+    idx.term = np.concatenate(none + [c.flatten().to_numpy() for c in got["t"].chunks])
+    idx.count = np.concatenate(none + [c.flatten().to_numpy() for c in got["n"].chunks])
+    del got
     n = len(some)
-    o = np.lexsort((term, doc))
-    cut = np.searchsorted(doc[o], np.arange(n + 1))
-    shared = spark.sparkContext.broadcast((idx, cut, term[o].astype(np.int32), w[o]))
+    if not n:
+        return
+    shared = spark.sparkContext.broadcast(idx)
 
     def run(batches):
-        ix, cut, t, w = shared.value
+        ix = shared.value.ready()
         for batch in batches:
             at = column(batch, "id").to_numpy()
             for a in range(0, len(at), BATCH):
                 rows = at[a:a + BATCH]
-                own = np.concatenate([np.arange(cut[r], cut[r + 1]) for r in rows])
-                near = ix.search(np.concatenate([[0], np.cumsum(cut[rows + 1] - cut[rows])]), t[own], w[own], rows)
+                size = ix.cut[rows + 1] - ix.cut[rows]
+                own = np.concatenate([np.arange(ix.cut[r], ix.cut[r + 1]) for r in rows])
+                t = ix.term[own].astype(np.int64)
+                w = ix.vectors(np.repeat(np.arange(len(rows)), size), t, ix.count[own], len(rows))
+                near = ix.search(np.concatenate([[0], np.cumsum(size)]), t, w, ix.rank[rows])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array([ix.vote(*x) for x in near]), pa.array([len(d) > 0 for d, _ in near])],
+                    [pa.array(ix.rank[rows]), pa.array([ix.vote(*x) for x in near]), pa.array([len(d) > 0 for d, _ in near])],
                     names=["r", "v", "hit"])
 
     got = spark.range(0, n, 1, max(1, min(24, n // BATCH))).mapInArrow(run, "r long, v double, hit boolean").toArrow()
@@ -302,7 +329,7 @@ def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_co
     arrow = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
-        ix = shared.value
+        ix = shared.value.ready()
         for batch in slices(batches, text_col):
             h, at, _ = terms(*buffers(column(batch, text_col)))
             u, back = np.unique(h, return_inverse=True)
