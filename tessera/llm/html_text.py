@@ -30,7 +30,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 _CONTAINER = frozenset("article main section div td body center".split())
-_DROP = frozenset("nav footer aside form button header dialog menu fieldset head figure video audio canvas".split())
+_DROP = frozenset("nav footer aside form button header dialog menu fieldset head video audio canvas".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu "
                        "menubar toolbar status note".split())
 _DROP_WORD = frozenset(
@@ -39,6 +39,12 @@ _DROP_WORD = frozenset(
     "widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended comment comments commentlist reply replies respond disqus "
     "discussion feedback pagination pager tags toolbar search skip form".split())
+# words that headings also get as generated ids; an id of these says nothing
+_TOPIC_WORD = frozenset(
+    "advert adverts advertisement advertising alert comment consent cookie cookies copyright discussion feedback form "
+    "login menu menus navigation newsletter notice notices promotion recommended related reply replies search share "
+    "sharing social subscribe subscription tags widget widgets ads".split())
+_KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 hgroup p figcaption figure blockquote pre".split())
 _GOOD_WORD = frozenset("content article post entry story body text main".split())
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -46,15 +52,41 @@ _DIGITS = re.compile(r"\d+")
 
 class Page:
     """Containers (parent, path, prior) and blocks (container, text, share of
-    link text) of one page, in page order."""
+    link text) of one page, in page order. Subtrees whose class or id names
+    boilerplate are regions: they go unless they hold an article or main or,
+    on a page without one, most of the prose."""
 
     def __init__(self, source: str):
         self.parent, self.path, self.prior = [-1], ["body"], [1.0]
         self.blocks: list[tuple[int, str, float]] = []
+        self.region: list[list] = []    # [parent, holds an article or main]
+        self.inside: list[int] = []     # region of each block, -1 for none
+        self.main = False               # the page has an article or main
         self._read(source)
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Take the blocks of boilerplate regions out."""
+        if not self.region:
+            return
+        own = [0.0] * len(self.region)
+        prose = [len(t) * (1 - link) if link < 0.5 else 0.0 for _, t, link in self.blocks]
+        total = sum(prose)
+        for r, n in zip(self.inside, prose, strict=True):
+            if r >= 0:
+                own[r] += n
+        for r in range(len(own) - 1, -1, -1):  # a region comes after the one around it
+            up, main = self.region[r]
+            if up >= 0:
+                own[up] += own[r]
+                self.region[up][1] |= main
+        gone: list[bool] = []
+        for r, (up, main) in enumerate(self.region):
+            gone.append(up >= 0 and gone[up] or not main and (self.main or own[r] <= 0.5 * total))
+        self.blocks = [b for b, r in zip(self.blocks, self.inside, strict=True) if r < 0 or not gone[r]]
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # (tag, container, dropped)
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # (tag, container, dropped, region)
         text: list[str] = []
         links = 0
         in_link = False
@@ -82,13 +114,14 @@ class Page:
             if tag in _INLINE and not closing:  # only a dropped one matters
                 if tag == "a":
                     in_link = True
-                if not _dropped(tag, attrs):
+                if not _dropped(tag, attrs) and not _boilerplate(tag, attrs):
                     continue
             if tag not in _INLINE and text:
                 joined = "".join(text)
                 flat = " ".join((_html.unescape(joined) if "&" in joined else joined).split())
                 if flat:
                     blocks.append((stack[-1][1], flat, links / max(len(joined), 1)))
+                    self.inside.append(stack[-1][3])
                 text, links = [], 0
             if tag in _VOID:
                 continue
@@ -102,6 +135,17 @@ class Page:
                 if stack[-1][0] == tag:
                     stack.pop()
             at, drop = stack[-1][1], stack[-1][2] or tag in _DROP or bool(attrs) and _dropped(tag, attrs)
+            region = stack[-1][3]
+            if not drop and tag in ("article", "main"):
+                self.main = True
+                if region >= 0:
+                    self.region[region][1] = True
+            if not drop and attrs and _boilerplate(tag, attrs):
+                if tag in _INLINE:
+                    drop = True
+                else:
+                    self.region.append([region, False])
+                    region = len(self.region) - 1
             if tag in _CONTAINER and not drop:
                 if tag == "body":
                     at = 0
@@ -119,10 +163,11 @@ class Page:
                     path.append(f"{path[at]}/{step}")
                     prior.append(good)
                     at = len(parent) - 1
-            stack.append((tag, at, drop))
+            stack.append((tag, at, drop, region))
         flat = " ".join(_html.unescape("".join(text)).split())
         if flat:
             blocks.append((stack[-1][1], flat, links / max(len(flat), 1)))
+            self.inside.append(stack[-1][3])
 
     def best(self) -> tuple[int, float]:
         """Container of most prose: its prose squared over all its text,
@@ -153,15 +198,26 @@ class Page:
         return "\n\n".join([t for c, t, _ in self.blocks if inside[c]])
 
 
+def _boilerplate(tag: str, attrs: str) -> bool:
+    """Whether a whole class or id names boilerplate; those of the page, of
+    headings and of paragraphs do not count."""
+    if tag in _KEPT:
+        return False
+    for m in _ATTR.finditer(attrs):
+        name = (m.group(1) or "").lower()
+        if name in ("class", "id"):
+            words = _DROP_WORD.intersection((m.group(2) or m.group(3) or m.group(4) or "").lower().split())
+            if words - _TOPIC_WORD if name == "id" else words:
+                return True
+    return False
+
+
 def _dropped(tag: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         if m.group(5):
             return True
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name in ("class", "id"):
-            if tag not in ("body", "article", "main") and _DROP_WORD.intersection(_WORD.findall(value)):
-                return True
-        elif name == "role" and value in _DROP_ROLE or name == "aria-hidden" and value == "true":
+        if name == "role" and value in _DROP_ROLE or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True

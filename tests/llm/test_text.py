@@ -94,6 +94,23 @@ def test_html(spark):
     assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_articles_of_marked_pages():
+    prose = "<p>First paragraph of prose that is long enough to count as such.</p>"
+    want = "First paragraph of prose that is long enough to count as such."
+    for shell in ('<div class="site-content has-sidebar">%s</div>', '<div class="content no-sidebar">%s</div>',
+                  '<html class="js cookie-consent"><body>%s</body></html>', '<div class="page header-fixed">%s</div>',
+                  '<html class="modal"><body class="sidebar"><div class="widget"><main>%s</main></div></body></html>'):
+        got = html_text.Page(shell % f'<article>{prose}</article><div class="sidebar">Other pages</div>').text(None)
+        assert got == want, shell
+    side = '<div class="sidebar"><p>A box that stands beside the text of the page.</p></div>'
+    assert html_text.Page(f"<body><div>{prose}{prose}</div>{side}</body>").text("body") == f"{want}\n\n{want}"
+    assert html_text.Page(f'<body><div class="widget">{prose}</div><p>x</p></body>').text("body") == f"{want}\n\nx"
+    page = html_text.Page(f"""<article>{prose}<h2 id="related-work">Related work</h2><section id="discussion"><p>Spoken.</p>
+        </section><h2 class="search" id="search">Search</h2><p id="search-methods">Methods.</p><div class="feedback-loop">Loops.</div>
+        <figure><img src=a><figcaption>Caption.</figcaption></figure><div class="comments"><p>Gone.</p></div></article>""")
+    assert page.text(None).split("\n\n") == [want, "Related work", "Spoken.", "Search", "Methods.", "Loops.", "Caption."]
+
+
 def _labelled(spark, bad, good, n=200):
     r = random.Random(9)
     words = [f"word{i}" for i in range(300)]
