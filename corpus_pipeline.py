@@ -8,27 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, minhash_dedup, packing, quality, toxicity
-from tessera.llm.common import stage, table
+from tessera.llm.common import free_name, stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3; all labelled ones train."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    kept = quality.score(docs, model, keep_columns=tuple(docs.columns))
-    return kept.where("score >= 0.3").select(*docs.columns)
+    name = free_name("_stage_score", docs.columns)
+    kept = quality.score(docs, model, keep_columns=tuple(docs.columns), out=name)
+    return kept.where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, index, keep_columns=tuple(docs.columns)).where("score < 0.7").select(*docs.columns)
+    name, why = (free_name(c, docs.columns) for c in ("_stage_score", "_stage_evidence"))
+    kept = toxicity.score(docs, index, keep_columns=tuple(docs.columns), out=(name, why))
+    return kept.where(F.col(name) < 0.7).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document left without any line
     goes, one that had none before stays. n_chars follows the text."""
-    got = line_dedup.dedup(docs).where("n_dropped = 0 or n_dropped < n_lines")
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    total, lost = (free_name(c, docs.columns) for c in ("_stage_lines", "_stage_dropped"))
+    got = line_dedup.dedup(docs, out=(total, lost)).where((F.col(lost) == 0) | (F.col(lost) < F.col(total)))
+    n_chars = F.when(F.col(lost) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return got.withColumn("n_chars", n_chars).select(*docs.columns)
 
 

@@ -67,6 +67,15 @@ def holding(df: DataFrame, id_col: str, ids: DataFrame, hit: bool = True) -> Dat
     return got.where(F.expr("coalesce(bit_get(_bits, _bit), 0)") == int(hit)).select(*df.columns)
 
 
+def free_name(name: str, taken) -> str:
+    """``name`` with as many leading underscores as it takes to differ from
+    all ``taken`` names (Spark does not tell case apart)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 # ------------------------------------------------------------ arrow texts
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, _powers, buffers, column, holding, mix, slices, stage
+from tessera.llm.common import U64, _powers, buffers, column, free_name, holding, mix, slices, stage
 
 _CHARS = mix(np.arange(1 << 16, dtype=np.uint64) + U64(99))
 _CHARS[65:91] = _CHARS[97:123]
@@ -218,17 +218,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id",
     return got.where(F.col("near") | ~own).select("id", "line", "h", (F.col("near") & own).alias("near"))
 
 
-def dedup(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text",
+          out: tuple[str, str] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the dropped lines taken out of
-    the text, and n_lines, n_dropped (lines that are not blank; a leading
-    underscore where ``docs`` has such a column). Null texts stay null and
+    the text, and n_lines, n_dropped (lines that are not blank), named
+    ``out``, by default with leading underscores on a clash. Null texts stay null and
     rows without an id stay as they are; they give no lines to compare with.
     Rows that repeat an id count as one document: a line is dropped from each
     of them alike. The order of ids decides which line is the earliest, not
     the order of rows."""
     per = stage(dropped_lines(docs, min_chars, id_col, text_col).groupBy("id").agg(
         F.collect_set(F.struct("line", "h")).alias("_gone")))  # of one document's lines
-    counts = [c if c not in docs.columns else f"_{c}" for c in ("n_lines", "n_dropped")]
+    counts = out or [free_name(c, docs.columns) for c in ("n_lines", "n_dropped")]
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.IntegerType()) for c in counts]])
     gone = holding(docs, id_col, per).withColumn("_id", F.col(id_col).cast("long")).join(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, buffers, column, mix, slices, span_hashes, word_spans
+from tessera.llm.common import U64, buffers, column, free_name, mix, slices, span_hashes, word_spans
 
 GROUPS = ((0, 1), (0, 2), (1, 1), (1, 2), (1, 3))  # (stream, n)
 
@@ -147,12 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", max_tr
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text",
-          keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep_columns, score) for every row; the whole text counts. Null
+          keep_columns: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
+    """(id, *keep_columns, score) for every row; the whole text counts. The
+    score is named ``out``, by default score with underscores on a clash. Null
     and empty texts get the model's bias as score. Repeated rows are scored
     alike, other columns are not read."""
     names = list(dict.fromkeys([id_col, *keep_columns]))
-    out = "score" if "score" not in names else "_score"
+    out = out or free_name("score", names)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import common
-from tessera.llm.common import U64, buffers, column, mix, slices, span_hashes, stage
+from tessera.llm.common import U64, buffers, column, free_name, mix, slices, span_hashes, stage
 from tessera.llm.quality import labelled_sample
 
 _OTHER = np.ones(256, bool)
@@ -314,15 +314,16 @@ def fill_index(idx: ToxicityIndex, rows: DataFrame, common_terms: np.ndarray) ->
 
 
 def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_col: str = "text",
-          keep_columns: tuple[str, ...] = (), evidence: int = 5) -> DataFrame:
+          keep_columns: tuple[str, ...] = (), evidence: int = 5, out: tuple[str, str] | None = None) -> DataFrame:
     """(id, *keep_columns, score, evidence) for every row, from the whole
-    text. ``evidence``: the nearest examples as (example_id, cosine, label).
+    text. The last two are named ``out``, by default score and evidence with
+    underscores on a clash. ``evidence``: the nearest examples as (example_id, cosine, label).
     Null and empty texts have no term: score ``index.prior``, no evidence.
     The index is broadcast; its size is bounded by the fitted sample."""
     names = list(dict.fromkeys([id_col, *keep_columns]))
     item = T.StructType([T.StructField("example_id", T.LongType()), T.StructField("cosine", T.DoubleType()),
                          T.StructField("label", T.IntegerType())])
-    out = [c if c not in names else f"_{c}" for c in ("score", "evidence")]
+    out = out or [free_name(c, names) for c in ("score", "evidence")]
     schema = T.StructType([docs.schema[c] for c in names] + [
         T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.ArrayType(item))])
     shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -229,3 +229,17 @@ def test_pipeline_stages(spark):
         kept = spark.createDataFrame(out.collect(), docs.schema)
     packed = p.STAGES[-1][1](spark, kept, sf)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_stages_ignore_columns_of_the_input(spark):
+    import corpus_pipeline as p
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = docs.withColumns({"Score": F.lit(0.1), "_score": F.lit(0.9), "evidence": F.lit("x"), "n_lines": F.lit(1),
+                              "n_dropped": F.lit(1), "kept": F.lit(False)})
+    for _, f in p.STAGES[:3]:
+        want, got = f(spark, docs, sf), f(spark, clash, sf)
+        assert got.columns == clash.columns
+        key = [F.col("doc_id"), F.col("text"), F.col("n_chars")]
+        assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
+        assert got.where("Score <> 0.1 or _score <> 0.9 or n_lines <> 1 or n_dropped <> 1").isEmpty()
