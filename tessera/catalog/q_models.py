@@ -92,8 +92,7 @@ def trn12_train_classification(spark, d):
 def trn12_multiclass_logistic(spark, d):
     df = _multi(spark, d)
     tr, te = split(df, "vec_id", 0.25)
-    res, _best, _m = TR.train_classification(tr, te, "label", [f"e{i}" for i in range(64)],
-                                             ["logistic_regression", "naive_bayes", "decision_tree"])
+    res, _best, _m = TR.train_classification(tr, te, "label", [f"e{i}" for i in range(64)])
     return round_doubles(res)
 
 
@@ -137,7 +136,7 @@ def prd2_save_load_model(spark, d):
 
 @register("sel6_rfe_forest")
 def sel6_rfe_forest(spark, d):
-    return TR.rfe(_reg(spark, d).drop("o_orderkey"), "o_totalprice", k=2, est="forest", n_trees=50)
+    return TR.rfe(_reg(spark, d).drop("o_orderkey"), "o_totalprice", k=2, est="forest")
 
 
 @register("sel7_rfe_logistic")
@@ -178,8 +177,7 @@ def noi2_detect_label_noise(spark, d):
 
 @register("noi3_detect_regression_noise")
 def noi3_detect_regression_noise(spark, d):
-    review, _report = N.detect_label_noise_regression(_reg(spark, d), "o_totalprice", keys="o_orderkey",
-                                                      n_trees=50)
+    review, _report = N.detect_label_noise_regression(_reg(spark, d), "o_totalprice", keys="o_orderkey")
     return review
 
 
