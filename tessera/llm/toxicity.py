@@ -89,30 +89,44 @@ class ToxicityIndex:
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         none = [np.zeros(0, np.int64)]
-        self.fill(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]),
-                  np.concatenate(none + [t for t, _ in vectors]), np.concatenate([np.zeros(0)] + [w for _, w in vectors]))
+        term = np.concatenate(none + [t for t, _ in vectors])
+        self.place(np.bincount(term, minlength=len(self.vocabulary)),
+                   [(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]), term,
+                     np.concatenate([np.zeros(0)] + [w for _, w in vectors]))])
 
     def ready(self) -> ToxicityIndex:
         """Make the postings of ``term`` and ``count``, in the task that uses them."""
         if self.start is None:
-            size = np.diff(self.cut)
-            row, term = np.repeat(np.arange(len(size)), size), self.term.astype(np.int64)
-            self.fill(np.repeat(self.rank, size), term, self.vectors(row, term, self.count, len(size)))
+            def part(a, b):
+                lo, hi = self.cut[a], self.cut[b]
+                size, term = np.diff(self.cut[a:b + 1]), self.term[lo:hi].astype(np.int64)
+                return np.repeat(self.rank[a:b], size), term, self.vectors(
+                    np.repeat(np.arange(b - a), size), term, self.count[lo:hi], b - a)
+            n = len(self.rank)
+            self.place(np.bincount(self.term, minlength=len(self.vocabulary)),
+                       (part(a, min(a + 4 * BATCH, n)) for a in range(0, n, 4 * BATCH)))
         return self
 
-    def fill(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """Postings of all terms. The heavy ones, and the greatest weight of
-        each within a block of examples, are also kept as matrices."""
-        n, size = len(self.ids), len(self.vocabulary)
-        o = np.lexsort((doc, term))
-        self.doc, self.weight = doc[o], weight[o]
-        self.start = np.searchsorted(term[o], np.arange(size + 1))
-        heavy = np.flatnonzero(np.diff(self.start) > HEAVY * n)
-        self.column = np.full(size, -1)
+    def place(self, df: np.ndarray, parts) -> None:
+        """Postings of all terms from (example, term, weight) parts, one part
+        in memory at a time. The heavy ones, and the greatest weight of each
+        within a block of examples, are also kept as matrices."""
+        n = len(self.ids)
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.doc, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
+        heavy = np.flatnonzero(df > HEAVY * n)
+        self.column = np.full(len(df), -1)
         self.column[heavy] = np.arange(len(heavy))
         self.dense = np.zeros((-(-n // BLOCK) * BLOCK, len(heavy)))
-        at = self.column[term]
-        self.dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        free = self.start[:-1].copy()
+        for doc, term, weight in parts:
+            o = np.argsort(term, kind="stable")
+            t, first, many = np.unique(term[o], return_index=True, return_counts=True)
+            at = np.repeat(free[t] - first, many) + np.arange(len(o))
+            free[t] += many
+            self.doc[at], self.weight[at] = doc[o], weight[o]
+            col = self.column[term]
+            self.dense[doc[col >= 0], col[col >= 0]] = weight[col >= 0]
         self.block_max = self.dense.reshape(len(self.dense) // BLOCK, BLOCK, len(heavy)).max(1).T
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
