@@ -345,6 +345,7 @@ def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_co
 
     def run(batches):
         ix = shared.value.ready()
+        ix.term = ix.count = None  # the postings hold them
         for batch in slices(batches, text_col):
             h, at, _ = terms(*buffers(column(batch, text_col)))
             u, back = np.unique(h, return_inverse=True)
