@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, embed_dedup, html_text, line_dedup, lm_score, minhash_dedup, packing, piece_bpe, quality, toxicity
+from tessera.llm import (ann, embed_dedup, html_text, line_dedup, lm_score, minhash_dedup, mixing, packing, phrases,
+                         piece_bpe, quality, toxicity, whiten)
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,19 @@ def op10(spark, d):
     vectors = table(spark, d, "embeddings")
     asked = vectors.where(F.col("vec_id") % 100 == 0)
     return ann.search(vectors, asked, ann.fit(vectors))
+
+
+@register("op11_embedding_whitening")
+def op11(spark, d):
+    got = whiten.components(table(spark, d, "embeddings"), k=8)
+    return got.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@register("op12_phrase_collocations", oracle=phrases.SQL)
+def op12(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
+
+
+@register("op13_source_mixing", oracle=mixing.SQL)
+def op13(spark, d):
+    return mixing.taken(mixing.plan(table(spark, d, "documents")))
