@@ -40,7 +40,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLES = [np.random.Generator(np.random.PCG64(s)).integers(1, 1 << 63, 256, dtype=np.uint64) for s in (41, 42)]
 _P = U64(0x9E3779B97F4A7C15)
-SLICE = 1 << 22                  # bytes of text in a row of a relation, about
+SLICE = 1 << 20                  # bytes of text in a row of a relation, about
 _BITS = (1 << 20, 1 << 29)       # least and most bits of a filter
 
 
