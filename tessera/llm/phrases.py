@@ -106,12 +106,10 @@ def _row(**cols) -> pa.RecordBatch:
 def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """R1 as a staged table."""
     def run(batches):
-        for batch in batches:
-            langs = column(batch, "lang")
+        for part in slices(batches, "text", 4 * SLICE):
+            langs = column(part, "lang")
             for lang in langs.unique().to_pylist():
-                own = batch.filter(pc.equal(langs, lang))
-                for part in slices([own], "text", SLICE):
-                    yield from _words(lang, column(part, "text"))
+                yield from _words(lang, column(part.filter(pc.equal(langs, lang)), "text"))
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     return stage(rows.where("length(text) > 0").mapInArrow(
