@@ -41,6 +41,7 @@ _LOWER[65:91] += 32
 _TABLES = [np.random.Generator(np.random.PCG64(s)).integers(1, 1 << 63, 256, dtype=np.uint64) for s in (41, 42)]
 _P = U64(0x9E3779B97F4A7C15)
 SLICE = 1 << 20                  # bytes of text in a row of a relation, about
+_PARTS = 64                      # parts of a lang ranked on their own first
 _BITS = (1 << 20, 1 << 29)       # least and most bits of a filter
 
 
@@ -280,10 +281,14 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
         got = got.select(F.array(*[f"id{k + 1}" for k in range(n)]).alias("ids"), "a", "l", "r", "score")
         rows = got if rows is None else rows.unionByName(got)
     rows = rows.join(words.select("id1", "lang"), F.col("ids")[0] == F.col("id1")).drop("id1")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    rows = stage(rows.withColumn("place", F.rank().over(order)).where(F.col("place") <= top).drop("place"))
+    # the first of each lang: first within parts of it, then among those
+    best = [F.desc("score"), F.desc("a")]
+    for by in (["lang", F.pmod(F.xxhash64("ids"), F.lit(_PARTS))], ["lang"]):
+        rows = rows.withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(*best)))
+        rows = rows.where(F.col("place") <= top).drop("place")
+    rows = stage(rows)
     named = _named(r1, rows)
-    order = order.orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = Window.partitionBy("lang").orderBy(*best, "phrase")
     got = named.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     got = stage(got.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
     drop_staged(r1, words, rows, *old, *[counts[n] for n in candidates])
