@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import is_numeric_type
 from tessera.operators.clean import UNKNOWN, apply_fills
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
+from tessera.operators.neighbours import impute_knn  # noqa: F401 - IMP5, multi-column mode
 from tessera.operators.profile import missing_profile_rows
 from tessera.plans.stats import aggregate, modes, quantiles, stats_input
 
