@@ -2,27 +2,32 @@
 
 Fitting collects per-column category statistics with one aggregation per
 column group. While a column has at most ``MAP_LIMIT`` categories its codes
-live in the fitted state and ``transform`` is a projection over literal
-maps (broadcast with the plan, stream-safe, whole-stage codegen). Above
-that, codes stay distributed: a code table computed with a distributed
-global rank and joined on the value (shuffle join; AQE splits hot values).
+live in the fitted state: up to ``LITERAL_LIMIT`` of them as a literal map
+(whole-stage codegen), more as a broadcast table of at most ``MAP_LIMIT``
+rows. Above that, codes stay distributed: a code table computed with a
+distributed global rank and joined on the value (shuffle join; AQE splits hot
+values). A saved model takes its code tables along.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import dtype_name, is_numeric_type, string_columns
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.plans.ranks import global_row_number
-from tessera.plans.stats import aggregate, distinct_counts, stats_input
+from tessera.plans.stats import _chunks, _exploded_counts, aggregate, distinct_counts, stats_input
 
-MAP_LIMIT = 10_000      # categories kept as a literal map in the fitted state
-ONEHOT_LIMIT = 1_000    # widest one-hot we build; wider fails loudly
+MAP_LIMIT = 10_000      # categories kept in the fitted state
+LITERAL_LIMIT = 256     # of them in a literal map, which is scanned row by row
+ONEHOT_LIMIT = 1_000    # most one-hot columns; above, one sparse vector column
+CLASS_LIMIT = 1_000_000  # class labels a model keeps as a list
 NULL_TEXT = "None"      # pandas astype(str) of a missing object value
 
 # Hint words that mark a text column as ordinal (ENC1).
@@ -53,6 +58,22 @@ def _advice(n_unique: int, has_hint: bool, rule: str) -> str:
     return "frequency"
 
 
+def _smallest(df: DataFrame, cols: list, n: int) -> dict:
+    """Up to ``n`` smallest values per column, in order, as the text Python
+    gives them; the columns' top-n selections run as one job."""
+    parts = []
+    for i, c in enumerate(cols):
+        top = df.select(F.col(c).alias("v")).where("v is not null").distinct().orderBy("v").limit(n)
+        entry = F.struct(*[(F.col("v") if k == i else F.lit(None).cast(df.schema[d].dataType)).alias(f"v{k}")
+                           for k, d in enumerate(cols)])
+        parts.append(top.select(F.lit(i).alias("i"), entry.alias("s")))
+    out: dict = {c: [] for c in cols}
+    for part in _chunks(list(range(len(cols)))):
+        for r in reduce(DataFrame.unionByName, [parts[i] for i in part]).collect():
+            out[cols[r["i"]]].append(r["s"][r["i"]])
+    return {c: [str(v) for v in sorted(vs)] for c, vs in out.items()}
+
+
 def encoding_advice_rows(df: DataFrame, target: str, rule: str = "analysis",
                          samples: int = 5) -> list[dict]:
     """ENC1/ENC2/ENC10 statistics: distinct counts (one exploded pass), hint
@@ -63,6 +84,7 @@ def encoding_advice_rows(df: DataFrame, target: str, rule: str = "analysis",
     text = [c for c in cols if c != target and not is_numeric_type(df.schema[c].dataType)]
     hints = aggregate(df, {c: F.bool_or(F.lower(F.trim(F.col(c).cast("string"))).isin(ORDINAL_HINT_WORDS))
                            for c in text}) if text else {}
+    shown = _smallest(df, cols, samples) if samples else {}
     rows = []
     for c in cols:
         dt = df.schema[c].dataType
@@ -72,11 +94,7 @@ def encoding_advice_rows(df: DataFrame, target: str, rule: str = "analysis",
             rec, needs = "none", False
         else:
             rec, needs = _advice(nun[c], bool(hints.get(c)), rule), True
-        sample = None
-        if samples:
-            vals = [r[0] for r in df.where(F.col(c).isNotNull()).select(F.col(c)).distinct()
-                    .orderBy(F.col(c)).limit(samples).collect()]
-            sample = ", ".join(str(v) for v in vals)
+        sample = ", ".join(shown[c]) if samples else None
         rows.append({"column_name": c, "dtype": dtype_name(dt), "n_unique": nun[c],
                      "is_target": is_target, "needs_encoding": needs, "recommended": rec,
                      "sample_values": sample})
@@ -144,7 +162,9 @@ def _fit_column(df: DataFrame, c: str, method: str, order_key: str | None, workd
     if method == "onehot":
         cats = _sorted_categories(df, c, null_as_text=True)
         if cats is None or len(cats) - 1 > ONEHOT_LIMIT:
-            raise ValueError(f"one-hot of {c!r} would exceed {ONEHOT_LIMIT} columns")
+            state = _fit_ordinal_table(df, c, workdir)
+            size = df.sparkSession.read.parquet(state["table"]).count()
+            return {"method": "onehot_vector", "table": state["table"], "size": size, "name": f"{c}_onehot"}
         return {"method": "onehot", "categories": cats,
                 "names": [f"{c}_{v}" for v in cats[1:]]}
     if method == "frequency":
@@ -163,20 +183,23 @@ def _fit_column(df: DataFrame, c: str, method: str, order_key: str | None, workd
                     .agg((F.min(F.col(order_key)) if order_key else F.lit(0)).alias("first")))
         head = firsts.limit(MAP_LIMIT + 1).collect()
         if len(head) > MAP_LIMIT:
-            raise ValueError(f"binary encoding of {c!r}: more than {MAP_LIMIT} categories")
+            ranked = global_row_number(firsts, ["first", "v"], out="code").select("v", "code")
+            table = _save(ranked, workdir, c)
+            return {"method": "binary", "table": table, **_bits(c, df.sparkSession.read.parquet(table).count())}
         head.sort(key=lambda r: (r["first"], r["v"]))
-        codes = {r["v"]: i for i, r in enumerate(head)}
-        n_bits = max(1, int(math.ceil(math.log2(len(codes) + 1))))
-        return {"method": "binary", "codes": codes, "n_bits": n_bits,
-                "names": [f"{c}_bit{b}" for b in range(n_bits)]}
+        return {"method": "binary", "codes": {r["v"]: i for i, r in enumerate(head)}, **_bits(c, len(head))}
     raise ValueError(f"unknown encoding {method!r}")
 
 
+def _bits(c: str, categories: int) -> dict:
+    n = max(1, int(math.ceil(math.log2(categories + 1))))
+    return {"n_bits": n, "names": [f"{c}_bit{b}" for b in range(n)]}
+
+
 def _fit_batched(df: DataFrame, methods: dict) -> dict:
     """Code maps for many text columns at once: one distinct-estimate pass,
     then value counts per column (chunked union jobs, map-side combined).
     Columns above MAP_LIMIT categories are left to the per-column path."""
-    from tessera.plans.stats import _chunks, _exploded_counts
     if not methods:
         return {}
     keyed = {c: (as_text(c) if m != "frequency" else F.col(c).cast("string")) for c, m in methods.items()}
@@ -200,7 +223,7 @@ def _fit_batched(df: DataFrame, methods: dict) -> dict:
             state[c] = {"method": "ordinal", "categories": cats}
         elif m == "onehot":
             if len(cats) - 1 > ONEHOT_LIMIT:
-                raise ValueError(f"one-hot of {c!r} would exceed {ONEHOT_LIMIT} columns")
+                continue                 # one sparse vector column instead
             state[c] = {"method": "onehot", "categories": cats, "names": [f"{c}_{v}" for v in cats[1:]]}
         else:
             total = sum(n for _, n in vals)
@@ -217,53 +240,81 @@ def _save(df: DataFrame, workdir: str | None, c: str) -> str:
     return path
 
 
+def _code_table(values: DataFrame, c: str, workdir: str | None) -> str:
+    """Path of a table (v, code): the distinct values in sorted order."""
+    return _save(global_row_number(values.distinct(), ["v"], out="code"), workdir, c)
+
+
 def _fit_ordinal_table(df, c, workdir):
-    values = df.select(as_text(c).alias("v")).distinct()
-    ranked = global_row_number(values, ["v"], out="code")
-    return {"method": "ordinal", "table": _save(ranked, workdir, c)}
+    return {"method": "ordinal", "table": _code_table(df.select(as_text(c).alias("v")), c, workdir)}
+
+
+class Lookups:
+    """Codes of column values, as literal maps or as columns joined in."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.joins = spark, []
+
+    def code(self, key: Column, codes, kind: str, default) -> Column:
+        """Code of ``key`` by ``codes``, a dict or the path of a code table."""
+        if isinstance(codes, dict) and len(codes) <= LITERAL_LIMIT:
+            got = F.element_at(_literal_map(codes, kind), key)
+        else:
+            alias = f"__code_{len(self.joins)}"
+            if isinstance(codes, dict):          # at most MAP_LIMIT rows
+                rows = self.spark.createDataFrame(list(codes.items()), f"v string, code {kind}")
+                table = F.broadcast(rows)
+            else:
+                table = self.spark.read.parquet(codes)
+            self.joins.append((key, table.select(F.col("v").alias(f"{alias}_v"), F.col("code").alias(alias))))
+            got = F.col(alias)
+        return F.coalesce(got, F.lit(default)).cast(kind)
+
+    def join(self, df: DataFrame) -> DataFrame:
+        for key, table in self.joins:
+            df = df.join(table, key == F.col(table.columns[0]), "left")
+        return df
+
+
+def numbered(values: list) -> dict:
+    return {v: i for i, v in enumerate(values)}
 
 
 def _apply(df: DataFrame, state: dict) -> DataFrame:
-    """Projection (literal maps) plus, for huge columns, joins on the value."""
-    spark = df.sparkSession
+    """One projection over literal maps and joined code columns."""
+    look = Lookups(df.sparkSession)
     out_cols: list[Column] = []
     appended: list[Column] = []
-    joins = []
+    vectors = []
     for f in df.schema.fields:
         c = f.name
         st = state.get(c)
         if st is None:
             out_cols.append(F.col(c))
             continue
-        m = st["method"]
-        if "table" in st:
-            alias = f"__code_{len(joins)}"
-            joins.append((c, st, alias))
-            if m == "ordinal":
-                out_cols.append(F.coalesce(F.col(alias), F.lit(-1)).cast("int").alias(c))
-            else:
-                out_cols.append(F.coalesce(F.col(alias), F.lit(0.0)).alias(c))
-        elif m == "ordinal":
-            mp = _literal_map({v: i for i, v in enumerate(st["categories"])}, "int")
-            out_cols.append(F.coalesce(F.element_at(mp, as_text(c)), F.lit(-1)).cast("int").alias(c))
+        m, text = st["method"], F.col(c).cast("string")
+        if m == "ordinal":
+            out_cols.append(look.code(as_text(c), st.get("table") or numbered(st["categories"]), "int", -1).alias(c))
         elif m == "frequency":
-            mp = _literal_map(st["freq"], "double")
-            out_cols.append(F.coalesce(F.element_at(mp, F.col(c).cast("string")), F.lit(0.0)).alias(c))
+            out_cols.append(look.code(text, st.get("table") or st["freq"], "double", 0.0).alias(c))
         elif m == "onehot":
             for v, name in zip(st["categories"][1:], st["names"]):
                 appended.append((as_text(c) == F.lit(v)).cast("double").alias(name))
+        elif m == "onehot_vector":
+            # code 0 (the dropped category) and unseen values: the index whose vector is empty
+            code = look.code(as_text(c), st["table"], "int", 0)
+            appended.append(F.when(code > 0, code - 1).otherwise(st["size"] - 1).cast("double").alias(f"__{st['name']}"))
+            vectors.append(st)
         elif m == "binary":
-            mp = _literal_map(st["codes"], "int")
-            code = F.coalesce(F.element_at(mp, F.col(c).cast("string")), F.lit(-1))
+            code = look.code(text, st.get("table") or st["codes"], "int", -1)
             for b, name in enumerate(st["names"]):
                 out_cols.append(F.shiftright(code, b).bitwiseAND(F.lit(1)).alias(name))
-    base = df
-    for c, st, alias in joins:
-        codes = spark.read.parquet(st["table"]).select(F.col("v").alias(f"{alias}_v"),
-                                                       F.col("code").alias(alias))
-        key = as_text(c) if st["method"] == "ordinal" else F.col(c).cast("string")
-        base = base.join(codes, key == F.col(f"{alias}_v"), "left")
-    return base.select(*out_cols, *appended)
+    out = look.join(df).select(*out_cols, *appended)
+    for st in vectors:
+        index = f"__{st['name']}"
+        one = df.sparkSession.createDataFrame([(float(st["size"] - 1),)], f"{index} double")
+        out = OneHotEncoder(inputCols=[index], outputCols=[st["name"]]).fit(one).transform(out).drop(index)
+    return out
 
 
 def _reorder_target(df: DataFrame, target: str | None) -> DataFrame:
@@ -348,35 +399,40 @@ def encode_train_test(train: DataFrame, test: DataFrame, target: str | None = No
     both; missing and unseen -> -1; text codes long, numbers -> double."""
     if target and target in train.columns:
         raise ValueError("target must be separated before encoding")
-    text = string_columns(train)
     state = {}
-    for c in text:
+    for c in string_columns(train):
         cats = _sorted_categories(train, c, null_as_text=False)
-        if cats is None:
-            raise ValueError(f"column {c!r} has more than {MAP_LIMIT} categories; use Encoder (code tables)")
-        state[c] = cats
+        state[c] = numbered(cats) if cats is not None else _code_table(
+            train.select(F.col(c).alias("v")).where("v is not null"), c, None)
+
     def apply(df):
-        out = []
+        look, out = Lookups(df.sparkSession), []
         for f in df.schema.fields:
             c = f.name
             if c in state:
-                mp = _literal_map({v: i for i, v in enumerate(state[c])}, "long")
-                out.append(F.coalesce(F.element_at(mp, F.col(c)), F.lit(-1).cast("long")).alias(c))
+                out.append(look.code(F.col(c), state[c], "long", -1).alias(c))
             elif is_numeric_type(f.dataType):
                 out.append(F.col(c).cast("double").alias(c))
             else:
                 out.append(F.col(c))
-        return df.select(*out)
+        return look.join(df).select(*out)
     return apply(train), apply(test)
 
 
 def encode_target(df: DataFrame, target: str, out: str | None = None):
     """ENC11: target label -> 0..n-1 by sorted text; returns
     ``(df, classes)`` where ``classes[i]`` is the label of code i."""
-    cats = _sorted_categories(df, target, null_as_text=False)
-    if cats is None:
-        raise ValueError(f"target {target!r} has more than {MAP_LIMIT} classes; not a classification target")
-    mp = _literal_map({v: i for i, v in enumerate(cats)}, "int")
-    col = F.element_at(mp, F.col(target).cast("string")).alias(out or target)
+    codes = _sorted_categories(df, target, null_as_text=False)
+    if codes is not None:
+        cats, codes = codes, numbered(codes)
+    else:
+        codes = _code_table(df.select(F.col(target).cast("string").alias("v")).where("v is not null"), target, None)
+        rows = df.sparkSession.read.parquet(codes).orderBy("code").limit(CLASS_LIMIT + 1).collect()
+        if len(rows) > CLASS_LIMIT:
+            raise ValueError(f"target {target!r} has more than {CLASS_LIMIT} classes; not a classification target")
+        cats = [r["v"] for r in rows]
+    look = Lookups(df.sparkSession)
+    key = F.col(target).cast("string")
+    col = look.code(key, codes, "int", None).alias(out or target)
     keep = [F.col(c) for c in df.columns if c != target or out]
-    return df.select(*keep, col), cats
+    return look.join(df).select(*keep, col), cats

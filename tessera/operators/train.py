@@ -1,52 +1,53 @@
 """Training, model comparison, importance, elimination and prediction
 (TRN1-TRN13, EVL9, PRD1-PRD2, SEL6-SEL9) on Spark ML.
 
-Features are assembled once into a vector column and cached for the
-duration of a training loop (then unpersisted); every fit is a distributed
-Spark ML job. Driver loops are bounded by the number of models or features.
+Features are assembled once into a vector column, dealt over all cores and
+cached for the duration of a training loop (then unpersisted); every fit is a
+distributed job. Driver loops are bounded by the number of models or features.
 """
 
 from __future__ import annotations
 
-import math
-import random
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, NaiveBayes, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_float_type, is_numeric_type
 from tessera.operators import evaluate as EV
-from tessera.operators.encode import encode_target
-from tessera.plans.stats import aggregate, distinct_counts
+from tessera.operators.boosting import SoftmaxBoosting
+from tessera.operators.encode import Lookups, encode_target, numbered
+from tessera.operators.forest import Forest
+from tessera.operators.kernel import RbfSvc, RbfSvr
+from tessera.plans.stats import distinct_counts
 
 CLASSIFIERS = ["logistic_regression", "random_forest", "decision_tree", "svm", "naive_bayes",
                "gradient_boosting"]
 REGRESSORS = ["linear_regression", "random_forest_regressor", "gradient_boosting_regressor", "svr"]
 
-FOREST_DEPTH = 12        # Spark needs a bound (reference: unlimited, Spark max 30)
 TREE_MEMORY_MB = 1024    # node statistics per pass: fewer passes over the data for deep forests
-RFF_DIM = 64             # random Fourier features for the RBF-kernel re-aim
 SEED = 42
+FIT_THREADS = 3          # models of a comparison fitted at the same time
 
 
 # ----------------------------------------------------------------- features
 def numeric_features(df: DataFrame, target: str, features=None) -> list[str]:
-    feats = as_list(features) or [f.name for f in df.schema.fields
-                                  if f.name != target and is_numeric_type(f.dataType)]
-    return feats
+    """Numeric columns and vector columns (one-hot of very many categories)."""
+    return as_list(features) or [f.name for f in df.schema.fields if f.name != target
+                                 and (is_numeric_type(f.dataType) or isinstance(f.dataType, VectorUDT))]
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     va = VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep")
-    return va.transform(df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c)
+    number = {f.name for f in df.schema.fields if f.name in features and not isinstance(f.dataType, VectorUDT)}
+    return va.transform(df.select(*[F.col(c).cast("double").alias(c) if c in number else F.col(c)
                                     for c in df.columns]))
 
 
@@ -60,26 +61,6 @@ def index_label(df: DataFrame, target: str, out: str = "label"):
     return enc.drop("__t").withColumn(out, F.col(out).cast("double")), classes
 
 
-def rff_columns(df: DataFrame, features: list[str], dim: int = RFF_DIM, seed: int = SEED,
-                gamma: float | None = None) -> tuple[DataFrame, list[str]]:
-    """Random Fourier features (Rahimi & Recht 2007) approximating an RBF
-    kernel: z_i(x) = sqrt(2/D) cos(w_i . x + b_i), w ~ N(0, 2 gamma I),
-    b ~ U(0, 2 pi). gamma defaults to 1 / (n_features * var(X)) (the
-    'scale' rule). Pure column expressions: stays in whole-stage codegen."""
-    if gamma is None:
-        v = aggregate(df, {c: F.var_pop(F.col(c).cast("double")) for c in features})
-        total = sum((v[c] or 0.0) for c in features) / max(len(features), 1)
-        gamma = 1.0 / (len(features) * total) if total > 0 else 1.0
-    rng = random.Random(seed)
-    sd = math.sqrt(2 * gamma)
-    cols = []
-    for i in range(dim):
-        w = [rng.gauss(0.0, sd) for _ in features]
-        b = rng.uniform(0, 2 * math.pi)
-        lin = sum((F.col(c).cast("double") * F.lit(wi) for c, wi in zip(features, w)), F.lit(b))
-        cols.append((F.lit(math.sqrt(2.0 / dim)) * F.cos(lin)).alias(f"__rff{i}"))
-    return df.select("*", *cols), [f"__rff{i}" for i in range(dim)]
-
 
 # ------------------------------------------------------------------ models
 _TREE_OPTS = {"maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": True}
@@ -91,62 +72,56 @@ def make_estimator(name: str, n_classes: int = 2, seed: int = SEED):
     if name == "logistic_regression":
         return LogisticRegression(maxIter=1000)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
+        return Forest({"classes": n_classes, "trees": 200, "most": "sqrt", "seed": seed})
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
+        return Forest({"classes": n_classes, "trees": 1, "bootstrap": False, "seed": seed})
     if name == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=100)) if n_classes > 2 else LinearSVC(maxIter=100)
+        return RbfSvc({"classes": n_classes, "seed": seed})
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "gradient_boosting":
-        g = GBTClassifier(maxIter=100, seed=seed, **_TREE_OPTS)
-        return OneVsRest(classifier=g) if n_classes > 2 else g
+        if n_classes > 2:
+            return SoftmaxBoosting({"classes": n_classes, "rounds": 100})
+        return GBTClassifier(maxIter=100, seed=seed, **_TREE_OPTS)
     if name == "linear_regression":
         return LinearRegression()
     if name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=200, maxDepth=FOREST_DEPTH, seed=seed, **_TREE_OPTS)
+        return Forest({"trees": 200, "seed": seed})
     if name == "gradient_boosting_regressor":
         return GBTRegressor(maxIter=100, seed=seed, **_TREE_OPTS)
     if name == "svr":
-        return LinearRegression(loss="huber", maxIter=100)
+        return RbfSvr({"seed": seed})
     raise ValueError(f"unknown model {name!r}")
 
 
-def _uses_rff(name: str) -> bool:
-    return name in ("svm", "svr")
-
-
 def fit_model(train: DataFrame, features: list[str], name: str, n_classes: int = 2):
     """Fit one model on a DataFrame that already has ``label`` and the
     feature columns. Returns a PipelineModel (assembler + estimator), so it
     scores raw rows and saves / loads as one object."""
-    stages = []
-    feats = features
-    if _uses_rff(name):
-        stages.append(RFFTransformer(config={"features": features, "dim": RFF_DIM,
-                                             "gamma": _rff_gamma(train, features)}))
-        feats = [f"__rff{i}" for i in range(RFF_DIM)]
-    stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"))
-    stages.append(make_estimator(name, n_classes))
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
+              make_estimator(name, n_classes)]
     return Pipeline(stages=stages).fit(train)
 
 
-def _rff_gamma(df, features):
-    v = aggregate(df, {c: F.var_pop(F.col(c).cast("double")) for c in features})
-    total = sum((v[c] or 0.0) for c in features) / max(len(features), 1)
-    return 1.0 / (len(features) * total) if total > 0 else 1.0
-
+def _fit_all(train: DataFrame, features: list[str], names: list[str], n_classes: int = 2) -> dict:
+    """Fit several models on features that are assembled once, dealt over all
+    cores and kept for the loop. Up to ``FIT_THREADS`` fits run side by side:
+    their many small jobs leave cores idle one by one."""
+    spark = train.sparkSession
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    data = assembler.transform(train).select("features", "label")
+    data = data.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
 
-from tessera.operators.fitted import JsonStateModel  # noqa: E402
+    def fit(name):
+        return PipelineModel(stages=[assembler, make_estimator(name, n_classes).fit(data)])
 
-
-class RFFTransformer(JsonStateModel):
-    """Stateless transformer adding the random Fourier feature columns."""
-
-    def _transform(self, df):
-        c = self.conf
-        out, _ = rff_columns(df, c["features"], c["dim"], SEED, c["gamma"])
-        return out
+    try:
+        with ThreadPoolExecutor(FIT_THREADS) as pool:
+            jobs = [(name, pool.submit(inheritable_thread_target(spark)(fit), name)) for name in names]
+            return {name: job.result() for name, job in jobs}
+    finally:
+        data.unpersist()
 
 
 def _prepare_classification(df: DataFrame, target: str, features):
@@ -175,34 +150,28 @@ def train_classification(train: DataFrame, test: DataFrame, target: str, feature
     fitted_models: dict)."""
     models = models or CLASSIFIERS
     tr, feats, classes = _prepare_classification(train, target, features)
-    mp = {c: i for i, c in enumerate(classes)}
-    te = test.withColumn("label", F.element_at(F.create_map(*[x for k, v in mp.items() for x in (F.lit(k), F.lit(v))]),
-                                               F.col(target).cast("string")).cast("double"))
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    look = Lookups(test.sparkSession)
+    code = look.code(F.col(target).cast("string"), numbered(classes), "int", None).cast("double")
+    te = look.join(test).select(*test.columns, code.alias("label"))
     k = len(classes)
-    rows, fitted = [], {}
-    try:
-        for order, name in enumerate(models):
-            model = fit_model(tr, feats, name, k)
-            fitted[name] = model
-            scored = model.transform(te)
-            pred = scored.select("label", "prediction", *[c for c in ("probability", "rawPrediction")
-                                                          if c in scored.columns])
-            pred = pred.persist(StorageLevel.MEMORY_AND_DISK)   # scored once, read by every metric
-            m = EV.classification_metrics(pred, "label", "prediction").first()
+    rows, fitted = [], _fit_all(tr, feats, models, k)
+    for order, name in enumerate(models):
+        scored = fitted[name].transform(te)
+        pred = scored.select("label", "prediction", *[c for c in ("probability", "rawPrediction")
+                                                      if c in scored.columns])
+        pred = pred.persist(StorageLevel.MEMORY_AND_DISK)   # scored once, read by every metric
+        m = EV.classification_metrics(pred, "label", "prediction").first()
+        auc = 0.0
+        try:
+            if k == 2:
+                auc = EV.roc_auc(_binary_score(pred), "label", "score", positive=1.0)
+            elif "probability" in pred.columns:
+                auc = EV.roc_auc_ovr(pred.withColumn("p", vector_to_array("probability")), "label", "p",
+                                     classes=[float(i) for i in range(k)])
+        except Exception:  # noqa: BLE001 - reference reports 0 on failure
             auc = 0.0
-            try:
-                if k == 2:
-                    auc = EV.roc_auc(_binary_score(pred), "label", "score", positive=1.0)
-                elif "probability" in pred.columns:
-                    auc = EV.roc_auc_ovr(pred.withColumn("p", vector_to_array("probability")), "label", "p",
-                                         classes=[float(i) for i in range(k)])
-            except Exception:  # noqa: BLE001 - reference reports 0 on failure
-                auc = 0.0
-            pred.unpersist()
-            rows.append((name, order, m["accuracy"], m["precision"], m["recall"], m["f1"], auc))
-    finally:
-        tr.unpersist()
+        pred.unpersist()
+        rows.append((name, order, m["accuracy"], m["precision"], m["recall"], m["f1"], auc))
     res = train.sparkSession.createDataFrame(
         rows, "model string, order int, accuracy double, precision double, recall double, f1 double, "
               "roc_auc double")
@@ -214,20 +183,14 @@ def train_regression(train: DataFrame, test: DataFrame, target: str, features=No
     """TRN13: fit every regressor, evaluate (EVL6-EVL7), best by R^2."""
     models = models or REGRESSORS
     feats = numeric_features(train, target, features)
-    tr = train.withColumn("label", F.col(target).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    te = test.withColumn("label", F.col(target).cast("double"))
-    rows, fitted = [], {}
-    try:
-        for order, name in enumerate(models):
-            model = fit_model(tr, feats, name)
-            fitted[name] = model
-            pred = model.transform(te).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
-            m = EV.regression_metrics(pred, "label", "prediction").first()
-            acc = EV.tolerance_accuracy(pred, "label", "prediction").first()[0]
-            pred.unpersist()
-            rows.append((name, order, m["mae"], m["rmse"], m["r2"], acc))
-    finally:
-        tr.unpersist()
+    tr, te = (d.withColumn("label", F.col(target).cast("double")) for d in (train, test))
+    rows, fitted = [], _fit_all(tr, feats, models)
+    for order, name in enumerate(models):
+        pred = fitted[name].transform(te).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+        m = EV.regression_metrics(pred, "label", "prediction").first()
+        acc = EV.tolerance_accuracy(pred, "label", "prediction").first()[0]
+        pred.unpersist()
+        rows.append((name, order, m["mae"], m["rmse"], m["r2"], acc))
     res = train.sparkSession.createDataFrame(
         rows, "model string, order int, mae double, rmse double, r2 double, accuracy_pct double")
     best = EV.compare_models(res, "r2").first()["model"]
@@ -276,8 +239,9 @@ def _task_estimator(df, target, est, n_trees=100):
             return LinearRegression(), regression
         return LogisticRegression(maxIter=500), regression
     if regression:
-        return RandomForestRegressor(numTrees=n_trees, maxDepth=FOREST_DEPTH, seed=SEED), regression
-    return RandomForestClassifier(numTrees=n_trees, maxDepth=FOREST_DEPTH, seed=SEED), regression
+        return Forest({"trees": n_trees, "seed": SEED}), regression
+    return Forest({"classes": df.select(target).distinct().count(), "trees": n_trees, "most": "sqrt",
+                   "seed": SEED}), regression
 
 
 def _labelled(df, target, regression):
@@ -315,12 +279,15 @@ def rfe(df: DataFrame, target: str, k: int = 5, est: str = "forest", features=No
     labelled data is cached across rounds."""
     feats = numeric_features(df, target, features)
     estimator, reg = _task_estimator(df, target, est, n_trees)
-    data = _labelled(df, target, reg).select("label", *feats).persist(StorageLevel.MEMORY_AND_DISK)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    data = assemble(_labelled(df, target, reg), feats, "all_features").select("label", "all_features")
+    data = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     remaining = list(feats)
     eliminated = []
     try:
         while len(remaining) > k:
-            m = estimator.fit(assemble(data, remaining))
+            part = VectorSlicer(inputCol="all_features", outputCol="features", indices=[feats.index(c) for c in remaining])
+            m = estimator.fit(part.transform(data).select("label", "features"))
             if hasattr(m, "featureImportances"):
                 w = m.featureImportances.toArray().tolist()
             elif hasattr(m, "coefficientMatrix"):
