@@ -3,12 +3,14 @@ drawing. Every result is bounded (bins, groups, top-k, hash sample)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_numeric_type
-from tessera.functions.exprs import guarded_corr
-from tessera.plans.stats import MAX_GROUPS, aggregate, distinct_counts, grouped_quantiles, quantiles
+from tessera.plans.passes import summed
+from tessera.plans.stats import (MAX_GROUPS, aggregate, distinct_counts, grouped_quantiles, quantiles,
+                                 stats_input)
 
 
 def _bucket(x, lo, hi, bins):
@@ -114,50 +116,56 @@ def pair_points(df: DataFrame, cols=None, hue: str | None = None, keys=None,
     return _sample(df.select(*sel), keys, max_points)
 
 
+CORR_BLOCK = 512   # columns on a side of one pass: 6 sums of 512 x 512
+
+
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """VIZ5: long form (col_a, col_b, r) over numeric columns, pairwise
-    complete rows, NULL for zero variance; one aggregate (chunked)."""
+    complete rows, NULL for zero variance. With ``x`` the values (0 where
+    missing, taken off their column's mean) and ``m`` the masks, a pass adds
+    up m'm, x'm, (x^2)'m and x'x: the counts, sums and products of every pair's
+    complete rows. So a table of any width takes one scan for each pair of
+    blocks of ``CORR_BLOCK`` columns, with or without NULLs."""
     cols = as_list(cols) or [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
-    if len(cols) > WIDE_CORR:
-        nulls = aggregate(df, {c: F.count_if(F.col(c).isNull()) for c in cols})
-        if not any(nulls.values()):
-            return _correlation_matrix_gramian(df, cols)
-    exprs = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            exprs[f"{i}|{b}"] = guarded_corr(a, b)
-    st = aggregate(df, exprs)
-    rows = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            r = st[f"{i}|{b}"]
-            rows.append((a, b, r))
-            if a != b:
-                rows.append((b, a, r))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    base = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    with stats_input(base) as data:
+        means = aggregate(data, {f"c{i}": F.avg(F.when(~F.isnan(f"c{i}"), F.col(f"c{i}"))) for i in range(len(cols))})
+        r = np.full((len(cols), len(cols)), np.nan)
+        blocks = [list(range(at, min(at + CORR_BLOCK, len(cols)))) for at in range(0, len(cols), CORR_BLOCK)]
+        for i, left in enumerate(blocks):
+            for right in blocks[i:]:
+                part = _block_correlation(data, left, right, means)
+                r[np.ix_(left, right)] = part
+                r[np.ix_(right, left)] = part.T
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
 
 
-WIDE_CORR = 20   # above this many columns, null-free inputs use one Gramian pass
+def _block_correlation(data: DataFrame, left: list, right: list, means: dict) -> np.ndarray:
+    names = [f"c{i}" for i in dict.fromkeys([*left, *right])]
+    at = {c: k for k, c in enumerate(names)}
+    a, b = [at[f"c{i}"] for i in left], [at[f"c{i}"] for i in right]
+    centre = np.array([means[c] or 0.0 for c in names])
 
+    def make(batches):
+        total = np.zeros((6, len(a), len(b)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8192):
+                part = batch.slice(k, 8192)
+                x = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names], 1)
+                m = (~np.isnan(x)).astype(np.float64)
+                x = np.where(m > 0, x - centre, 0.0)
+                xa, xb, ma, mb = x[:, a], x[:, b], m[:, a], m[:, b]
+                total += np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+        return total.ravel()
 
-def _correlation_matrix_gramian(df: DataFrame, cols: list) -> DataFrame:
-    """All pairwise Pearson r from one pass (Spark ML ``Correlation``, a
-    distributed Gramian) instead of n^2 aggregate expressions; only valid
-    without NULLs (pairwise-complete rows are then all rows). Zero-variance
-    columns give NULL, like the aggregate path."""
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    mat = Correlation.corr(vec, "__v").first()[0].toArray()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = float(mat[i][j])
-            rows.append((a, b, None if math.isnan(r) else r))
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
+    n, sa, sb, qa, qb, p = summed(data.select(*names), make, 6 * len(a) * len(b)).reshape(6, len(a), len(b))
+    va, vb = n * qa - sa * sa, n * qb - sb * sb
+    flat = (va <= 1e-13 * n * qa) | (vb <= 1e-13 * n * qb) | (n == 0)      # rounding, not variance
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(flat, np.nan, (n * p - sa * sb) / np.sqrt(va * vb))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, keys=None,
@@ -183,7 +191,3 @@ def target_distribution(df: DataFrame, target: str, bins: int = 20) -> DataFrame
                     F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
                     "count")
 
-
-def pair_hue(df: DataFrame, target: str) -> str | None:
-    """Hue for the pair plot only when the target has <= 10 distinct values."""
-    return target if distinct_counts(df, [target], cap=10)[target] <= 10 else None

@@ -1,7 +1,8 @@
 """Evaluation by formula (EVL1-EVL8, EVL10).
 
 Classification metrics all derive from the confusion counts, one
-``groupBy(label, prediction)`` whose result has at most classes^2 rows.
+``groupBy(label, prediction)``; per-class numbers and their averages are
+aggregates over it in Spark, so the number of classes is not limited.
 ROC-AUC is the Mann-Whitney rank sum over distinct scores with tied
 scores averaged, computed with distributed running totals; regression
 metrics are one aggregate.
@@ -11,89 +12,85 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.plans.ranks import running_totals
 
-MAX_CLASSES = 1_000    # confusion counts (classes^2 rows) reach the driver
-
-
-def _cm_rows(pred: DataFrame, label: str, prediction: str):
-    lt = pred.schema[label].dataType
-    cm = (pred.groupBy(F.col(label).alias("l"), F.col(prediction).cast(lt).alias("p"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    rows = cm.limit(MAX_CLASSES ** 2 + 1).collect()
-    classes = sorted({r["l"] for r in rows} | {r["p"] for r in rows}, key=lambda v: (v is None, v))
-    if len(classes) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    counts = {(r["l"], r["p"]): r["n"] for r in rows}
-    return classes, counts, lt
-
-
-def _per_class(classes, counts):
-    total = sum(counts.values())
-    out = []
-    for c in classes:
-        tp = counts.get((c, c), 0)
-        pred_c = sum(v for (l, p), v in counts.items() if p == c)
-        true_c = sum(v for (l, p), v in counts.items() if l == c)
-        fp, fn = pred_c - tp, true_c - tp
-        tn = total - tp - fp - fn
-        prec = tp / pred_c if pred_c else 0.0
-        rec = tp / true_c if true_c else 0.0
-        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
-        out.append({"class": c, "tp": tp, "fp": fp, "fn": fn, "tn": tn, "support": true_c,
-                    "precision": prec, "recall": rec, "f1": f1})
-    return out, total
+
+def _counts(pred: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Confusion counts (l, p, n) of the pairs that occur."""
+    kind = pred.schema[label].dataType
+    return (pred.groupBy(F.col(label).alias("l"), F.col(prediction).cast(kind).alias("p"))
+                .agg(F.count(F.lit(1)).alias("n")))
+
+
+def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row per class among labels and predictions: class, tp, support,
+    predicted, precision, recall, f1 (0 where undefined). One pass: each
+    confusion count gives a row for its label and one for its prediction."""
+    z = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("l").alias("c"), F.col("n").alias("support"), z.alias("predicted"),
+                 F.when(F.col("l").eqNullSafe(F.col("p")), F.col("n")).otherwise(z).alias("tp")),
+        F.struct(F.col("p").alias("c"), z.alias("support"), F.col("n").alias("predicted"), z.alias("tp")))
+    got = _counts(pred, label, prediction).select(F.inline(sides)).groupBy(F.col("c").alias("class")).agg(
+        *[F.sum(v).alias(v) for v in ("tp", "support", "predicted")])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    got = got.withColumns({"precision": ratio(F.col("tp"), F.col("predicted")), "recall": ratio(F.col("tp"), F.col("support"))})
+    p, r = F.col("precision"), F.col("recall")
+    return got.withColumn("f1", ratio(2 * p * r, p + r))
+
+
+def _weighted(column: str):
+    return F.coalesce(F.try_divide(F.sum(F.col(column) * F.col("support")), F.sum("support")), F.lit(0.0))
+
+
+def _accuracy():
+    return F.coalesce(F.try_divide(F.sum("tp"), F.sum("support")), F.lit(0.0))
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """EVL1: accuracy and support-weighted precision / recall / F1 (0 where
-    undefined)."""
-    classes, counts, _ = _cm_rows(pred, label, prediction)
-    per, n = _per_class(classes, counts)
-    acc = sum(counts.get((c, c), 0) for c in classes) / n if n else 0.0
-    w = lambda k: sum(r[k] * r["support"] for r in per) / n if n else 0.0
-    return pred.sparkSession.createDataFrame(
-        [(acc, w("precision"), w("recall"), w("f1"))],
-        "accuracy double, precision double, recall double, f1 double")
-
-
-def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """EVL3: long form (label, prediction, count) over all sorted class
-    pairs, zeros included."""
-    classes, counts, lt = _cm_rows(pred, label, prediction)
-    rows = [(a, b, counts.get((a, b), 0)) for a in classes for b in classes]
-    schema = T.StructType([T.StructField("label", lt), T.StructField("prediction", lt),
-                           T.StructField("count", T.LongType())])
-    return pred.sparkSession.createDataFrame(rows, schema)
+    undefined). The classes stay a table; the result is its one-row sum."""
+    return per_class(pred, label, prediction).agg(
+        _accuracy().alias("accuracy"), *[_weighted(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                     zeros: bool = True) -> DataFrame:
+    """EVL3: long form (label, prediction, count) over all class pairs,
+    zeros included: classes^2 rows, made in Spark. ``zeros=False`` leaves
+    the pairs that do not occur out, for very many classes."""
+    counts = _counts(pred, label, prediction)
+    if not zeros:
+        return counts.select(F.col("l").alias("label"), F.col("p").alias("prediction"), F.col("n").alias("count"))
+    classes = counts.select(F.explode(F.array("l", "p")).alias("label")).distinct()
+    pairs = classes.crossJoin(classes.select(F.col("label").alias("prediction")))     # the result's own size
+    hit = F.col("label").eqNullSafe(F.col("l")) & F.col("prediction").eqNullSafe(F.col("p"))
+    return pairs.join(counts, hit, "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def class_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """EVL4: per class TP, FP, FN, TN."""
-    classes, counts, lt = _cm_rows(pred, label, prediction)
-    per, _ = _per_class(classes, counts)
-    schema = T.StructType([T.StructField("class", lt)] + [T.StructField(k, T.LongType())
-                                                          for k in ("tp", "fp", "fn", "tn")])
-    return pred.sparkSession.createDataFrame([(r["class"], r["tp"], r["fp"], r["fn"], r["tn"]) for r in per],
-                                             schema)
+    per = per_class(pred, label, prediction)
+    total = per.agg(F.sum("support").alias("total"))                                  # one row
+    fp, fn = F.col("predicted") - F.col("tp"), F.col("support") - F.col("tp")
+    return per.crossJoin(F.broadcast(total)).select(
+        "class", "tp", fp.alias("fp"), fn.alias("fn"), (F.col("total") - F.col("tp") - fp - fn).alias("tn"))
 
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """EVL5: per class precision / recall / F1 / support, then 'accuracy',
     'macro avg' and 'weighted avg' rows (class label as text)."""
-    classes, counts, _ = _cm_rows(pred, label, prediction)
-    per, n = _per_class(classes, counts)
-    rows = [(str(r["class"]), r["precision"], r["recall"], r["f1"], r["support"]) for r in per]
-    k = len(per)
-    acc = sum(counts.get((c, c), 0) for c in classes) / n if n else 0.0
-    macro = [sum(r[m] for r in per) / k if k else 0.0 for m in ("precision", "recall", "f1")]
-    weighted = [sum(r[m] * r["support"] for r in per) / n if n else 0.0 for m in ("precision", "recall", "f1")]
-    rows.append(("accuracy", None, None, acc, n))
-    rows.append(("macro avg", *macro, n))
-    rows.append(("weighted avg", *weighted, n))
-    return pred.sparkSession.createDataFrame(
-        rows, "class string, precision double, recall double, f1 double, support long")
+    per = per_class(pred, label, prediction)
+    names = ("precision", "recall", "f1")
+    none = F.lit(None).cast("double")
+    macro = [F.coalesce(F.avg(c), F.lit(0.0)) for c in names]
+    row = lambda name, values: F.struct(F.lit(name).alias("class"), *[v.alias(c) for c, v in zip(names, values)],
+                                        F.coalesce(F.sum("support"), F.lit(0)).cast("long").alias("support"))
+    sums = per.agg(row("accuracy", [none, none, _accuracy()]).alias("a"), row("macro avg", macro).alias("m"),
+                   row("weighted avg", [_weighted(c) for c in names]).alias("w"))
+    rows = per.select(F.coalesce(F.col("class").cast("string"), F.lit("None")).alias("class"), *names, "support")
+    return rows.unionByName(sums.select(F.inline(F.array("a", "m", "w"))))
 
 
 def _auc_table(scored: DataFrame, group: list) -> DataFrame:

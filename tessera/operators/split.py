@@ -4,22 +4,22 @@ not depend on partitioning or on the order rows arrive in.
 Plain split: row goes to test when ``md5(key) mod 10^6 < fraction * 10^6``.
 Stratified split: within each class, the rows with the smallest hashes go
 to test, ``ceil(fraction * n_class)`` of them. The per-class hash threshold
-comes from a byte-wise radix selection (four passes, at most classes x 256
-counts each), so no class is ever gathered into one task.
+comes from a byte-wise radix selection: four passes that count rows per
+class and byte, each joined with what the passes before have settled. The
+classes stay a table, so their number is not limited, and no class is ever
+gathered into one task.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list
 from tessera.functions.exprs import md5_unit
+from tessera.session import cut_lineage
 
 SCALE = 1_000_000
-MAX_STRATA = 10_000     # classes we keep per-class thresholds for
 
 
 def hash_fraction(keys) -> F.Column:
@@ -32,56 +32,31 @@ def split(df: DataFrame, keys, test_fraction: float = 0.25, stratify: str | None
         h = hash_fraction(keys)
         cut = F.lit(int(round(test_fraction * SCALE)))
         return df.where(h >= cut), df.where(h < cut)
-    h = md5_unit(*as_list(keys))
-    thresholds = _class_thresholds(df.select(F.col(stratify).alias("__y"), h.alias("__h")), test_fraction)
-    is_test = F.lit(False)
-    for y, t in thresholds.items():
-        cls = F.col(stratify).isNull() if y is None else (F.col(stratify) == F.lit(y))
-        is_test = is_test | (cls & (h < F.lit(t)))
-    return df.where(~is_test), df.where(is_test)
-
-
-def _class_thresholds(yh: DataFrame, fraction: float) -> dict:
-    """class -> T such that exactly ceil(fraction * n_class) rows have
-    hash < T (fewer only if md5-32 values collide on T).
-
-    Radix selection on the 32-bit hash, one byte per pass: each pass counts
-    rows per (class, next byte) among rows whose higher bytes match the
-    prefix chosen so far, so at most classes x 256 counts reach the driver
-    and no class is ever gathered into one task.
-    """
-    rows = yh.groupBy("__y").count().limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"stratifying column has more than {MAX_STRATA} classes")
-    totals = {r["__y"]: r["count"] for r in rows}
-    state = {}
-    for y, n in totals.items():
-        k = int(math.ceil(fraction * n))     # test share rounds up, as scikit-learn does
-        state[y] = {"k": k, "prefix": 0, "below": 0, "done": k == 0 or k >= n,
-                    "t": 0 if k == 0 else (1 << 32)}
-    for level in range(4):
-        shift = 24 - 8 * level
-        todo = {y: st for y, st in state.items() if not st["done"]}
-        if not todo:
-            break
-        cond = F.lit(False)
-        for y, st in todo.items():
-            cls = F.col("__y").isNull() if y is None else (F.col("__y") == F.lit(y))
-            same = F.lit(True) if level == 0 else (F.shiftright("__h", shift + 8) == F.lit(st["prefix"]))
-            cond = cond | (cls & same)
-        rows = (yh.where(cond).groupBy("__y", F.shiftright("__h", shift).bitwiseAND(F.lit(255)).alias("b"))
-                  .count().collect())
-        per: dict = {}
-        for r in rows:
-            per.setdefault(r["__y"], []).append((r["b"], r["count"]))
-        for y, st in todo.items():
-            acc = st["below"]
-            for b, c in sorted(per.get(y, [])):
-                if acc + c > st["k"]:           # the k-th smallest hash has this byte
-                    st["prefix"] = (st["prefix"] << 8) | b
-                    st["below"] = acc
-                    break
-                acc += c
-            if level == 3:
-                st["t"], st["done"] = st["prefix"], True
-    return {y: st["t"] for y, st in state.items()}
+    limits = class_thresholds(df.select(F.col(stratify).alias("__y"), md5_unit(*as_list(keys)).alias("__h")), test_fraction)
+    limits = cut_lineage(limits.select(F.col("__y").alias("__class"), "__t"))
+    marked = df.join(limits, F.col(stratify).eqNullSafe(F.col("__class")))
+    is_test = md5_unit(*as_list(keys)) < F.col("__t")
+    return tuple(marked.where(c).select(*[F.col(f"`{n}`") for n in df.columns]) for c in (~is_test, is_test))
+
+
+def class_thresholds(yh: DataFrame, fraction: float) -> DataFrame:
+    """(__y, __t) from rows (__y, __h): exactly ceil(fraction * n_class) rows
+    of a class have a hash below __t (fewer only where 32-bit hashes collide
+    on it); __t is 2^32 where the whole class is taken. A null class counts
+    as one."""
+    sizes = yh.groupBy("__y").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__k", F.ceil(F.lit(float(fraction)) * F.col("__n")).cast("long"))
+    state = sizes.where("__k < __n").select(F.col("__y").alias("__c"), "__k", F.lit(0).cast("long").alias("__prefix"),
+                                            F.lit(0).cast("long").alias("__below"))
+    upto = Window.partitionBy("__c").orderBy("__byte")        # at most 256 rows each
+    for shift in (24, 16, 8, 0):
+        left = yh.join(state, F.col("__y").eqNullSafe(F.col("__c"))
+                       & (F.shiftright("__h", shift + 8) == F.col("__prefix")))
+        byte = F.shiftright("__h", shift).bitwiseAND(F.lit(255))
+        counts = left.groupBy("__c", "__k", "__prefix", "__below", byte.alias("__byte")).agg(F.count(F.lit(1)).alias("__m"))
+        counts = counts.withColumn("__upto", F.col("__below") + F.sum("__m").over(upto))
+        counts = counts.where("__upto > __k and __upto - __m <= __k")   # the first byte that passes k
+        state = counts.select("__c", "__k", (F.col("__prefix") * 256 + F.col("__byte")).alias("__prefix"),
+                              (F.col("__upto") - F.col("__m")).alias("__below"))
+    whole = sizes.where("__k >= __n").select("__y", F.lit(1 << 32).alias("__t"))
+    return state.select(F.col("__c").alias("__y"), F.col("__prefix").alias("__t")).unionByName(whole)

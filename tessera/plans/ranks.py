@@ -18,8 +18,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_PER_BUCKET = 64
+NESTED_BOUNDS = 64      # boundaries compared in a nested CASE; more are searched in an array
 
 
 def _spec(order_cols) -> list[tuple[str, bool]]:
@@ -88,6 +90,9 @@ def _bucketed(df: DataFrame, spec, partitions: int) -> DataFrame:
         if not bounds or _cmp_tuples(b, bounds[-1], spec) > 0:
             bounds.append(b)
 
+    if len(bounds) > NESTED_BOUNDS:
+        return _searched(df, spec, bounds)
+
     def search(lo: int, hi: int) -> Column:
         """Boundaries before the row among bounds[lo:hi], plus lo: a binary
         search, so each row evaluates O(log #boundaries) comparisons."""
@@ -99,6 +104,37 @@ def _bucketed(df: DataFrame, spec, partitions: int) -> DataFrame:
     return df.withColumn("__bkt", search(0, len(bounds)))
 
 
+def _searched(df: DataFrame, spec, bounds: list) -> DataFrame:
+    """The same bucket for any number of boundaries: they are one broadcast
+    row (an array), searched by a fold over the powers of two, so neither the
+    plan nor the generated code grows with them."""
+    names = [n for n, _ in spec]
+    kind = T.StructType([T.StructField(f"b{i}", df.schema[n].dataType) for i, n in enumerate(names)])
+    row = df.sparkSession.createDataFrame([(bounds,)], T.StructType([T.StructField("__bounds", T.ArrayType(kind))]))
+    n = len(bounds)
+
+    def step(low, power):
+        at = low + power
+        return F.when((at <= n) & _after_struct(spec, F.get("__bounds", at - 1)), at).otherwise(low)
+
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    got = df.crossJoin(F.broadcast(row))                  # one row
+    return got.withColumn("__bkt", F.aggregate(powers, F.lit(0), step)).drop("__bounds")
+
+
+def _after_struct(spec, b: Column) -> Column:
+    """``_after`` for a boundary that is a column of structs."""
+    expr = F.lit(False)
+    for i, (name, asc) in reversed(list(enumerate(spec))):
+        c, v = F.col(name), b.getField(f"b{i}")
+        if asc:
+            gt = F.coalesce(c > v, c.isNotNull() & v.isNull())
+        else:
+            gt = F.coalesce(c < v, c.isNull() & v.isNotNull())
+        expr = gt | (c.eqNullSafe(v) & expr)
+    return expr
+
+
 def _order(spec):
     return [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in spec]
 

@@ -20,14 +20,18 @@ Only a few numbers per column ever reach the driver.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_float_type, is_integral_type
+from tessera.session import cut_lineage
 
 AGG_CHUNK = 120                 # aggregate expressions per generated plan
 EXACT_DISTINCT_LIMIT = 50_000   # percentile() map size we accept per column
@@ -231,7 +235,7 @@ def _quantiles_by_selection(df, cols, probs, n, accuracy, collect_limit, exprs=N
 def grouped_quantiles(df: DataFrame, by: list, col: str, probs: Iterable[float],
                       exact_distinct_limit: int = EXACT_DISTINCT_LIMIT,
                       accuracy: int = APPROX_ACCURACY,
-                      collect_limit: int = BRACKET_COLLECT_LIMIT) -> DataFrame:
+                      collect_limit: int = BRACKET_COLLECT_LIMIT, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Exact per-group quantiles of ``col`` as a DataFrame (by..., q0, q1, ...).
 
     Groups with few distinct values take one grouped ``percentile`` pass
@@ -246,12 +250,9 @@ def grouped_quantiles(df: DataFrame, by: list, col: str, probs: Iterable[float],
     arr = F.array(*[F.lit(p) for p in probs])
     qcols = [f"q{i}" for i in range(len(probs))]
     stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.approx_count_distinct("__x").alias("__d"))
-                 .limit(MAX_GROUPS + 1).collect())
-    if len(stats) > MAX_GROUPS:
-        # many small groups: one distributed grouped pass, nothing planned
-        # per group on the driver and nothing broadcast
-        return (base.groupBy(*by).agg(F.percentile("__x", arr).alias("__q"))
-                    .select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(qcols)]))
+                 .limit(max_groups + 1).collect())
+    if len(stats) > max_groups:
+        return _quantiles_of_many_groups(base, by, probs, exact_distinct_limit)
     spark = df.sparkSession
     key_schema = base.select(*by).schema
     small = [r for r in stats if r["__d"] <= exact_distinct_limit]
@@ -281,6 +282,72 @@ def grouped_quantiles(df: DataFrame, by: list, col: str, probs: Iterable[float],
     return out
 
 
+def _quantiles_of_many_groups(base: DataFrame, by: list, probs: list, limit: int) -> DataFrame:
+    """Exact quantiles for any number of groups, nothing planned per group on
+    the driver. Groups of at most ``limit`` rows take one grouped
+    ``percentile`` (its map holds no more values than that). Larger ones are
+    read off by radix selection: their values as sortable 64-bit integers, a
+    table of (group, rank, digits so far), and four passes that count rows per
+    group and next 16-bit digit, so that no group is ever in one task."""
+    g = [f"__g{i}" for i in range(len(by))]
+    base = base.select(*[F.col(b).alias(n) for b, n in zip(by, g)], "__x")
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+
+    def same(a, b):
+        return functools.reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in g])
+
+    small, large = sizes.where(F.col("__n") <= limit), sizes.where(F.col("__n") > limit)
+    arr = F.array(*[F.lit(p) for p in probs])
+    out = base.join(small, same(base, small), "left_semi").groupBy(*g).agg(F.percentile("__x", arr).alias("__q"))
+    out = out.select(*g, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+    rows = cut_lineage(base.join(large, same(base, large), "left_semi").select(*g, _sortable("__x").alias("__v")))
+    pos = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("__n") - 1)).alias("at")) for i, p in enumerate(probs)])
+    asked = large.select(*g, "__n", F.inline(pos)).withColumn("lo", F.floor("at").cast("long"))
+    asked = cut_lineage(asked.withColumns({"hi": F.least(F.col("lo") + 1, F.col("__n") - 1), "part": F.col("at") - F.col("lo")}))
+    state = asked.select(*g, F.explode(F.array("lo", "hi")).alias("__k")).distinct().withColumns(
+        {"__left": F.col("__k"), "__prefix": F.lit(0).cast("long")})
+    for level, shift in enumerate((48, 32, 16, 0)):
+        wanted = state.select(*g, "__prefix").distinct()
+        # digits so far: the bits above, the sign bit flipped so that they sort as unsigned
+        high = F.shiftrightunsigned("__v", shift + 16) if level else F.lit(0).cast("long")
+        d = rows.withColumns({"__p": high, "__digit": F.shiftrightunsigned("__v", shift).bitwiseAND(F.lit(0xFFFF))})
+        d = d.join(wanted, same(d, wanted) & (d["__p"] == wanted["__prefix"]), "left_semi")
+        counts = d.groupBy(*g, "__p", "__digit").agg(F.count(F.lit(1)).alias("__m"))
+        w = Window.partitionBy(*g, "__p").orderBy("__digit")          # at most 65,536 rows
+        counts = counts.withColumn("__upto", F.sum("__m").over(w))
+        hit = state.join(counts, same(state, counts) & (state["__prefix"] == counts["__p"])
+                         & (F.col("__upto") > F.col("__left")) & (F.col("__upto") - F.col("__m") <= F.col("__left")))
+        state = cut_lineage(hit.select(*[state[n] for n in g], "__k", (F.col("__left") - F.col("__upto") + F.col("__m")).alias("__left"),
+                                       (F.col("__prefix") * 65536 + F.col("__digit") if shift else
+                                        F.shiftleft("__prefix", 16).bitwiseOR(F.col("__digit"))).alias("__prefix")))
+    found = state.select(*g, "__k", _unsortable("__prefix").alias("__y"))
+    low, high = found.withColumnRenamed("__k", "lo"), found.withColumnRenamed("__k", "hi").withColumnRenamed("__y", "__z")
+    got = asked.join(low, same(asked, low) & (asked["lo"] == low["lo"])).select(*[asked[n] for n in g], "i", asked["hi"], "part", "__y")
+    got = got.join(high, same(got, high) & (got["hi"] == high["hi"])).select(
+        *[got[n] for n in g], "i", (F.col("__y") + F.col("part") * (F.col("__z") - F.col("__y"))).alias("__q"))
+    got = got.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(f"q{i}") for i in range(len(probs))])
+    return out.unionByName(got).select(*[F.col(n).alias(b) for n, b in zip(g, by)], *[f"q{i}" for i in range(len(probs))])
+
+
+def _sortable(c: str) -> Column:
+    """A double's bits as a long that, read as unsigned, sorts as the value
+    does (-0 and 0 alike); Spark has no function for the bits."""
+    @F.pandas_udf("long")
+    def bits(x: pd.Series) -> pd.Series:
+        v = (x.to_numpy(np.float64) + 0.0).view(np.int64)
+        return pd.Series(np.where(v < 0, ~v, v ^ np.int64(-1 << 63)))
+    return bits(F.col(c))
+
+
+def _unsortable(c: str) -> Column:
+    @F.pandas_udf("double")
+    def value(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(np.int64)
+        return pd.Series(np.where(v < 0, v ^ np.int64(-1 << 63), ~v).view(np.float64))
+    return value(F.col(c))
+
+
 # --------------------------------------------------- exploded value counting
 def _exploded_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(i, lv, dv, sv, cnt) for every non-null value of every column.
