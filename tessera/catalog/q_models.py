@@ -3,7 +3,8 @@ the streaming replay of a fitted preprocessor."""
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.common import exact_line_total as _exact_line_total, round_doubles
+from tessera.catalog.common import (DOCS_MISSING_SQL, docs_missing, exact_line_total as _exact_line_total, round_doubles,
+                                    sql_mode)
 from tessera.catalog.registry import register, table
 from tessera.functions.exprs import md5_bucket
 from tessera.operators import noise as N
@@ -73,13 +74,149 @@ def _train_one(name, regression=False):
 
 
 for _id, _name in [("trn2", "logistic_regression"), ("trn3", "random_forest"), ("trn4", "decision_tree"),
-                   ("trn5", "svm"), ("trn6", "naive_bayes"), ("trn7", "gradient_boosting")]:
+                   ("trn5", "svm"), ("trn7", "gradient_boosting")]:
     register(f"{_id}_{_name}")(_train_one(_name))
-for _id, _name in [("trn8", "linear_regression"), ("trn9", "random_forest_regressor"),
-                   ("trn10", "gradient_boosting_regressor"), ("trn11", "svr")]:
+for _id, _name in [("trn9", "random_forest_regressor"), ("trn10", "gradient_boosting_regressor"), ("trn11", "svr")]:
     register(f"{_id}_{_name}")(_train_one(_name, regression=True))
 
 
+# Models that SQL can recompute: class means and variances, and a linear system.
+def _side(key: str, cut: int) -> str:
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT % 1000000 >= {cut})"
+
+
+_CLS_FEATURES = ["doc_id", "n_chars", "words", "toxic"]
+_BAYES = f"""WITH c AS (
+  SELECT l.doc_id, d.n_chars, len(string_split(d.text, ' ')) AS words, l.toxic, l.quality,
+         {_side('l.doc_id', 250_000)} AS train FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({f}::DOUBLE)' for f in _CLS_FEATURES)}) AS e FROM c WHERE train),
+m AS (SELECT quality AS k, ln(count(*)::DOUBLE) - ln((SELECT count(*) FROM c WHERE train)::DOUBLE) AS prior,
+  {', '.join(f'avg({f}::DOUBLE) AS m_{f}, var_pop({f}::DOUBLE) + (SELECT e FROM g) AS v_{f}' for f in _CLS_FEATURES)}
+  FROM c WHERE train GROUP BY quality),
+lik AS (SELECT c.doc_id, c.quality, c.train, m.k, prior - 0.5 * (
+  {' + '.join(f'ln(2 * pi() * v_{f}) + ({f} - m_{f}) * ({f} - m_{f}) / v_{f}' for f in _CLS_FEATURES)}) AS ll FROM c, m),
+s AS (SELECT doc_id, any_value(quality) AS quality, any_value(train) AS train,
+        1 / (1 + exp(max(CASE WHEN k = 0 THEN ll END) - max(CASE WHEN k = 1 THEN ll END))) AS p1 FROM lik GROUP BY doc_id),
+p AS (SELECT *, (p1 > 0.5)::INT AS predicted FROM s)
+"""
+
+
+@register("trn6_naive_bayes", oracle=_BAYES + """
+, t AS (SELECT * FROM p WHERE NOT train),
+k AS (SELECT unnest([0, 1]) AS k),
+per AS (SELECT k, count(*) FILTER (quality = k) AS n, count(*) FILTER (predicted = k) AS pn,
+               count(*) FILTER (quality = k AND predicted = k) AS tp FROM t, k GROUP BY k),
+pr AS (SELECT *, CASE WHEN pn > 0 THEN tp / pn ELSE 0 END AS pre, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS rec FROM per),
+auc AS (SELECT sum(CASE WHEN a.p1 > b.p1 THEN 1.0 WHEN a.p1 = b.p1 THEN 0.5 ELSE 0 END) / count(*) AS auc
+        FROM t a, t b WHERE a.quality = 1 AND b.quality = 0)
+SELECT 'naive_bayes' AS model, 0 AS order, round(sum(tp) / sum(n), 6) AS accuracy, round(sum(pre * n) / sum(n), 6) AS precision,
+  round(sum(rec * n) / sum(n), 6) AS recall,
+  round(sum(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END * n) / sum(n), 6) AS f1,
+  round((SELECT auc FROM auc), 6) AS roc_auc FROM pr
+""")
+def trn6_naive_bayes(spark, d):
+    return _train_one("naive_bayes")(spark, d)
+
+
+def _fit_bayes(spark, d):
+    df = _cls(spark, d)
+    labelled, classes = TR.index_label(df, "quality")
+    tr, _ = split(labelled, "doc_id", 0.25)
+    return df, TR.fit_model(tr, _CLS_FEATURES, "naive_bayes"), classes
+
+
+_BAYES_SCORES = _BAYES + """
+SELECT doc_id, CAST(predicted AS VARCHAR) AS predicted_class, round(greatest(p1, 1 - p1) * 100, 2) AS probability_pct FROM p
+"""
+
+
+@register("prd1_predict_class", oracle=_BAYES_SCORES)
+def prd1_predict_class(spark, d):
+    """PRD1 with a model SQL can recompute: class and probability % of every row."""
+    df, model, classes = _fit_bayes(spark, d)
+    return TR.predict(model, df, classes, keys=["doc_id"])
+
+
+@register("prd2_save_load_class", oracle=_BAYES_SCORES)
+def prd2_save_load_class(spark, d):
+    df, model, classes = _fit_bayes(spark, d)
+    path = TR.save_model(model, scratch_path(spark, "model"))
+    return TR.predict(TR.load_model(path), df, classes, keys=["doc_id"])
+
+
+_REG_FEATURES = ["o_orderkey", "n_lines", "sum_qty", "sum_base", "avg_disc"]
+
+
+def _least_squares_sql() -> str:
+    """Normal equations of the centred columns, solved by elimination: one
+    CTE per unknown, then the values of both sides."""
+    f = _REG_FEATURES
+    n = len(f)
+    cols = [*f, "o_totalprice"]
+    sums = ", ".join(f"sum(({a} - m_{i}) * ({b} - m_{j})) AS a{i}_{j}"
+                     for i, a in enumerate(f) for j, b in enumerate(cols) if j >= i)
+    sql = f"""WITH r AS (
+  SELECT o.o_orderkey, o.o_totalprice, s.*, {_side('o.o_orderkey', 250_000)} AS train FROM orders o JOIN (
+    SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base,
+           avg(l_discount) AS avg_disc FROM lineitem GROUP BY l_orderkey) s ON o.o_orderkey = s.l_orderkey),
+mean AS (SELECT {', '.join(f'avg({c}::DOUBLE) AS m_{i}' for i, c in enumerate(cols))} FROM r WHERE train),
+e0 AS (SELECT {sums} FROM r, mean WHERE train)"""
+    for k in range(n):          # rows below k lose column k; the matrix stays symmetric
+        keep = [f"a{i}_{j}" for i in range(k + 1) for j in range(i, n + 1)]
+        down = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, n) for j in range(i, n + 1)]
+        sql += f",\ne{k + 1} AS (SELECT {', '.join(keep + down)} FROM e{k})"
+    last = f"e{n}"
+    for k in reversed(range(n)):
+        rest = "".join(f" - a{k}_{j} * b{j}" for j in range(k + 1, n))
+        sql += f",\nx{k} AS (SELECT *, (a{k}_{n}{rest}) / a{k}_{k} AS b{k} FROM {last})"
+        last = f"x{k}"
+    value = " + ".join(f"b{i} * ({c} - m_{i})" for i, c in enumerate(f))
+    return sql + f",\np AS (SELECT r.*, m_{n} + {value} AS pred FROM r, mean, {last})"
+
+
+_LEAST_SQUARES = _least_squares_sql()
+
+
+@register("trn8_linear_regression", oracle=_LEAST_SQUARES + """
+, t AS (SELECT o_totalprice AS y, pred FROM p WHERE NOT train)
+SELECT 'linear_regression' AS model, 0 AS order, round(avg(abs(y - pred)), 4) AS mae,
+  round(sqrt(avg((y - pred) * (y - pred))), 4) AS rmse,
+  round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 4) AS r2,
+  round(avg((CASE WHEN y = 0 THEN abs(pred) <= 0.1 ELSE abs(pred - y) <= abs(y) * 0.1 END)::INT) * 100, 4) AS accuracy_pct
+FROM t
+""")
+def trn8_linear_regression(spark, d):
+    return round_doubles(TR.train(_reg(spark, d), "o_totalprice", ["linear_regression"], keys="o_orderkey"), 4)
+
+
+@register("prd1_predict_value", oracle=_LEAST_SQUARES + " SELECT o_orderkey, round(round(pred, 4), 2) AS predicted_value FROM p")
+def prd1_predict_value(spark, d):
+    """PRD1 for a regressor, every row scored."""
+    df = _reg(spark, d)
+    tr, _ = split(df.withColumn("label", F.col("o_totalprice")), "o_orderkey", 0.25)
+    model = TR.fit_model(tr, _REG_FEATURES, "linear_regression")
+    return round_doubles(TR.predict(model, df, keys=["o_orderkey"]), 2)
+
+
+@register("trn4_tree_on_training_rows", oracle=f"""
+WITH c AS (SELECT l.doc_id, d.n_chars, len(string_split(d.text, ' ')) AS words, l.toxic, l.quality
+           FROM labels l JOIN documents d USING (doc_id)),
+u AS (SELECT n_chars, words, toxic, count(DISTINCT quality) AS k FROM c WHERE {_side('doc_id', 250_000)} GROUP BY ALL)
+SELECT doc_id, CAST(quality AS VARCHAR) AS predicted_class FROM c JOIN u USING (n_chars, words, toxic)
+WHERE {_side('doc_id', 250_000)} AND k = 1
+""")
+def trn4_tree_on_training_rows(spark, d):
+    """TRN4 without a depth limit: a tree reproduces the label of every
+    training row whose features belong to one class."""
+    df = _cls(spark, d)
+    labelled, classes = TR.index_label(df, "quality")
+    tr, _ = split(labelled, "doc_id", 0.25)
+    feats = ["n_chars", "words", "toxic"]
+    model = TR.fit_model(tr, feats, "decision_tree")
+    one = tr.groupBy(*feats).agg(F.count_distinct("quality").alias("k")).where("k = 1").drop("k")
+    return TR.predict(model, tr.join(one, feats), classes, keys=["doc_id"]).drop("probability_pct")
+
+
 @register("trn12_train_classification")
 def trn12_train_classification(spark, d):
     df = _cls(spark, d)
@@ -344,6 +481,88 @@ def aml1_automl(spark, d):
     return round_doubles(res["results"])
 
 
+def _mixed(spark, d):
+    """labels ⋈ documents with text columns and NULLs; target ``quality``."""
+    docs = docs_missing(spark, d).where("quality is not null")
+    return docs.select("doc_id", "n_chars", "chars_en", "toxic", "lang", "source", "quality")
+
+
+@register("aml1_automl_mixed")
+def aml1_automl_mixed(spark, d):
+    """AML1 from text and NULLs to the stored winner: its predictions of
+    the test side, read back from the saved model, beside the results."""
+    path = scratch_path(spark, "automl")
+    res = automl(_mixed(spark, d), "quality", keys="doc_id", save_path=path)
+    best = TR.load_model(path)
+    return round_doubles(res["results"].withColumn("saved_stages", F.lit(len(best.stages))))
+
+
+# PIP with all four stages at work: NULLs filled by four methods, text encoded
+# two ways, three features kept by correlation, then scaled.
+_PIP_MIXED = {"target": "quality", "imputation": {"n_chars": "median", "chars_en": "mean", "lang": "most_frequent",
+                                                  "source": {"method": "constant", "fill_value": "none"}},
+              "encoding": {"lang": "onehot", "source": "frequency"}, "selection": {"method": "correlation", "k": 3}}
+_PIP_FEATURES = ["n_chars", "chars_en", "toxic", "source", "lang_es", "lang_fr"]
+
+
+def _pip_mixed_sql(fit: str) -> str:
+    """Long form (doc_id, feature, value) of the features kept, learned on
+    the rows where ``fit`` holds."""
+    f = f"(SELECT * FROM t WHERE {fit})"
+    one = " UNION ALL ".join(f"SELECT doc_id, fit, quality, '{c}' AS feature, {c}::DOUBLE AS x FROM e" for c in _PIP_FEATURES)
+    return f"""WITH {DOCS_MISSING_SQL},
+t AS (SELECT doc_id, n_chars, chars_en, toxic, lang, source, quality, {fit} AS fit FROM dm WHERE quality IS NOT NULL),
+u AS (SELECT doc_id, fit, quality, coalesce(n_chars, (SELECT quantile_cont(n_chars, 0.5) FROM {f})) AS n_chars,
+        coalesce(chars_en, (SELECT avg(chars_en) FROM {f})) AS chars_en, toxic,
+        coalesce(lang, {sql_mode('lang', f)}) AS lang, coalesce(source, 'none') AS source FROM t),
+q AS (SELECT source, count(*) / (SELECT count(*) FROM u WHERE fit) AS share FROM u WHERE fit GROUP BY source),
+e AS (SELECT u.* EXCLUDE (source), coalesce(q.share, 0) AS source, (lang = 'es')::DOUBLE AS lang_es, (lang = 'fr')::DOUBLE AS lang_fr
+      FROM u LEFT JOIN q USING (source)),
+l AS ({one}),
+r AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s,
+             row_number() OVER (ORDER BY abs(corr(x, quality)) DESC, feature) AS rank FROM l WHERE fit GROUP BY feature)
+SELECT doc_id, feature, round((x - m) / s, 6) AS value FROM l JOIN r USING (feature) WHERE rank <= 3"""
+
+
+def _long(df):
+    cols = [c for c in df.columns if c not in ("doc_id", "quality")]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cols]))
+    return round_doubles(df.select("doc_id", pairs.alias("p")).select("doc_id", "p.feature", "p.value"))
+
+
+@register("pip1_fit_transform_mixed", oracle=_pip_mixed_sql("true"))
+def pip1_fit_transform_mixed(spark, d):
+    df = _mixed(spark, d)
+    model = Preprocessor(_PIP_MIXED).fit(df.drop("doc_id"))
+    return _long(model.transform_keep_target(df, keep=["doc_id"]))
+
+
+@register("pip2_replay_mixed", oracle=_pip_mixed_sql(f"{_H.replace('o_orderkey', 'doc_id')} % 100 >= 25"))
+def pip2_replay_mixed(spark, d):
+    df = _mixed(spark, d)
+    model = Preprocessor(_PIP_MIXED).fit(df.where(md5_bucket("doc_id", 100) >= 25).drop("doc_id"))
+    return _long(model.transform_keep_target(df, keep=["doc_id"]))
+
+
+@register("pip3_save_load_mixed", oracle=_pip_mixed_sql(f"{_H.replace('o_orderkey', 'doc_id')} % 100 >= 25"))
+def pip3_save_load_mixed(spark, d):
+    df = _mixed(spark, d)
+    path = scratch_path(spark, "prep")
+    Preprocessor(_PIP_MIXED).fit(df.where(md5_bucket("doc_id", 100) >= 25).drop("doc_id")).write().overwrite().save(path)
+    return _long(PreprocessorModel.load(path).transform_keep_target(df, keep=["doc_id"]))
+
+
+@register("noi4_rare_class")
+def noi4_rare_class(spark, d):
+    """NOI4 as NOI2 reaches it: a class with one row, so the isolation
+    forest lists the most anomalous rows instead of a classifier's doubts."""
+    df = _cls(spark, d)
+    first = df.agg(F.min("doc_id")).first()[0]
+    rare = df.withColumn("quality", F.when(F.col("doc_id") == first, F.lit(9)).otherwise(F.col("quality")))
+    review, _report = N.detect_label_noise(rare, "quality", keys="doc_id")
+    return review
+
+
 @register("str2_stream_predict")
 def str2_stream_predict(spark, d):
     """PRD1 on a stream: the fitted classifier scores documents as they

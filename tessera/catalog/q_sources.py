@@ -27,6 +27,19 @@ def src2_read_json(spark, d):
     return IO.read_table(spark, path, "json").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+@register("src2_read_json_array", oracle="SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def src2_read_json_array(spark, d):
+    """SRC2, files that are each one JSON array of records, of about 10,000 records."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    parts = max(1, o.count() // 10_000)
+    record = F.to_json(F.struct(*o.columns))
+    arrays = o.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).alias("part")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    path = IO.scratch_path(spark, "src2")
+    arrays.write.partitionBy("part").text(path)
+    return IO.read_table(spark, path, "json").select(*o.columns)
+
+
 @register("src3_validate_table", oracle="SELECT * FROM nation")
 def src3_validate_table(spark, d):
     return IO.validate_table(table(spark, d, "nation"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,16 +22,6 @@ def is_float_type(dt: T.DataType) -> bool:
     return isinstance(dt, FRACTIONAL)
 
 
-def dtype_of(df: DataFrame, col: str) -> T.DataType:
-    return df.schema[col].dataType
-
-
-def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
-    ex = _as_set(exclude)
-    return [f.name for f in df.schema.fields
-            if is_numeric_type(f.dataType) and f.name not in ex]
-
-
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     ex = _as_set(exclude)
     return [f.name for f in df.schema.fields
@@ -63,15 +51,6 @@ def as_list(x) -> list:
     return list(x)
 
 
-def quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def normalized_name(name: str) -> str:
     """Lower-case, spaces to underscores (CLN1)."""
     return name.lower().replace(" ", "_")
-
-
-def loose_key(name: str) -> str:
-    """Name key used for manual selection: case, spaces and underscores ignored."""
-    return re.sub(r"[\s_]+", "", name.lower())

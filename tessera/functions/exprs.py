@@ -54,13 +54,3 @@ def md5_unit(*keys) -> Column:
 def md5_bucket(keys, buckets: int = 100) -> Column:
     keys = [keys] if isinstance(keys, str) else list(keys)
     return F.pmod(md5_unit(*keys), F.lit(buckets))
-
-
-def row_md5(cols) -> Column:
-    """Content address of a row, for tables without a key."""
-    return F.md5(F.to_json(F.struct(*[F.col(c) for c in cols])))
-
-
-def iqr_bounds(q1: float, q3: float, k: float) -> tuple[float, float]:
-    iqr = q3 - q1
-    return q1 - k * iqr, q3 + k * iqr

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_integral_type, is_numeric_type, normalized_name
 from tessera.plans.stats import aggregate, modes
+from tessera.session import cut_lineage
 
 UNKNOWN = "Unknown"   # fixed fill text when a categorical column has no mode
 
@@ -83,24 +86,47 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def _weighted_modes(rows: DataFrame, cols: list) -> dict:
+    """Most frequent value per column of a table of distinct rows with
+    ``__copies``; ties go to the smallest. Columns without values are left out."""
+    if not cols:
+        return {}
+    parts = [rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.sum("__copies").alias("k"))
+             .select(F.lit(i).alias("i"), "v", "k") for i, c in enumerate(cols)]
+    got = {}
+    for at in range(0, len(cols), 64):
+        best = reduce(DataFrame.unionByName, parts[at:at + 64]).groupBy("i").agg(F.min(F.struct((-F.col("k")).alias("k"), "v")).alias("b"))
+        got.update({cols[r["i"]]: r["b"]["v"] for r in best.collect()})
+    return got
+
+
 def clean(df: DataFrame):
     """CLN6: normalise names, count duplicates and nulls, fill, drop
     duplicates. Returns ``(cleaned_df, report_df)``; the report is one row
     (original_rows, duplicate_rows, missing_before, missing_handled,
     cleaned_rows, columns). As in the reference, ``missing_handled`` is
-    counted before duplicates are dropped."""
+    counted before duplicates are dropped. Equal rows stay equal when they
+    are filled, so the table is deduplicated once, before: the distinct rows
+    with their counts are staged, and every number, the fills included, is an
+    aggregate over that smaller table."""
     spark = df.sparkSession
-    st = aggregate(df, {"n": F.count(F.lit(1)),
-                        **{f"m:{c}": F.count_if(F.col(c).isNull()) for c in df.columns}})
-    n = st["n"]
-    missing_before = sum(st[f"m:{c}"] for c in df.columns)
-    dup = n - df.distinct().count()
     d = normalize_columns(df)
-    filled = fill_default(d)
-    after = aggregate(filled, {c: F.count_if(F.col(c).isNull()) for c in filled.columns})
-    missing_after = sum(after.values())
-    out = filled.dropDuplicates()
-    cleaned_rows = out.count()
+    rows = cut_lineage(d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("__copies")))
+    copies = F.col("__copies")
+    numeric = [c for c in d.columns if is_numeric_type(d.schema[c].dataType)]
+    st = aggregate(rows, {"n": F.sum(copies), "d": F.count(F.lit(1)),
+                          **{f"m:{c}": F.sum(F.when(F.col(c).isNull(), copies).otherwise(0)) for c in d.columns},
+                          **{f"a:{c}": F.sum(F.col(c).cast("double") * copies) for c in numeric}})
+    n, missing = int(st["n"] or 0), {c: int(st[f"m:{c}"] or 0) for c in d.columns}
+    missing_before, dup = sum(missing.values()), n - int(st["d"])
+    need = [c for c in d.columns if missing[c]]
+    tops = _weighted_modes(rows, [c for c in need if c not in numeric])
+    fills = {c: (st[f"a:{c}"] / (n - missing[c]) if missing[c] < n else None) if c in numeric else tops.get(c, UNKNOWN)
+             for c in need}
+    missing_after = sum(missing[c] for c in need if fills[c] is None)
+    filled = apply_fills(rows, fills).drop("__copies")
+    out = filled.dropDuplicates() if need else filled      # filled rows can become equal
+    cleaned_rows = out.count() if need else int(st["d"])
     report = spark.createDataFrame(
         [(n, dup, missing_before, missing_before - missing_after, cleaned_rows, len(out.columns))],
         "original_rows long, duplicate_rows long, missing_before long, missing_handled long, "

@@ -233,13 +233,14 @@ def apply_edits(df: DataFrame, edits: DataFrame, keys) -> DataFrame:
     """OUT8: overwrite cells of the full table with user edits, matched by
     key (the reference aligns by position; Spark has no position). Edited
     columns absent from the table are ignored; NULL in an edit keeps the old
-    value. The edit table is keyed and small relative to the table; Spark
+    value. Of several edits of a key the least counts, compared column by
+    column, whatever the row order. The edit table is keyed and small relative to the table; Spark
     broadcasts it when its size is under the broadcast threshold, otherwise
     it is a shuffled join on the key."""
     keys = as_list(keys)
     edit_cols = [c for c in edits.columns if c not in keys and c in df.columns]
-    e = edits.select(*keys, *[F.col(c).alias(f"__edit_{c}") for c in edit_cols]) \
-             .dropDuplicates(keys)
+    e = edits.groupBy(*keys).agg(F.min(F.struct(*edit_cols)).alias("__edit")) if edit_cols else edits.select(*keys).distinct()
+    e = e.select(*keys, *[F.col(f"__edit.{c}").alias(f"__edit_{c}") for c in edit_cols])
     joined = df.join(e, on=keys, how="left")
     out = []
     for f in df.schema.fields:

@@ -21,9 +21,6 @@ from tessera.operators.profile import task_type_of
 from tessera.operators.scale import apply_scaling, scaler_params
 from tessera.plans.stats import stats_input
 
-SCALINGS = ("standard", "minmax", "robust", "none")
-SELECTIONS = ("correlation", "kbest", "rfe", "tree", "none")
-
 
 def _imputation_config(cfg: dict):
     methods, constants = {}, {}
@@ -110,13 +107,14 @@ class PreprocessorModel(JsonStateModel):
     """PIP2 / PIP3: replay on new data (target dropped if present); save /
     load through Spark ML's params writer."""
 
-    def transform_keep_target(self, df: DataFrame) -> DataFrame:
+    def transform_keep_target(self, df: DataFrame, keep=()) -> DataFrame:
+        """``keep``: columns, such as keys, that go through unchanged."""
         st = self.fitted
         target = self.conf["target"]
         d = apply_fills(df, {c: v for c, v in st["fills"].items() if c in df.columns})
         d = apply_encoding(d, {c: v for c, v in st["encoder"].items() if c in d.columns})
-        keep = [c for c in st["features"] if c in d.columns]
-        d = d.select(*keep, *([target] if target in d.columns else []))
+        chosen = [c for c in st["features"] if c in d.columns]
+        d = d.select(*keep, *chosen, *([target] if target in d.columns else []))
         return apply_scaling(d, st["scaler"])
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -180,10 +180,14 @@ def column_roles(df: DataFrame, max_int_categories: int = 20) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, is_numeric boolean, is_categorical boolean")
 
 
-def task_type_of(df: DataFrame, target: str, threshold: int = 10) -> tuple[str, int]:
+def task_type_of(df: DataFrame, target: str, threshold: int = 10, exact: bool = False) -> tuple[str, int]:
     """PRF7 rule: float -> regression; numeric with >= threshold distinct ->
-    regression; otherwise classification. Returns (task, n_unique)."""
+    regression; otherwise classification. Returns (task, n_unique); values
+    that the task does not depend on (of a float target) are counted only
+    with ``exact``, else n_unique is -1."""
     dt = df.schema[target].dataType
+    if is_float_type(dt) and not exact:
+        return "regression", -1
     n = distinct_counts(df, [target])[target]
     if is_float_type(dt):
         return "regression", n
@@ -193,7 +197,7 @@ def task_type_of(df: DataFrame, target: str, threshold: int = 10) -> tuple[str,
 
 
 def task_type(df: DataFrame, target: str, threshold: int = 10) -> DataFrame:
-    t, n = task_type_of(df, target, threshold)
+    t, n = task_type_of(df, target, threshold, exact=True)
     return df.sparkSession.createDataFrame([(target, t, n)], "target string, task_type string, n_unique long")
 
 

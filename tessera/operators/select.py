@@ -17,6 +17,7 @@ from tessera.functions.columns import as_list, is_numeric_type, normalized_name
 from tessera.functions.exprs import guarded_corr
 from tessera.operators.fitted import JsonEstimator, JsonStateModel
 from tessera.plans.stats import aggregate, distinct_counts
+from tessera.session import cut_lineage
 
 # Identifier-name rule (regexes on the lower-cased name, and
 # exact names) used to drop key-like columns before correlation ranking.
@@ -89,18 +90,22 @@ def _numeric_target(enc: DataFrame, target: str) -> DataFrame:
 
 def anova_f(df: DataFrame, target: str, feats: list) -> dict:
     """One-way ANOVA F of each feature across target classes (f_classif):
-    F = (SSB / (k-1)) / (SSW / (n-k)) from per-class n, mean, var_pop."""
+    F = (SSB / (k-1)) / (SSW / (n-k)) from per-class n, mean, var_pop. The
+    classes stay a table of any length; two one-row sums over it reach the driver."""
     x = {c: F.col(c).cast("double") for c in feats}
     g = df.groupBy(target).agg(F.count(F.lit(1)).alias("__n"),
                                *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(feats)],
-                               *[F.var_pop(x[c]).alias(f"v{i}") for i, c in enumerate(feats)]).collect()
-    n = sum(r["__n"] for r in g)
-    k = len(g)
+                               *[F.var_pop(x[c]).alias(f"v{i}") for i, c in enumerate(feats)])
+    g = cut_lineage(g)
+    w = F.col("__n")
+    st = aggregate(g, {"n": F.sum(w), "k": F.count(F.lit(1)), **{f"g{i}": F.sum(w * F.col(f"m{i}")) for i in range(len(feats))}})
+    n, k = st["n"] or 0, st["k"]
+    grand = [(st[f"g{i}"] or 0.0) / n if n else 0.0 for i in range(len(feats))]
+    sums = aggregate(g, {**{f"b{i}": F.sum(w * (F.col(f"m{i}") - F.lit(grand[i])) ** 2) for i in range(len(feats))},
+                         **{f"w{i}": F.sum(w * F.col(f"v{i}")) for i in range(len(feats))}}) if feats else {}
     out = {}
     for i, c in enumerate(feats):
-        grand = sum(r["__n"] * r[f"m{i}"] for r in g) / n
-        ssb = sum(r["__n"] * (r[f"m{i}"] - grand) ** 2 for r in g)
-        ssw = sum(r["__n"] * r[f"v{i}"] for r in g)
+        ssb, ssw = sums[f"b{i}"] or 0.0, sums[f"w{i}"] or 0.0
         if k < 2 or n - k <= 0:
             out[c] = None
         elif ssw == 0:

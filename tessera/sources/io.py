@@ -20,8 +20,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     """SRC1 / SRC2: CSV with header (schema inferred unless given), JSON
-    records (JSON lines or a JSON array), parquet. Column-oriented JSON
-    objects go through ``read_json_columns``."""
+    records (JSON lines, or files that are each a JSON array), parquet."""
     fmt = fmt.lower()
     if fmt == "csv":
         r = spark.read.option("header", True)
@@ -47,48 +46,6 @@ def _is_json_array(spark, path) -> bool:
     return bool(head) and head[0][0].lstrip().startswith("[")
 
 
-def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2, column-oriented form ``{col: {row: value}}`` (pandas'
-    ``to_json(orient='columns')``). The object is parsed as a map of maps,
-    exploded twice and pivoted back to rows; column types are then inferred
-    from the text (long, then double, else string). Such a file is a single
-    JSON document, so it is only meant for the small uploads it comes from."""
-    txt = spark.read.text(path, wholetext=True)
-    m = txt.select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    cells = (m.select(F.explode("m").alias("col", "rows"))
-               .select("col", F.explode("rows").alias("row", "val")))
-    cols = [r[0] for r in cells.select("col").distinct().collect()]
-    order = _json_col_order(spark, path, cols)
-    wide = (cells.groupBy(F.col("row").cast("long").alias("__row")).pivot("col", order)
-                 .agg(F.first("val")).orderBy("__row"))
-    return infer_types(wide.drop("__row"))
-
-
-def _json_col_order(spark, path, cols):
-    first = spark.read.text(path, wholetext=True).first()[0]
-    return sorted(cols, key=lambda c: first.find(f'"{c}"'))
-
-
-def infer_types(df: DataFrame) -> DataFrame:
-    """Cast text columns whose non-null values all parse as long (else
-    double) to that type; one aggregate pass."""
-    from tessera.plans.stats import aggregate
-    st = aggregate(df, {**{f"l:{c}": F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("long").isNull())
-                           for c in df.columns},
-                        **{f"d:{c}": F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
-                           for c in df.columns},
-                        **{f"n:{c}": F.count(F.col(c)) for c in df.columns}})
-    out = []
-    for c in df.columns:
-        if st[f"n:{c}"] and st[f"d:{c}"] == 0 and st[f"l:{c}"] == 0:
-            out.append(F.col(c).try_cast("long").alias(c))
-        elif st[f"n:{c}"] and st[f"d:{c}"] == 0:
-            out.append(F.col(c).try_cast("double").alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
-
-
 def validate_table(df: DataFrame) -> DataFrame:
     """SRC3: reject an empty table or one with fewer than 2 columns."""
     if len(df.columns) < 2:

@@ -5,10 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The reference's stage names, most processed first (chart
-# pages' order). Other pages use other orders; ``latest`` takes one.
-STAGES = ["scaled_dataset", "final_dataset", "encoded_dataset", "noise_free_dataset",
-          "outlier_free_dataset", "cleaned_dataset", "dataset"]
+# Stage names, most processed first (chart pages' order).
+# Other pages use other orders; ``latest`` takes one.
 CHART_ORDER = ["noise_free_dataset", "outlier_free_dataset", "cleaned_dataset", "dataset"]
 
 

@@ -1,5 +1,6 @@
 """Operator unit tests on small hand-made tables (FIXTURES.md)."""
 
+import json
 import math
 
 import numpy as np
@@ -23,46 +24,35 @@ def pdf(spark, frame):
 
 
 # ------------------------------------------------------------------ outliers
-# Tank readings: ten distinct levels and flows, so both count as low
-# cardinality; an eleventh row makes them continuous.
-CAPPING = {
-    "k": list(range(10)),
-    "valve_open": [1, 1, 0, 1, 0, 0, 1, 0, 1, 1],
-    "pump": [7, 8, 9, 9, 8, 7, 7, 9, 6, 8],
-    "level": [41, 43, 38, 420, 40, 44, -90, 39, 42, 37],
-    "flow": [0.25, 0.5, 0.75, 1.25, 1.5, 1.75, 2.25, 2.5, 2.75, 60.0],
-    "alarm": [0, 0, 1, 1, 0, 0, 1, 0, 0, 1],
-}
+# Parcels: more than ten weights, exactly ten widths. Weights sorted are
+# 10 .. 20 and 100: quartiles at places 2.75 and 8.25 are 12.75 and 18.25, so
+# the fences are 12.75 - 8.25 = 4.5 and 18.25 + 8.25 = 26.5.
+PARCELS = [  # parcel, weight, width, express, late
+    (1, 14, 0.5, 0, 0), (2, 19, 1.0, 1, 0), (3, 11, 1.5, 0, 1), (4, 17, 2.0, 1, 0), (5, 20, 2.5, 0, 0), (6, 12, 3.0, 0, 1),
+    (7, 16, 900.0, 1, 1), (8, 10, 3.5, 1, 0), (9, 18, 4.0, 0, 0), (10, 13, 4.5, 0, 1), (11, 100, 0.5, 1, 1), (12, 15, 1.0, 0, 0)]
 
 
-def test_capping_demo_ten_distinct_is_low_cardinality(spark):
-    df = pdf(spark, CAPPING)
-    ft = O.classify_features(df, target=["alarm", "k"])
-    assert ft.binary == ["valve_open"]
-    assert set(ft.low_cardinality) == {"pump", "level", "flow"}
-    assert ft.continuous == []
-    capped = O.cap_outliers(df, target=["alarm", "k"]).toPandas()
-    assert capped["level"].tolist() == CAPPING["level"]
+def parcels(spark):
+    return spark.createDataFrame(PARCELS, "parcel long, weight long, width double, express int, late int")
 
 
-def test_capping_with_eleventh_row_caps_and_keeps_int(spark):
-    data = {c: v + [v[-1]] for c, v in CAPPING.items()}
-    data["k"][-1] = 10
-    data["level"][-1] = 15
-    data["flow"][-1] = 3.0
-    df = pdf(spark, data)
-    s = pd.Series(data["level"], dtype=float)
-    q1, q3 = s.quantile(0.25), s.quantile(0.75)
-    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    expect = s.clip(lo, hi).round().astype(int).tolist()
-    got = O.cap_outliers(df, target=["alarm", "k"], keep_int=True).orderBy("k").toPandas()
-    assert got["level"].tolist() == expect
-    assert str(got["level"].dtype).startswith("int")
-    det = O.outlier_details(df, keys="k", exclude=["alarm", "k"]).toPandas()
-    assert set(det["k"]) == {i for i, v in enumerate(data["level"]) if v < lo or v > hi} | \
-        set(det[det.column_name == "flow"]["k"])
-    copy = O.cap_outliers(df, target=["alarm", "k"], keep_int=False)
-    assert dict(copy.dtypes)["level"] == "double"
+def test_ten_distinct_values_are_low_cardinality_and_stay(spark):
+    ft = O.classify_features(parcels(spark), target=["late", "parcel"])
+    assert (ft.binary, ft.low_cardinality, ft.continuous) == (["express"], ["width"], ["weight"])
+    capped = O.cap_outliers(parcels(spark), target=["late", "parcel"]).orderBy("parcel").toPandas()
+    assert capped["width"].tolist() == [r[2] for r in PARCELS]
+
+
+def test_eleven_distinct_values_are_capped_at_the_fences(spark):
+    df = parcels(spark)
+    got = O.cap_outliers(df, target=["late", "parcel"], keep_int=True).orderBy("parcel").toPandas()
+    assert got["weight"].tolist() == [14, 19, 11, 17, 20, 12, 16, 10, 18, 13, 26, 15]      # 26.5 goes to the even 26
+    assert str(got["weight"].dtype).startswith("int")
+    details = O.outlier_details(df, keys="parcel", exclude=["late", "parcel"]).toPandas()
+    assert details[["parcel", "column_name"]].values.tolist() == [[11, "weight"]]
+    copy = O.cap_outliers(df, target=["late", "parcel"], keep_int=False)
+    assert dict(copy.dtypes)["weight"] == "double"
+    assert copy.agg({"weight": "max"}).first()[0] == 26.5
 
 
 def test_iqr_zero_is_skipped(spark):
@@ -300,14 +290,30 @@ def test_dashboard_charts(spark):
     assert math.isclose(corr[("rain", "runoff")], np.corrcoef(DASHBOARD["rain"], DASHBOARD["runoff"])[0, 1])
 
 
-def test_column_oriented_json_reader(spark, tmp_path):
-    frame = pd.DataFrame({"a": [1, 2, 3], "b": ["x", None, "z"], "c": [1.5, 2.5, 3.0]})
-    path = tmp_path / "cols.json"
-    frame.to_json(path, orient="columns")
-    out = IO.read_json_columns(spark, str(path))
-    assert out.columns == ["a", "b", "c"]
-    assert dict(out.dtypes) == {"a": "bigint", "b": "string", "c": "double"}
-    assert [tuple(r) for r in out.collect()] == [(1, "x", 1.5), (2, None, 2.5), (3, "z", 3.0)]
+def test_json_lines_and_arrays(spark, tmp_path):
+    rows = [{"a": 1, "b": "x"}, {"a": 2, "b": None}, {"a": 3, "b": "y"}]
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "arrays" / "1.json").write_text(json.dumps(rows[:2], indent=1))
+    (tmp_path / "arrays" / "2.json").write_text("  " + json.dumps(rows[2:]))
+    for name in ("lines.json", "arrays"):
+        got = IO.read_table(spark, str(tmp_path / name), "json")
+        assert sorted(map(tuple, got.select("a", "b").collect())) == [(1, "x"), (2, None), (3, "y")]
+
+
+def test_edits_of_one_key_do_not_depend_on_row_order(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, 6.0, "b")], "k int, v double, s string")
+    edits = spark.createDataFrame([(1, 9.0, "z"), (1, 7.0, "y"), (1, 8.0, None)], "k int, v double, s string")
+    for e in (edits, edits.orderBy("v"), edits.orderBy(edits.v.desc())):
+        assert sorted(map(tuple, O.apply_edits(df, e, "k").collect())) == [(1, 7.0, "y"), (2, 6.0, "b")]
+
+
+def test_clean_counts_copies_and_fills_from_them(spark):
+    rows = [("x", 1.0), ("x", 1.0), ("x", None), ("y", 4.0), (None, 4.0), (None, 4.0), ("x", 2.0)]
+    out, rep = C.clean(spark.createDataFrame(rows, "`S t` string, v double"))
+    want = {("x", 1.0), ("x", 16 / 6), ("y", 4.0), ("x", 4.0), ("x", 2.0)}
+    assert {tuple(r) for r in out.collect()} == want and out.columns == ["s_t", "v"]
+    assert tuple(rep.first()) == (7, 2, 3, 3, 5, 2)
 
 
 def test_roc_auc_matches_spark_evaluator(spark):
