@@ -24,6 +24,8 @@ columns are read, so others may have any names. No rows give no rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -256,6 +258,25 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     """Phrases of 2 to ``longest`` words that occur ``least`` times or more, by
     their weakest cut: lang, rank, phrase, a, l, r, n, score; each lang's
     first ``top`` by score, count and phrase. A staged table."""
+    with _small_batches(docs.sparkSession):
+        return _mined(docs, longest, least, top, share, text_col, lang_col)
+
+
+@contextmanager
+def _small_batches(spark):
+    """Rows of a relation hold a megabyte and more: Arrow batches of 8 MB
+    instead of 64 bound what a task holds on both sides. The session's setting
+    is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def _mined(docs: DataFrame, longest: int, least: int, top: int, share: int, text_col: str, lang_col: str) -> DataFrame:
     r1 = occurrences(docs, text_col, lang_col)
     entries = r1.select("lang", F.explode(F.arrays_zip("ids", "checks", "counts")).alias("w"))
     words = entries.groupBy(F.col("w.ids").alias("id1")).agg(
