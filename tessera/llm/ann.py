@@ -49,11 +49,12 @@ class Index:
 
 def matrix(col, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows usable, their vectors in double precision): not null, ``dim``
-    long (by default the longest), finite in every component and not zero."""
+    long (by default the most frequent length, the smaller in a tie), finite
+    in every component and not zero."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     size = np.asarray(col.value_lengths().fill_null(0)).astype(np.int64)
-    dim = int(size.max(initial=0)) if dim is None else dim
+    dim = int(np.bincount(size[size > 0], minlength=1).argmax()) if dim is None else dim
     rows = np.flatnonzero(size == dim) if dim else np.zeros(0, np.int64)
     if not len(rows):
         return rows, np.zeros((0, dim or 0))

@@ -152,3 +152,23 @@ def test_components_and_filter(spark):
     near = holding(df, "k", ids)
     assert near.join(ids, F.col("k") == F.col("id")).count() == 143
     assert near.count() + holding(df, "k", ids, hit=False).count() == 1000
+
+
+def test_embeddings_of_unequal_lengths(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.0], 1) for i in range(6)] + [(10 + i, [1.0, 0.0, 0.0, 0.01 * i], 1) for i in range(3)]
+    rows += [(20, [1.0, 0.0, 0.0], 2), (21, [], 1), (22, None, 1), (23, [0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows],
+                               "vec_id long, embedding array<float>, label int, component_id string, n_links int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {**{i: (5, 0) for i in range(6)}, **{10 + i: (2, 10) for i in range(3)},
+                   20: (0, 20), 21: (0, 21), 22: (0, 22), 23: (0, 23)}
+
+
+def test_search_of_unequal_lengths(spark):
+    from tessera.llm import ann
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(20)] + [(50, [1.0, 2.0, 3.0, 4.0]), (51, [1.0]), (52, None), (53, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "vec_id long, embedding array<double>, rank string, score double")
+    got = ann.search(df, df.where("vec_id in (0, 7, 50)"), ann.fit(df), k=3).collect()
+    want = {0: [1, 2, 3], 7: [6, 8, 5]}
+    assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want
+    assert {r["query_id"] for r in got} == {0, 7}
