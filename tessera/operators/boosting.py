@@ -1,7 +1,8 @@
-"""Gradient boosting for any number of classes (TRN7): one softmax model.
+"""Gradient boosting for any number of classes (TRN7) and for numbers (TRN10).
 
 Each round grows one regression tree per class on the gradients of the
-multinomial log-loss. All trees of a round grow together: the features are
+multinomial log-loss (for two classes this is logistic boosting: the two trees
+mirror each other), or one tree on the residuals. All trees of a round grow together: the features are
 binned once, every level is one pass in which tasks add up histograms of
 (rows, gradient, curvature) per class, node, column and bin, and only their sum
 reaches the driver, a table whose size does not depend on the rows. Leaf values
@@ -44,14 +45,17 @@ def _stage(df: DataFrame) -> DataFrame:
 
 
 def _rows(batch, width: int, classes: int):
-    """(bins, label, scores) of a batch of the staged table."""
+    """(bins, label, scores) of a batch of the staged table; ``classes`` 0
+    has one column of scores."""
+    classes = max(classes, 1)
+
     def flat(name, kind, w):
         got = batch.column(name)
         off = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1, got.offset * 4)
         data = np.frombuffer(got.buffers()[2], np.uint8)[off[0]:off[-1]]
         return data.view(kind).reshape(-1, w) if len(data) else np.zeros((len(got), w), kind)
 
-    return flat("bins", np.uint8, width), np.asarray(batch.column("label")).astype(np.int64), \
+    return flat("bins", np.uint8, width), np.asarray(batch.column("label")), \
         flat("scores", np.float64, classes).copy()
 
 
@@ -92,7 +96,8 @@ def _histograms(width, classes, recent, trees, open_at, group):
             if not b.num_rows:
                 continue
             bins, y, s = _rows(b, width, classes)
-            p = _softmax(_add_trees(s, bins, recent))
+            s = _add_trees(s, bins, recent)
+            p = _softmax(s) if classes else s
             place = np.full((len(y), len(group)), -1, np.int64)
             r = np.empty(place.shape)
             for i, k in enumerate(group):
@@ -100,11 +105,11 @@ def _histograms(width, classes, recent, trees, open_at, group):
                     slot = np.full(len(trees[i][0]), -1, np.int64)
                     slot[open_at[i]] = np.arange(len(open_at[i]))
                     place[:, i] = slot[_walk(trees[i], bins)]
-                r[:, i] = (y == k) - p[:, k]
+                r[:, i] = (y == k) - p[:, k] if classes else y - p[:, 0]
             row, col = np.nonzero(place >= 0)
             base = (col * nodes + place[row, col]) * BINS
             g = r[row, col]
-            h = np.abs(g) * (1 - np.abs(g))
+            h = np.abs(g) * (1 - np.abs(g)) if classes else np.ones(len(g))
             cells = len(group) * nodes * BINS
             if total is None:
                 total = np.zeros((3, width, cells))
@@ -134,20 +139,22 @@ def _best(hist: np.ndarray):
     return float(gain[f, b]), int(f), int(b), left[:, f, b], right[:, f, b]
 
 
-def grow(table: DataFrame, width: int, classes: int, prior: np.ndarray, rounds: int, depth: int, rate: float):
-    """(trees by round and class, gain by column)."""
+def grow(table: DataFrame, width: int, classes: int, rounds: int, depth: int, rate: float):
+    """(trees by round and class, gain by column); ``classes`` 0: one tree a
+    round on the residuals."""
     done, recent, importance = [], [], np.zeros(width)
-    step = rate * (classes - 1) / classes
+    columns = max(classes, 1)
+    step = rate * (classes - 1) / classes if classes else rate
 
     def value(sums):
         return step * sums[1] / sums[2] if abs(sums[2]) > 1e-150 else 0.0
 
     for t in range(rounds):
-        trees = [[[-1], [0], [0], [0], [0.0]] for _ in range(classes)]
-        open_nodes = [[0] for _ in range(classes)]
+        trees = [[[-1], [0], [0], [0], [0.0]] for _ in range(columns)]
+        open_nodes = [[0] for _ in range(columns)]
         for level in range(depth):
             per = max(1, TABLE_MB * (1 << 20) // (24 * BINS * width * (1 << level)))
-            ks = [k for k in range(classes) if open_nodes[k]]
+            ks = [k for k in range(columns) if open_nodes[k]]
             for at in range(0, len(ks), per):
                 group = ks[at:at + per]
                 as_arrays = [[np.array(c) for c in trees[k]] for k in group]
@@ -201,41 +208,82 @@ def _bin(x: np.ndarray, edges: list) -> np.ndarray:
     return out
 
 
+def _fitted_state(df: DataFrame, c: dict, classes: int) -> dict:
+    """Bins, staged table and rounds of a model, as its JSON state."""
+    data = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
+    data = data.where("label is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    if classes:
+        counts = {int(r["label"]): r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n = sum(counts.values())
+        prior = np.log(np.maximum([counts.get(k, 0) / max(n, 1) for k in range(classes)], 1e-12))
+    else:
+        n, mean = data.agg(F.count("label"), F.avg("label")).first()
+        prior = np.array([mean or 0.0])
+    width = len(data.first()["x"]) if n else 0
+    probs = [i / (BINS - 1) for i in range(1, BINS - 1)]
+    names = [f"x{i}" for i in range(width)]
+    wide = data.select(*[F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]).alias(f"x{i}") for i in range(width)])
+    edges = [np.array(sorted(set(e)), np.float64) for e in wide.approxQuantile(names, probs, 0.25 / BINS)] if n else []
+    start = prior.astype(np.float64).tobytes()
+
+    def pack(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.record_batch({"bins": pa.array([r.tobytes() for r in _bin(x, edges)], pa.binary()),
+                                   "label": b.column("label"),
+                                   "scores": pa.array([start] * b.num_rows, pa.binary())})
+
+    trees, gain = [], np.zeros(width)
+    if n:
+        table = _stage(fitting(data, n).mapInArrow(pack, "bins binary, label double, scores binary"))
+        trees, gain = grow(table, width, classes, int(c.get("rounds", 100)), int(c.get("depth", 3)), float(c.get("rate", 0.1)))
+    data.unpersist()
+    return {"prior": prior.tolist(), "edges": [e.tolist() for e in edges],
+            "gain": (gain / gain.sum() if gain.sum() > 0 else gain).tolist(),
+            "trees": [[[a.tolist() for a in t] for t in r] for r in trees]}
+
+
 class SoftmaxBoosting(JsonEstimator):
     """config: classes, rounds (100), depth (3), rate (0.1). Reads
     ``features`` (vector) and ``label`` (0 .. classes - 1)."""
 
     def _fit(self, df: DataFrame) -> "SoftmaxBoostingModel":
-        c = self.conf
-        classes, rounds = int(c["classes"]), int(c.get("rounds", 100))
-        data = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"))
-        data = data.where("label is not null").persist(StorageLevel.MEMORY_AND_DISK)
-        counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n, width = sum(counts.values()), len(data.first()["x"]) if counts else 0
-        prior = np.log(np.maximum([counts.get(k, 0) / max(n, 1) for k in range(classes)], 1e-12))
-        probs = [i / (BINS - 1) for i in range(1, BINS - 1)]
-        wide = data.select(*[F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]).alias(f"x{i}") for i in range(width)])
-        names = [f"x{i}" for i in range(width)]
-        edges = [sorted(set(e)) for e in wide.approxQuantile(names, probs, 0.25 / BINS)] if counts else []
-        edges = [np.array(e, np.float64) for e in edges]
-        start = prior.astype(np.float64).tobytes()
-
-        def pack(batches):
-            for b in batches:
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                yield pa.record_batch({"bins": pa.array([r.tobytes() for r in _bin(x, edges)], pa.binary()),
-                                       "label": b.column("label"),
-                                       "scores": pa.array([start] * b.num_rows, pa.binary())})
-
-        trees, gain = [], np.zeros(width)
-        if counts:
-            table = _stage(fitting(data, n).mapInArrow(pack, "bins binary, label int, scores binary"))
-            trees, gain = grow(table, width, classes, prior, rounds, int(c.get("depth", 3)), float(c.get("rate", 0.1)))
-        data.unpersist()
-        state = {"prior": prior.tolist(), "edges": [e.tolist() for e in edges],
-                 "gain": (gain / gain.sum() if gain.sum() > 0 else gain).tolist(),
-                 "trees": [[[a.tolist() for a in t] for t in r] for r in trees]}
-        return SoftmaxBoostingModel(config=c, state=state)
+        return SoftmaxBoostingModel(config=self.conf, state=_fitted_state(df, self.conf, int(self.conf["classes"])))
+
+
+class SquareBoosting(JsonEstimator):
+    """Regression. config: rounds (100), depth (3), rate (0.1). Reads
+    ``features`` (vector) and ``label``."""
+
+    def _fit(self, df: DataFrame) -> "SquareBoostingModel":
+        return SquareBoostingModel(config=self.conf, state=_fitted_state(df, self.conf, 0))
+
+
+def _score_column(text: str, finish):
+    """Pandas function from feature arrays to ``finish`` of the scores."""
+    def run(parts):
+        s = json.loads(text)
+        edges = [np.array(e) for e in s["edges"]]
+        rounds = [[[np.array(a) for a in t] for t in r] for r in s["trees"]]
+        prior = np.array(s["prior"])
+        for x in parts:
+            x = np.stack(x) if len(x) else np.zeros((0, len(edges)))
+            yield pd.Series(list(finish(_add_trees(np.tile(prior, (len(x), 1)), _bin(x, edges), rounds))))
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return run
+
+
+class SquareBoostingModel(JsonStateModel):
+    """Adds prediction."""
+
+    @property
+    def featureImportances(self):
+        return Vectors.dense(self.fitted["gain"])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        score = F.pandas_udf(_score_column(self.getOrDefault(self.state), lambda s: s[:, 0]), "double")
+        return df.withColumn("prediction", score(vector_to_array("features")))
 
 
 class SoftmaxBoostingModel(JsonStateModel):
@@ -247,19 +295,7 @@ class SoftmaxBoostingModel(JsonStateModel):
         return Vectors.dense(self.fitted["gain"])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        text = self.getOrDefault(self.state)
-
-        def probabilities(parts):
-            s = json.loads(text)
-            edges = [np.array(e) for e in s["edges"]]
-            rounds = [[[np.array(a) for a in t] for t in r] for r in s["trees"]]
-            prior = np.array(s["prior"])
-            for x in parts:
-                x = np.stack(x) if len(x) else np.zeros((0, len(edges)))
-                scores = np.tile(prior, (len(x), 1))
-                yield pd.Series(list(_softmax(_add_trees(scores, _bin(x, edges), rounds))))
-
-        probabilities.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        got = df.withColumn("__p", F.pandas_udf(probabilities, "array<double>")(vector_to_array("features")))
+        score = F.pandas_udf(_score_column(self.getOrDefault(self.state), _softmax), "array<double>")
+        got = df.withColumn("__p", score(vector_to_array("features")))
         best = F.array_position("__p", F.array_max("__p")).cast("double") - 1
         return got.withColumns({"probability": array_to_vector("__p"), "prediction": best}).drop("__p")

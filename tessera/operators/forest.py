@@ -207,7 +207,11 @@ def _local(data: DataFrame, tops: list, c: dict, width: int) -> DataFrame:
                          "rows": pa.array([float(w.sum())]), "gains": one(got[6])})
 
     sent = data.mapInArrow(deal, "tree int, node int, uid long, w double, y double, x array<double>")
-    return sent.groupBy("tree", "node").applyInArrow(grow, _SUBTREE)
+    # a tree's rows are few bytes and much work: as many tasks as there are
+    # cores, not as few as the bytes ask for
+    spark = data.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return sent.repartition(parts, "tree", "node").groupBy("tree", "node").applyInArrow(grow, _SUBTREE)
 
 
 # ------------------------------------------------------------- by passes

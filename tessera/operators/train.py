@@ -12,17 +12,17 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import as_list, is_float_type, is_numeric_type
 from tessera.operators import evaluate as EV
-from tessera.operators.boosting import SoftmaxBoosting
+from tessera.operators.boosting import SoftmaxBoosting, SquareBoosting
 from tessera.operators.encode import Lookups, encode_target, numbered
 from tessera.operators.forest import Forest
 from tessera.operators.kernel import RbfSvc, RbfSvr
@@ -32,7 +32,6 @@ CLASSIFIERS = ["logistic_regression", "random_forest", "decision_tree", "svm", "
                "gradient_boosting"]
 REGRESSORS = ["linear_regression", "random_forest_regressor", "gradient_boosting_regressor", "svr"]
 
-TREE_MEMORY_MB = 1024    # node statistics per pass: fewer passes over the data for deep forests
 SEED = 42
 FIT_THREADS = 3          # models of a comparison fitted at the same time
 
@@ -63,9 +62,6 @@ def index_label(df: DataFrame, target: str, out: str = "label"):
 
 
 # ------------------------------------------------------------------ models
-_TREE_OPTS = {"maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": True}
-
-
 def make_estimator(name: str, n_classes: int = 2, seed: int = SEED):
     """Spark ML estimator for a model key (features -> 'features',
     label -> 'label')."""
@@ -80,15 +76,13 @@ def make_estimator(name: str, n_classes: int = 2, seed: int = SEED):
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "gradient_boosting":
-        if n_classes > 2:
-            return SoftmaxBoosting({"classes": n_classes, "rounds": 100})
-        return GBTClassifier(maxIter=100, seed=seed, **_TREE_OPTS)
+        return SoftmaxBoosting({"classes": n_classes, "rounds": 100})
     if name == "linear_regression":
         return LinearRegression()
     if name == "random_forest_regressor":
         return Forest({"trees": 200, "seed": seed})
     if name == "gradient_boosting_regressor":
-        return GBTRegressor(maxIter=100, seed=seed, **_TREE_OPTS)
+        return SquareBoosting({"rounds": 100})
     if name == "svr":
         return RbfSvr({"seed": seed})
     raise ValueError(f"unknown model {name!r}")

@@ -65,6 +65,27 @@ def test_boosting_equals_direct_computation(spark, monkeypatch):
     assert model.featureImportances.toArray()[:2].sum() > 0.8
 
 
+def test_boosting_of_two_classes_and_of_numbers(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, size=(100, 2)).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.random(100) < 0.1)).astype(int)
+    df, _ = _data(spark, x, y)
+    got = _scored(boosting.SoftmaxBoosting({"classes": 2, "rounds": 4}).fit(df), df, "probability")
+    p = np.stack(got["probability"].map(lambda v: v.toArray()))
+    assert np.allclose(p, _direct_boosting(x, y, 2, 4, 3, 0.1), atol=1e-9)
+    # squares: 40 rounds of depth 3 on the residuals, each a tenth of the leaf means
+    t = 3 * x[:, 0] - x[:, 1] ** 2
+    df, _ = _data(spark, x, t)
+    model = boosting.SquareBoosting({"rounds": 25}).fit(df)
+    r = _scored(model, df, "prediction")["prediction"].to_numpy() - t
+    assert (r ** 2).mean() < 0.1 * t.var() and abs(r.mean()) < 1e-9
+    one = boosting.SquareBoosting({"rounds": 1, "depth": 1, "rate": 1.0}).fit(df)
+    p = _scored(one, df, "prediction")["prediction"].to_numpy()
+    best = min((((t[x[:, f] <= v] - t[x[:, f] <= v].mean()) ** 2).sum() + ((t[x[:, f] > v] - t[x[:, f] > v].mean()) ** 2).sum())
+               for f in range(2) for v in np.unique(x[:, f])[:-1])
+    assert abs(((p - t) ** 2).sum() - best) < 1e-6
+
+
 def test_boosting_over_passes_of_classes_and_many_tasks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 2)), rng.integers(0, 4, 300)
