@@ -146,7 +146,7 @@ def train_classification(train: DataFrame, test: DataFrame, target: str, feature
     tr, feats, classes = _prepare_classification(train, target, features)
     look = Lookups(test.sparkSession)
     code = look.code(F.col(target).cast("string"), numbered(classes), "int", None).cast("double")
-    te = look.join(test).select(*test.columns, code.alias("label"))
+    te = look.join(test).select(*[c for c in test.columns if c != "label"], code.alias("label"))
     k = len(classes)
     rows, fitted = [], _fit_all(tr, feats, models, k)
     for order, name in enumerate(models):

@@ -250,3 +250,17 @@ def test_boosting_and_kernel_models_load(spark, tmp_path):
         again = PipelineModel.load(str(tmp_path / f"m{i}"))
         p, q = (m.transform(raw).select("k", F.round("prediction", 9)).orderBy("k").collect() for m in (model, again))
         assert p == q
+
+
+def test_comparison_with_a_target_named_label(spark):
+    from tessera.operators import train
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 3, 150)
+    x = np.stack([y + 0.3 * rng.normal(size=150), rng.normal(size=150)], 1)
+    rows = [(i, float(a), float(b), f"c{v}") for i, ((a, b), v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, label string")
+    tr, te = df.where("k % 4 > 0"), df.where("k % 4 = 0")
+    res, best, fitted = train.train_classification(tr, te, "label", ["a", "b"], ["naive_bayes", "decision_tree", "random_forest"])
+    got = {r["model"]: r for r in res.collect()}
+    assert list(fitted) == ["naive_bayes", "decision_tree", "random_forest"] and best in got
+    assert all(r["accuracy"] > 0.8 and r["roc_auc"] > 0.85 for r in got.values())
