@@ -233,6 +233,26 @@ def test_forest_is_the_same_in_any_partitioning_and_after_loading(spark, tmp_pat
     assert np.allclose(again.stages[-1].featureImportances.toArray(), model.stages[-1].featureImportances.toArray())
 
 
+@pytest.mark.parametrize("classes", [0, 3])
+def test_large_forest_is_scored_where_its_subtrees_are(spark, tmp_path, monkeypatch, classes):
+    """Never whole in one task or on the driver, and the same answers."""
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = rng.integers(0, classes, 300) if classes else rng.normal(size=300)
+    df, _ = _data(spark, x, y)
+    model = forest.Forest({"classes": classes, "trees": 7, "local_rows": 50, "most": "sqrt" if classes else "all"}).fit(df)
+    names = ["prediction", "probability"][:2 if classes else 1]
+    small = _scored(model, df, *names)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    monkeypatch.setattr(forest, "MODEL_MB", 0)
+    monkeypatch.setattr(forest, "MEET", 20)
+    monkeypatch.setattr(forest, "_assemble", None)
+    for m in (model, forest.ForestModel.load(str(tmp_path / "m"))):
+        m._sent = None
+        large = _scored(m, df.repartition(5), *names)
+        assert small.astype(str).to_numpy().tolist() == large.astype(str).to_numpy().tolist()
+
+
 def test_weights_are_poisson_and_differ_by_tree():
     w = [forest._weights(np.arange(20000), t, 42, True) for t in range(3)]
     assert all(abs(v.mean() - 1) < 0.03 and abs(v.var() - 1) < 0.06 for v in w)
