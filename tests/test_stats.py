@@ -100,3 +100,19 @@ def test_wide_table_modes_and_counts_chunked(spark):
         assert nun[c] == len(set(vals))
         counts = {v: vals.count(v) for v in set(vals)}
         assert md[c] == min(v for v in counts if counts[v] == max(counts.values()))
+
+
+def test_large_sums_reach_the_driver_once(spark, monkeypatch):
+    """Arrays of many tasks are added in tasks, slice by slice."""
+    from tessera.plans import passes
+    df = spark.range(0, 1000, 1, 6)
+    make = lambda batches: sum(np.outer(np.ones(50), np.asarray(b.column("id"))).sum(1) * np.arange(50) for b in batches)
+    sent = []
+    got = passes.summed(df, make, 50)
+    monkeypatch.setattr(passes, "DIRECT_MB", 0)
+    monkeypatch.setattr(passes, "SLICE_KB", 0)
+    to_arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    again = passes.summed(df, make, 50)
+    assert np.array_equal(got, again) and np.array_equal(got, 499500.0 * np.arange(50))
+    assert sum(len(v.as_py()) for t in sent for v in t["v"]) == 8 * 50
