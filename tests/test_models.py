@@ -141,3 +141,14 @@ def test_latest_scaler_by_modification_time(spark, tmp_path):
     Scaler({"columns": ["a"], "method": "minmax"}).fit(df).write().save(str(tmp_path / "s2"))
     latest = load_latest_scaler(spark, str(tmp_path))
     assert latest.conf["method"] == "minmax"
+
+
+def test_large_training_tables_are_dealt_over_tasks(spark, monkeypatch):
+    from tessera.operators import noise
+    df = spark.range(0, 1000, 1, 2)
+    assert noise._spread(df) is df
+    monkeypatch.setattr(noise, "SPREAD", 100)
+    monkeypatch.setattr(noise, "EACH", 10)
+    got = noise._spread(df)
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 1000
+    assert max(got.rdd.glom().map(len).collect()) <= 30
