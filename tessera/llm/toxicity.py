@@ -30,6 +30,7 @@ PREFIXES = (4, 5, 6, 7)
 BLOCK = 64  # examples under one maximum
 HEAVY = 0.09  # terms in a larger share of the examples are a dense matrix
 BATCH = 64  # texts looked up together
+SLICE = 1 << 19  # bytes of text whose terms are in memory at once: some 100 bytes of work arrays a term
 
 
 def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,10 +344,12 @@ def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(index)
     arrow = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
+    most = SLICE
+
     def run(batches):
         ix = shared.value.ready()
         ix.term = ix.count = None  # the postings hold them
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, most):
             h, at, _ = terms(*buffers(column(batch, text_col)))
             u, back = np.unique(h, return_inverse=True)
             found = ix.find(u)[back]

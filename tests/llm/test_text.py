@@ -153,6 +153,14 @@ def test_toxicity_held_out_and_exact_search(spark):
     assert {x["score"] for x in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_scores_do_not_depend_on_slices(spark, monkeypatch):
+    docs, lab = _labelled(spark, "scumbag", "fine")
+    index = toxicity.fit(docs, lab, F.col("doc_id") % 5 != 0, label="y")
+    whole = sorted(map(str, toxicity.score(docs, index).collect()))
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    assert sorted(map(str, toxicity.score(docs, index).collect())) == whole
+
+
 def test_toxicity_indexes_every_term(spark):
     """A language with three toxic examples keeps its terms (default values),
     and texts that only share a line are separate examples."""
