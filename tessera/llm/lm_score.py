@@ -3,10 +3,10 @@
 A small network reads the two words on each side of a position (the word
 itself is hidden) and predicts the word: a softmax over word classes, then
 the word's share of its class. A document's score is the sum of the log
-probabilities of all its words. Word counts cover the whole corpus; training
-positions are a fixed share of all positions, so they grow with it. Tasks
-train numpy copies of the network on their rows and the copies are averaged,
-weighted by rows, after each round.
+probabilities of all its words. Word counts cover the whole corpus, and so does
+training: every position of every document is trained on once. The documents
+are dealt to rounds; in each, tasks train numpy copies of the network on their
+documents of that round and the copies are averaged, weighted by positions.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, buffers, column, mix, slices, stage, word_hashes
+from tessera.llm.common import U64, buffers, column, mix, partitions, slices, stage, word_hashes
 
 WINDOW = 2      # words read on each side
 RARE = 64       # hash groups of words outside the vocabulary, a power of two
 DIM, HIDDEN, CLASSES = 16, 32, 64
+SHUFFLED = 1 << 16  # positions of neighbouring documents in a task that are trained on in mixed order
 
 
 @dataclass
@@ -90,8 +91,10 @@ class Network:
                    np.zeros(HIDDEN, np.float32), make(HIDDEN, CLASSES, scale=0.18), np.zeros(CLASSES, np.float32))
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.emb[ctx].reshape(len(ctx), -1)
-        return x, np.tanh(x @ self.w1 + self.b1)
+        x = np.take(self.emb, ctx.reshape(-1), axis=0).reshape(len(ctx), -1)
+        h = x @ self.w1
+        h += self.b1
+        return x, np.tanh(h, out=h)
 
     def log_class(self, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probability of class ``y`` between the words of ``ctx``."""
@@ -101,21 +104,28 @@ class Network:
 
     def train(self, ctx: np.ndarray, y: np.ndarray, rate: float, batch: int = 128) -> None:
         """One pass of stochastic gradient steps in the order given."""
+        small = np.uint16 if len(self.emb) <= 1 << 16 else np.int64  # 16 bits sort in one pass
         for a in range(0, len(y), batch):
             c, t = ctx[a:a + batch], y[a:a + batch]
             x, h = self.hidden(c)
-            z = h @ self.w2 + self.b2
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(t)), t] -= 1
-            z *= rate / len(t)
-            dh = (z @ self.w2.T) * (1 - h * h)
+            z = h @ self.w2
+            z += self.b2
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= (rate / len(t)) / z.sum(1, keepdims=True)
+            z[np.arange(len(t)), t] -= np.float32(rate / len(t))
+            dh = z @ self.w2.T
+            dh *= 1 - h * h
             dx = dh @ self.w1.T
             self.w2 -= h.T @ z
             self.b2 -= z.sum(0)
             self.w1 -= x.T @ dh
             self.b1 -= dh.sum(0)
-            np.subtract.at(self.emb, c.reshape(-1), dx.reshape(-1, DIM))
+            token = c.reshape(-1).astype(small)
+            o = np.argsort(token, kind="stable")
+            token = token[o]
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            self.emb[token[first]] -= np.add.reduceat(np.take(dx.reshape(-1, DIM), o, axis=0), first)
 
     def parts(self) -> list[np.ndarray]:
         return [self.emb, self.w1, self.b1, self.w2, self.b2]
@@ -134,56 +144,82 @@ def contexts(tok: np.ndarray, off: np.ndarray, pad: int, at: np.ndarray | None =
     return out
 
 
-def samples(docs: DataFrame, vocab: Vocabulary, one_in: int, text_col: str) -> DataFrame:
-    """(c array<int>, y): one in ``one_in`` positions of the whole corpus,
-    chosen by a hash of the word, its neighbours and its position."""
+def _kind(vocab: Vocabulary):
+    """Numbers that hold every token."""
+    return np.uint16 if vocab.pad < 1 << 16 else np.int32
+
+
+def token_rows(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """(key, n, t) per document: a hash of id and text, the number of its
+    words, their tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most ``size`` words
 
     def run(batches):
         v = shared.value
         for batch in slices(batches, text_col, 1 << 21):
             h, off = word_hashes(*buffers(column(batch, text_col)))
-            tok = v.tokens(h)
-            doc = np.searchsorted(off, np.arange(len(h)), "right") - 1
-            spot = mix(h + (np.arange(len(h)) - off[doc]).astype(U64) * U64(0x9E3779B97F4A7C15))
-            at = np.flatnonzero(spot % U64(one_in) == 0)
-            c = contexts(tok, off, v.pad, at)
+            tok = v.tokens(h).astype(_kind(v))
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 2 * WINDOW),
-                                          pa.array(c.reshape(-1).astype(np.int32))),
-                 pa.array(v.kind[tok[at]].astype(np.int32))], names=["c", "y"])
-
-    return docs.select(text_col).mapInArrow(run, "c array<int>, y int")
-
-
-def fit(docs: DataFrame, size: int = 8192, one_in: int = 32, rounds: int = 3, rate: float = 0.4,
-        text_col: str = "text") -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of ``docs``. Each round, every partition of the
-    staged samples trains a copy; copies are summed in about the square root
-    of that many groups, then on the driver, which sees as many copies."""
+                [column(batch, "key"), pa.array(np.diff(off).astype(np.int64)),
+                 pa.array([tok[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())],
+                names=["key", "n", "t"])
+
+    return docs.select(F.xxhash64(id_col, text_col).alias("key"), text_col).mapInArrow(run, "key long, n long, t binary")
+
+
+def positions(batches, vocab: Vocabulary, one_in: int):
+    """(contexts, classes) of the positions of token rows, those of about
+    ``SHUFFLED`` at a time in mixed order. All positions, or with ``one_in``
+    above 1 those that a hash of the word and its place chooses."""
+    for batch in batches:
+        n, t = column(batch, "n").to_numpy(), column(batch, "t")
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            done = ends[at] - n[at]
+            end = max(at + 1, int(np.searchsorted(ends, done + SHUFFLED, "right")))
+            off = np.append(done, ends[at:end]) - done
+            tok = np.frombuffer(b"".join(v.as_py() for v in t[at:end]), _kind(vocab)).astype(np.int64)
+            spot = np.arange(len(tok))
+            if one_in > 1:
+                place = spot - np.repeat(off[:-1], np.diff(off))
+                spot = spot[mix(tok.astype(U64) + place.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(one_in) == 0]
+            spot = np.random.default_rng(5).permutation(spot)
+            for a in range(0, len(spot), SHUFFLED):
+                part = spot[a:a + SHUFFLED]
+                yield contexts(tok, off, vocab.pad, part), vocab.kind[tok[part]]
+            at = end
+
+
+def fit(docs: DataFrame, size: int = 8192, one_in: int = 1, rounds: int = 3, rate: float = 0.4, text_col: str = "text",
+        id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of ``docs``, from all their positions (unless
+    ``one_in`` is above 1). Documents are dealt to ``rounds`` and to tasks by
+    a hash of id and text. Each round, every task trains a copy; copies are
+    summed in about the square root of that many groups, then on the driver,
+    which sees as many copies."""
     vocab = vocabulary(docs, size, text_col)
     net = Network.new(vocab.pad)
-    rows = stage(samples(docs, vocab, one_in, text_col))
-    rows = rows.repartition(max(1, min(rows.rdd.getNumPartitions(), rows.count() // 4096)),
-                            F.xxhash64("c", "y"))  # parts of equal size in an order that no file sets
-    groups = max(1, int(np.sqrt(rows.rdd.getNumPartitions())))
+    rows = stage(token_rows(docs, vocab, id_col, text_col))
+    words = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, min(partitions(docs.sparkSession), words // max(rounds, 1) // SHUFFLED))
     for k in range(rounds):
-        net = _round(rows, net, rate / (1 + k), groups)
+        # in an order that no file sets
+        mine = rows.where((F.col("n") > 0) & (F.pmod("key", F.lit(rounds)) == k)).repartition(parts, "key")
+        net = _round(mine.sortWithinPartitions("key", "t"), vocab, net, rate / (1 + k), one_in, max(1, int(np.sqrt(parts))))
     return vocab, net
 
 
-def _round(rows: DataFrame, net: Network, rate: float, groups: int) -> Network:
-    shared = rows.sparkSession.sparkContext.broadcast(net)
+def _round(rows: DataFrame, vocab: Vocabulary, net: Network, rate: float, one_in: int, groups: int) -> Network:
+    shared = rows.sparkSession.sparkContext.broadcast((vocab, net))
 
     def train(batches):
-        own = pickle.loads(pickle.dumps(shared.value))
+        v, own = shared.value
+        own = pickle.loads(pickle.dumps(own))
         n = 0
-        for batch in batches:
-            y = column(batch, "y").to_numpy()
-            if len(y):
-                c = column(batch, "c").flatten().to_numpy().reshape(len(y), -1)
-                own.train(c, y, rate)
-                n += len(y)
+        for c, y in positions(batches, v, one_in):
+            own.train(c, y, rate)
+            n += len(y)
         if n:
             w = pickle.dumps([p.astype(np.float64) * n for p in own.parts()])
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w], pa.binary())], names=["n", "w"])
@@ -197,7 +233,7 @@ def _round(rows: DataFrame, net: Network, rate: float, groups: int) -> Network:
         return pa.table({"n": pa.array([int(table["n"].to_numpy().sum())], pa.int64()),
                          "w": pa.array([pickle.dumps(total)], pa.binary())})
 
-    copies = rows.select("c", "y").mapInArrow(train, "n long, w binary")
+    copies = rows.select("n", "t").mapInArrow(train, "n long, w binary")
     got = copies.groupBy(F.pmod(F.xxhash64("w"), F.lit(groups)).alias("g")).applyInArrow(add, "n long, w binary").collect()
     if not got:
         return net

@@ -203,6 +203,23 @@ def test_lm_score_brute_force(spark, docs):
     assert lm_score.score(docs.limit(0), *lm_score.fit(docs.limit(0), size=5)).count() == 0
 
 
+def test_lm_score_trains_on_every_position(spark):
+    """Every word stands beside some position, so training on all of them
+    moves the vector of every word."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(5))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, None), (41, "")], "doc_id long, text string")
+    vocab, net = lm_score.fit(docs)
+    start = lm_score.Network.new(vocab.pad)
+    assert len(vocab.words) == 200
+    assert (net.emb[:200] != start.emb[:200]).any(1).all()
+    ctx, y = zip(*lm_score.positions(lm_score.token_rows(docs, vocab, "doc_id", "text").toArrow().to_batches(), vocab, 1))
+    assert sum(map(len, y)) == 200
+    assert np.bincount(np.concatenate(y), minlength=64).tolist() == np.bincount(vocab.kind[:200], minlength=64).tolist()
+    # a copy or a null id is trained on like any other document
+    odd = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")
+    assert lm_score.score(odd, *lm_score.fit(odd)).count() == 3
+
+
 def test_search_recall_and_edges(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(700, 24))
