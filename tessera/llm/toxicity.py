@@ -111,23 +111,24 @@ class ToxicityIndex:
     def place(self, df: np.ndarray, parts) -> None:
         """Postings of all terms from (example, term, weight) parts, one part
         in memory at a time. The heavy ones, and the greatest weight of each
-        within a block of examples, are also kept as matrices."""
+        within a block of examples, are matrices instead."""
         n = len(self.ids)
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.doc, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
         heavy = np.flatnonzero(df > HEAVY * n)
+        self.start = np.concatenate([[0], np.cumsum(np.where(df > HEAVY * n, 0, df))])
+        self.doc, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
         self.column = np.full(len(df), -1)
         self.column[heavy] = np.arange(len(heavy))
         self.dense = np.zeros((-(-n // BLOCK) * BLOCK, len(heavy)))
         free = self.start[:-1].copy()
         for doc, term, weight in parts:
+            col = self.column[term]
+            self.dense[doc[col >= 0], col[col >= 0]] = weight[col >= 0]
+            doc, term, weight = doc[col < 0], term[col < 0], weight[col < 0]
             o = np.argsort(term, kind="stable")
             t, first, many = np.unique(term[o], return_index=True, return_counts=True)
             at = np.repeat(free[t] - first, many) + np.arange(len(o))
             free[t] += many
             self.doc[at], self.weight[at] = doc[o], weight[o]
-            col = self.column[term]
-            self.dense[doc[col >= 0], col[col >= 0]] = weight[col >= 0]
         self.block_max = self.dense.reshape(len(self.dense) // BLOCK, BLOCK, len(heavy)).max(1).T
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:

@@ -183,6 +183,21 @@ def test_toxicity_indexes_every_term(spark):
         assert (index.find(toxicity.terms(data, np.array([0, len(data)]))[0]) >= 0).all()
 
 
+def test_heavy_terms_are_kept_once():
+    """A term in the matrix has no postings beside it."""
+    r = np.random.default_rng(3)
+    vectors = [(np.append(0, 1 + r.choice(400, 5, replace=False)), r.random(6)) for _ in range(300)]
+    index = toxicity.ToxicityIndex(np.arange(401, dtype=np.uint64), np.ones(401), np.arange(300), np.zeros(300))
+    index.build(vectors)
+    assert index.dense.shape[1] == 1 and len(index.doc) == len(index.weight) == 300 * 5
+    full = np.zeros((300, 401))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    for t, w in vectors[:20]:
+        d, s = index.nearest(t, w)
+        assert np.allclose(s, np.sort(full[:, t] @ w)[::-1][:index.k].clip(max=1.0))
+
+
 def test_lm_score_brute_force(spark, docs):
     vocab, net = lm_score.fit(docs, size=50, one_in=2, rounds=2)
     got = lm_score.score(docs, vocab, net).collect()
