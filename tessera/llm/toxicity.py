@@ -55,15 +55,18 @@ class ToxicityIndex:
     idf: np.ndarray                        # weight of each term
     ids: np.ndarray                        # example ids, examples with a direction
     y: np.ndarray
-    cut: np.ndarray | None = None          # terms and counts of each example, and its place
-    term: np.ndarray | None = None
-    count: np.ndarray | None = None
-    rank: np.ndarray | None = None
-    start: np.ndarray | None = None        # postings of each term: examples and weights
+    level: np.ndarray | None = None        # the amounts that occur; an example's weight of a term is
+    by_term: np.ndarray | None = None      # its amount, by a factor of the term
+    by_example: np.ndarray | None = None   # and one of the example
+    start: np.ndarray | None = None        # postings of each term: examples and places in ``level``
     doc: np.ndarray | None = None
     weight: np.ndarray | None = None
+    heavy: np.ndarray | None = None        # the heavy terms
     column: np.ndarray | None = None       # column of each heavy term, else -1
-    dense: np.ndarray | None = None        # example x heavy term
+    held: np.ndarray | None = None         # heavy terms of each example: columns and places in ``level``
+    held_column: np.ndarray | None = None
+    held_weight: np.ndarray | None = None
+    dense: np.ndarray | None = None        # example x heavy term, single precision
     block_max: np.ndarray | None = None    # heavy term x block
     prior: float = 0.0                     # of documents without a term
     base: float = 0.0                      # share of toxic examples
@@ -91,45 +94,53 @@ class ToxicityIndex:
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         none = [np.zeros(0, np.int64)]
         term = np.concatenate(none + [t for t, _ in vectors])
+        self.level, place = np.unique(np.concatenate([np.zeros(0)] + [w for _, w in vectors]), return_inverse=True)
+        self.by_term, self.by_example = np.ones(len(self.vocabulary)), np.ones(len(self.ids))
         self.place(np.bincount(term, minlength=len(self.vocabulary)),
-                   [(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]), term,
-                     np.concatenate([np.zeros(0)] + [w for _, w in vectors]))])
+                   [(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]), term, place)])
+        self.ready()
 
     def ready(self) -> ToxicityIndex:
-        """Make the postings of ``term`` and ``count``, in the task that uses them."""
-        if self.start is None:
-            def part(a, b):
-                lo, hi = self.cut[a], self.cut[b]
-                size, term = np.diff(self.cut[a:b + 1]), self.term[lo:hi].astype(np.int64)
-                return np.repeat(self.rank[a:b], size), term, self.vectors(
-                    np.repeat(np.arange(b - a), size), term, self.count[lo:hi], b - a)
-            n = len(self.rank)
-            self.place(np.bincount(self.term, minlength=len(self.vocabulary)),
-                       (part(a, min(a + 4 * BATCH, n)) for a in range(0, n, 4 * BATCH)))
+        """Make the matrix of the heavy terms, in the task that uses it, and
+        the greatest weight of each within a block of examples."""
+        if self.dense is None:
+            n, wide = len(self.ids), len(self.heavy)
+            self.dense = np.zeros((-(-n // BLOCK) * BLOCK, wide), np.float32)
+            for a in range(0, n, 4 * BATCH):
+                b = min(a + 4 * BATCH, n)
+                own = slice(self.held[a], self.held[b])
+                row, col = np.repeat(np.arange(a, b), np.diff(self.held[a:b + 1])), self.held_column[own]
+                self.dense[row, col] = self.level[self.held_weight[own]] * self.by_term[self.heavy[col]] * self.by_example[row]
+            self.block_max = self.dense.reshape(len(self.dense) // BLOCK, BLOCK, wide).max(1).T.astype(float)
         return self
 
     def place(self, df: np.ndarray, parts) -> None:
-        """Postings of all terms from (example, term, weight) parts, one part
-        in memory at a time. The heavy ones, and the greatest weight of each
-        within a block of examples, are matrices instead."""
+        """Postings of all terms from (example, term, place in ``level``)
+        parts, one part in memory at a time. The heavy ones are kept by
+        example instead. All in the least integers that hold them."""
         n = len(self.ids)
-        heavy = np.flatnonzero(df > HEAVY * n)
+        small, place = np.min_scalar_type(max(n, 1)), np.min_scalar_type(max(len(self.level), 1))
+        self.heavy = np.flatnonzero(df > HEAVY * n)
         self.start = np.concatenate([[0], np.cumsum(np.where(df > HEAVY * n, 0, df))])
-        self.doc, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
-        self.column = np.full(len(df), -1)
-        self.column[heavy] = np.arange(len(heavy))
-        self.dense = np.zeros((-(-n // BLOCK) * BLOCK, len(heavy)))
+        self.doc, self.weight = np.empty(self.start[-1], small), np.empty(self.start[-1], place)
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[self.heavy] = np.arange(len(self.heavy))
         free = self.start[:-1].copy()
+        rest = [(np.zeros(0, small), np.zeros(0, np.int32), np.zeros(0, place))]
         for doc, term, weight in parts:
             col = self.column[term]
-            self.dense[doc[col >= 0], col[col >= 0]] = weight[col >= 0]
-            doc, term, weight = doc[col < 0], term[col < 0], weight[col < 0]
+            on = col >= 0
+            rest.append((doc[on].astype(small), col[on], weight[on].astype(place)))
+            doc, term, weight = doc[~on], term[~on], weight[~on]
             o = np.argsort(term, kind="stable")
             t, first, many = np.unique(term[o], return_index=True, return_counts=True)
             at = np.repeat(free[t] - first, many) + np.arange(len(o))
             free[t] += many
             self.doc[at], self.weight[at] = doc[o], weight[o]
-        self.block_max = self.dense.reshape(len(self.dense) // BLOCK, BLOCK, len(heavy)).max(1).T
+        doc, col, weight = (np.concatenate(p) for p in zip(*rest, strict=True))
+        o = np.argsort(doc, kind="stable")
+        self.held = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+        self.held_column, self.held_weight = col[o].astype(np.min_scalar_type(max(len(self.heavy), 1))), weight[o]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`search` for one vector."""
@@ -144,8 +155,7 @@ class ToxicityIndex:
         k-th is added up again in double. Ties go to the smaller example id."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         size = len(self.dense)
-        if not hasattr(self, "_single"):
-            self._single = self.dense.astype(np.float32)
+        scale = np.append(self.by_example, np.zeros(size - len(self.ids)))
         for a in range(0, len(cut) - 1, BATCH):
             b = min(a + BATCH, len(cut) - 1)
             light = np.zeros((b - a, size))
@@ -155,10 +165,13 @@ class ToxicityIndex:
                 col = self.column[ti]
                 heavy[i - a, col[col >= 0]] = wi[col >= 0]
                 ti, wi = ti[col < 0], wi[col < 0]
-                lo = self.start[ti]
-                size_of = self.start[ti + 1] - lo
-                at = np.repeat(lo - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
-                light[i - a] = np.bincount(self.doc[at], self.weight[at] * np.repeat(wi, size_of), size)
+                if len(ti):
+                    lo, hi = self.start[ti], self.start[ti + 1]
+                    own = [slice(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    part = self.level.take(np.concatenate([self.weight[x] for x in own]))
+                    part *= np.repeat(wi * self.by_term[ti], hi - lo)
+                    at = np.concatenate([self.doc[x] for x in own], dtype=np.intp)
+                    np.multiply(np.bincount(at, part, size), scale, out=light[i - a])
                 if skip[i] >= 0:
                     light[i - a, skip[i]] = -9.0
             if not size:
@@ -169,18 +182,28 @@ class ToxicityIndex:
             least = np.partition(light, size - k, 1)[:, size - k]
             need = (bound >= np.maximum(least, 0)[:, None] - 1e-4).any(0)
             rows = np.flatnonzero(np.repeat(need, BLOCK))
-            part = self._single if need.all() else self._single[rows]
-            near = light[:, rows] + heavy.astype(np.float32) @ part.T
+            if need.all():
+                near = light + heavy.astype(np.float32) @ self.dense.T
+            else:
+                near = light[:, rows] + heavy.astype(np.float32) @ self.dense[rows].T
             k = min(k, len(rows))
             for i in range(b - a):
                 kth = np.partition(near[i], len(rows) - k)[len(rows) - k] if k else 0.0
                 d = rows[near[i] >= max(kth - 1e-4, 1e-9)]
-                s = light[i, d] + (self.dense[d] * heavy[i]).sum(1)
+                d = d[d < len(self.ids)]
+                s = light[i, d] + self._heavy_sums(heavy[i], d)
                 d, s = d[s > 0], s[s > 0]
                 o = np.lexsort((self.ids[d], -np.round(s, 12)))[: self.k]
                 out.append((d[o], s[o].clip(max=1.0)))
         return out
 
+    def _heavy_sums(self, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """What the heavy terms of a vector add for the examples ``d``."""
+        lo, many = self.held[d], self.held[d + 1] - self.held[d]
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        part = self.level[self.held_weight[at]] * (w * self.by_term[self.heavy])[self.held_column[at]]
+        return np.bincount(np.repeat(np.arange(len(d)), many), part, len(d)) * self.by_example[d]
+
     def vote(self, d: np.ndarray, s: np.ndarray) -> float:
         """Votes weighted by 1 / (distance + 0.1) and a quarter vote for the
         base rate."""
@@ -267,12 +290,14 @@ def _gain(df: np.ndarray, a: np.ndarray, total: int, pos: float) -> np.ndarray:
 def fill_index(idx: ToxicityIndex, rows: DataFrame, common_terms: np.ndarray) -> None:
     """Index the examples ``rows`` with a direction, those that share their
     heaviest common term side by side, and calibrate by leaving one out, in
-    Spark tasks. The driver holds terms and counts of the bounded sample."""
+    Spark tasks. The driver holds terms and counts of the bounded sample
+    until it has made the postings; tasks get these only."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((idx, common_terms))
+    shared = spark.sparkContext.broadcast((idx.vocabulary, idx.idf, common_terms))
 
     def place(batches):
-        ix, often = shared.value
+        vocabulary, idf, often = shared.value
+        ix = ToxicityIndex(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             top, tt, nn = [], [], []
             for t, n in zip(column(batch, "t"), column(batch, "n"), strict=True):
@@ -283,50 +308,74 @@ def fill_index(idx: ToxicityIndex, rows: DataFrame, common_terms: np.ndarray) ->
                 tt.append(at.astype(np.int32))
                 nn.append(n)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), column(batch, "y"), pa.array(top, pa.int32()), pa.array(tt, pa.list_(pa.int32())),
-                 pa.array(nn, pa.list_(pa.int32()))], names=["id", "y", "top", "t", "n"])
+                [column(batch, "r"), column(batch, "id"), column(batch, "y"), pa.array(top, pa.int32()),
+                 pa.array(tt, pa.list_(pa.int32())), pa.array(nn, pa.list_(pa.int32()))],
+                names=["r", "id", "y", "top", "t", "n"])
 
-    got = rows.mapInArrow(place, "id long, y double, top int, t array<int>, n array<int>").toArrow()
+    got = rows.mapInArrow(place, "r long, id long, y double, top int, t array<int>, n array<int>").toArrow()
     shared.destroy()
     size = np.array([0], np.int64)
     if got.num_rows:
         size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["t"].chunks])
-    ids, y, top = (got[c].to_numpy() for c in ("id", "y", "top"))
+    r, ids, y, top = (got[c].to_numpy() for c in ("r", "id", "y", "top"))
     some = np.flatnonzero(size[:len(ids)] > 0)
     idx.prior = float((y.sum() - y[some].sum() + idx.base) / (len(ids) - len(some) + 1.0))
     order = np.lexsort((ids[some], top[some]))
     idx.ids, idx.y = ids[some][order], y[some][order]
-    idx.rank = np.argsort(order)
-    idx.cut = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int64)
+    rank = np.argsort(order)
+    cut = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int64)
     none = [np.zeros(0, np.int32)]
-    idx.term = np.concatenate(none + [c.flatten().to_numpy() for c in got["t"].chunks])
-    idx.count = np.concatenate(none + [c.flatten().to_numpy() for c in got["n"].chunks])
+    term = np.concatenate(none + [c.flatten().to_numpy() for c in got["t"].chunks])
+    count = np.concatenate(none + [c.flatten().to_numpy() for c in got["n"].chunks])
     del got
     n = len(some)
+    found = np.flatnonzero(np.bincount(count))
+    code = np.zeros(found[-1] + 1 if len(found) else 1, np.int32)
+    code[found] = np.arange(len(found))
+    idx.level, idx.by_term, idx.by_example = np.log1p(found), idx.idf, np.zeros(n)
+
+    def part(a, b):
+        own, many = slice(cut[a], cut[b]), np.diff(cut[a:b + 1])
+        t, c = term[own].astype(np.int64), count[own]
+        w = np.log1p(c) * idx.idf[t]
+        idx.by_example[rank[a:b]] = 1 / np.sqrt(np.bincount(np.repeat(np.arange(b - a), many), w * w, b - a))
+        return np.repeat(rank[a:b], many), t, code[c]
+
+    idx.place(np.bincount(term, minlength=len(idx.vocabulary)),
+              (part(a, min(a + 4 * BATCH, n)) for a in range(0, n, 4 * BATCH)))
+    del term, count
     if not n:
         return
     shared = spark.sparkContext.broadcast(idx)
+    known = np.argsort(r[some])
+    numbers = r[some][known]
 
     def run(batches):
         ix = shared.value.ready()
         for batch in batches:
-            at = column(batch, "id").to_numpy()
-            for a in range(0, len(at), BATCH):
-                rows = at[a:a + BATCH]
-                size = ix.cut[rows + 1] - ix.cut[rows]
-                own = np.concatenate([np.arange(ix.cut[r], ix.cut[r + 1]) for r in rows])
-                t = ix.term[own].astype(np.int64)
-                w = ix.vectors(np.repeat(np.arange(len(rows)), size), t, ix.count[own], len(rows))
-                near = ix.search(np.concatenate([[0], np.cumsum(size)]), t, w, ix.rank[rows])
+            for a in range(0, batch.num_rows, BATCH):
+                rows, tt, nn = [], [], []
+                for r, t, n in zip(*(column(batch.slice(a, BATCH), c) for c in ("r", "t", "n")), strict=True):
+                    at = ix.find(t.values.to_numpy().view(U64))
+                    if (at >= 0).any():
+                        rows.append(r.as_py())
+                        tt.append(at[at >= 0])
+                        nn.append(n.values.to_numpy()[at >= 0])
+                if not rows:
+                    continue
+                own, size = known[np.searchsorted(numbers, rows)], np.array([len(t) for t in tt])
+                t = np.concatenate(tt)
+                w = ix.vectors(np.repeat(np.arange(len(rows)), size), t, np.concatenate(nn), len(rows))
+                near = ix.search(np.concatenate([[0], np.cumsum(size)]), t, w, rank[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ix.rank[rows]), pa.array([ix.vote(*x) for x in near]), pa.array([len(d) > 0 for d, _ in near])],
-                    names=["r", "v", "hit"])
+                    [pa.array(own), pa.array([ix.vote(*x) for x in near]), pa.array([len(d) > 0 for d, _ in near])],
+                    names=["own", "v", "hit"])
 
-    got = spark.range(0, n, 1, max(1, min(24, n // BATCH))).mapInArrow(run, "r long, v double, hit boolean").toArrow()
+    got = rows.select("r", "t", "n").mapInArrow(run, "own long, v double, hit boolean").toArrow().sort_by("own")
     shared.destroy()
     hit = got["hit"].to_numpy()
     if hit.any():
-        idx.curve = isotonic(got["v"].to_numpy()[hit], idx.y[got["r"].to_numpy()[hit]])
+        idx.curve = isotonic(got["v"].to_numpy()[hit], idx.y[rank[got["own"].to_numpy()[hit]]])
 
 
 def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_col: str = "text",
@@ -349,7 +398,6 @@ def score(docs: DataFrame, index: ToxicityIndex, id_col: str = "doc_id", text_co
 
     def run(batches):
         ix = shared.value.ready()
-        ix.term = ix.count = None  # the postings hold them
         for batch in slices(batches, text_col, most):
             h, at, _ = terms(*buffers(column(batch, text_col)))
             u, back = np.unique(h, return_inverse=True)

@@ -198,6 +198,17 @@ def test_heavy_terms_are_kept_once():
         assert np.allclose(s, np.sort(full[:, t] @ w)[::-1][:index.k].clip(max=1.0))
 
 
+def test_toxicity_index_is_compact(spark):
+    """Postings take the least integers, the matrix single precision; what is
+    sent to tasks holds no matrix and no second copy of the examples' terms."""
+    docs, lab = _labelled(spark, "scumbag", "fine")
+    index = toxicity.fit(docs, lab, F.col("doc_id") % 5 != 0, label="y")
+    assert index.dense is None
+    assert index.doc.itemsize + index.weight.itemsize <= 4
+    assert index.ready().dense.dtype == np.float32 and index.dense.shape[1] == len(index.heavy) > 0
+    assert sum(v.nbytes for v in (index.doc, index.weight, index.held_column, index.held_weight)) <= 4 * index.held[-1] + 4 * index.start[-1]
+
+
 def test_lm_score_brute_force(spark, docs):
     vocab, net = lm_score.fit(docs, size=50, one_in=2, rounds=2)
     got = lm_score.score(docs, vocab, net).collect()
