@@ -284,3 +284,38 @@ def test_comparison_with_a_target_named_label(spark):
     got = {r["model"]: r for r in res.collect()}
     assert list(fitted) == ["naive_bayes", "decision_tree", "random_forest"] and best in got
     assert all(r["accuracy"] > 0.8 and r["roc_auc"] > 0.85 for r in got.values())
+
+
+def _counted(spark, df):
+    """``df`` behind a shuffle, and how many rows were made of it so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.repartition(2).mapInArrow(count, df.schema), seen
+
+
+def test_a_comparison_reads_its_test_rows_once(spark):
+    from tessera.operators import train
+    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 + F.col("id") % 7 * 2).cast("double").alias("y"))
+    te, seen = _counted(spark, df.where("a < 3"))
+    n = df.where("a < 3").count()
+    res, _best, _fitted = train.train_regression(df, te, "y", ["a"], ["linear_regression"] * 2)
+    assert res.count() == 2 and seen.value == n
+    te, seen = _counted(spark, df.where("a < 3").withColumn("y", F.col("y") % 2))
+    train.train_classification(df.withColumn("y", F.col("y") % 2), te, "y", ["a"], ["logistic_regression", "naive_bayes"])
+    assert seen.value == n
+
+
+def test_regression_noise_scores_each_row_once(spark):
+    """The joins before it run once and the review reads staged scores."""
+    from tessera.operators import noise
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11 + F.col("id") % 7 * 9).cast("double").alias("y"))
+    rows, seen = _counted(spark, df)
+    review, report = noise.detect_label_noise_regression(rows, "y", keys="id", n_trees=5)
+    made = seen.value
+    assert made == 300
+    assert 0 < review.count() <= 30 and seen.value == made
