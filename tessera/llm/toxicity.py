@@ -30,6 +30,7 @@ PREFIXES = (4, 5, 6, 7)
 BLOCK = 64  # examples under one maximum
 HEAVY = 0.09  # terms in a larger share of the examples are a dense matrix
 BATCH = 64  # texts looked up together
+RUNS = 1 << 18  # postings whose order is in memory at once
 SLICE = 1 << 19  # bytes of text whose terms are in memory at once: some 100 bytes of work arrays a term
 
 
@@ -58,8 +59,10 @@ class ToxicityIndex:
     level: np.ndarray | None = None        # the amounts that occur; an example's weight of a term is
     by_term: np.ndarray | None = None      # its amount, by a factor of the term
     by_example: np.ndarray | None = None   # and one of the example
-    start: np.ndarray | None = None        # postings of each term: examples and places in ``level``
+    start: np.ndarray | None = None        # postings of each term: examples
     doc: np.ndarray | None = None
+    run: np.ndarray | None = None          # runs of equal weight of each term: first postings and places in ``level``
+    run_at: np.ndarray | None = None
     weight: np.ndarray | None = None
     heavy: np.ndarray | None = None        # the heavy terms
     column: np.ndarray | None = None       # column of each heavy term, else -1
@@ -122,7 +125,7 @@ class ToxicityIndex:
         small, place = np.min_scalar_type(max(n, 1)), np.min_scalar_type(max(len(self.level), 1))
         self.heavy = np.flatnonzero(df > HEAVY * n)
         self.start = np.concatenate([[0], np.cumsum(np.where(df > HEAVY * n, 0, df))])
-        self.doc, self.weight = np.empty(self.start[-1], small), np.empty(self.start[-1], place)
+        self.doc, weights = np.empty(self.start[-1], small), np.empty(self.start[-1], place)
         self.column = np.full(len(df), -1, np.int32)
         self.column[self.heavy] = np.arange(len(self.heavy))
         free = self.start[:-1].copy()
@@ -136,12 +139,33 @@ class ToxicityIndex:
             t, first, many = np.unique(term[o], return_index=True, return_counts=True)
             at = np.repeat(free[t] - first, many) + np.arange(len(o))
             free[t] += many
-            self.doc[at], self.weight[at] = doc[o], weight[o]
+            self.doc[at], weights[at] = doc[o], weight[o]
+        self._runs(weights)
         doc, col, weight = (np.concatenate(p) for p in zip(*rest, strict=True))
         o = np.argsort(doc, kind="stable")
         self.held = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
         self.held_column, self.held_weight = col[o].astype(np.min_scalar_type(max(len(self.heavy), 1))), weight[o]
 
+    def _runs(self, weights: np.ndarray) -> None:
+        """Order the postings of each term by weight: a search multiplies
+        once for a run of equal ones, most terms have a single run."""
+        wide, terms = len(self.level) + 1, len(self.start) - 1
+        many, at, a = np.zeros(terms, np.int32), [], 0
+        kept = [np.zeros(0, weights.dtype)]
+        while a < terms:
+            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + RUNS, "right")) - 1)
+            own = slice(self.start[a], self.start[b])
+            key = np.repeat(np.arange(b - a), np.diff(self.start[a:b + 1])) * wide + weights[own]
+            o = np.argsort(key, kind="stable")
+            self.doc[own], key = self.doc[own][o], key[o]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            many[a:b] = np.bincount(key[first] // wide, minlength=b - a)
+            kept.append((key[first] % wide).astype(weights.dtype))
+            at.append((first + self.start[a]).astype(np.min_scalar_type(self.start[-1])))
+            a = b
+        self.run, self.weight = np.concatenate([[0], np.cumsum(many)]).astype(np.int32), np.concatenate(kept)
+        self.run_at = np.concatenate([*at, self.start[-1:].astype(np.min_scalar_type(self.start[-1]))])
+
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`search` for one vector."""
         return self.search(np.array([0, len(t)]), t, w, np.array([skip]))[0]
@@ -160,17 +184,19 @@ class ToxicityIndex:
             b = min(a + BATCH, len(cut) - 1)
             light = np.zeros((b - a, size))
             heavy = np.zeros((b - a, self.dense.shape[1]))
+            known, place = np.unique(t[cut[a]:cut[b]], return_inverse=True)  # texts share most terms
+            own = [self.doc[x:y] for x, y in zip(self.start[known].tolist(), self.start[known + 1].tolist(), strict=True)]
             for i in range(a, b):
                 ti, wi = t[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]]
                 col = self.column[ti]
                 heavy[i - a, col[col >= 0]] = wi[col >= 0]
                 ti, wi = ti[col < 0], wi[col < 0]
                 if len(ti):
-                    lo, hi = self.start[ti], self.start[ti + 1]
-                    own = [slice(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                    part = self.level.take(np.concatenate([self.weight[x] for x in own]))
-                    part *= np.repeat(wi * self.by_term[ti], hi - lo)
-                    at = np.concatenate([self.doc[x] for x in own], dtype=np.intp)
+                    at = np.concatenate([own[j] for j in place[cut[i] - cut[a]:cut[i + 1] - cut[a]][col < 0].tolist()])
+                    many = self.run[ti + 1] - self.run[ti]
+                    r = np.repeat(self.run[ti] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    part = self.level[self.weight[r]] * np.repeat(wi * self.by_term[ti], many)
+                    part = np.repeat(part, self.run_at[r + 1] - self.run_at[r])
                     np.multiply(np.bincount(at, part, size), scale, out=light[i - a])
                 if skip[i] >= 0:
                     light[i - a, skip[i]] = -9.0

@@ -209,6 +209,28 @@ def test_toxicity_index_is_compact(spark):
     assert sum(v.nbytes for v in (index.doc, index.weight, index.held_column, index.held_weight)) <= 4 * index.held[-1] + 4 * index.start[-1]
 
 
+def test_postings_of_equal_weight_are_one_run(monkeypatch):
+    """A search multiplies once for all examples that hold a term equally
+    often; their order is made in parts of any size."""
+    r = np.random.default_rng(5)
+    n = 200
+    count = np.zeros((n, 300), int)
+    for row in count:
+        row[r.choice(300, 12, replace=False)] = r.integers(1, 4, 12)
+    for size in (1 << 18, 7):
+        monkeypatch.setattr(toxicity, "RUNS", size)
+        index = toxicity.ToxicityIndex(np.arange(300, dtype=np.uint64), np.ones(300), np.arange(n), np.zeros(n))
+        index.build([(np.flatnonzero(c), np.log1p(c[c > 0])) for c in count])
+        light = index.column < 0
+        assert len(index.weight) == sum(len(np.unique(c[c > 0])) for c in count.T[light]) < len(index.doc)
+        for c in count[:30]:
+            t = np.flatnonzero(c)
+            w = np.log1p(c[t])
+            d, s = index.nearest(t, w / 40)
+            full = np.log1p(count[:, t]) @ (w / 40)
+            assert np.allclose(s, np.sort(full)[::-1][:index.k].clip(max=1.0)) and np.allclose(full[d].clip(max=1.0), s)
+
+
 def test_lm_score_brute_force(spark, docs):
     vocab, net = lm_score.fit(docs, size=50, one_in=2, rounds=2)
     got = lm_score.score(docs, vocab, net).collect()
