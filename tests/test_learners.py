@@ -133,6 +133,32 @@ def _best_primal(z, y, c, eps, steps=60000):
     return best
 
 
+def test_svr_adds_up_the_next_gradients_in_the_same_pass(spark, monkeypatch):
+    """With one problem a width that takes one whole step is one pass, and the
+    weights are those of separate passes."""
+    r = np.random.default_rng(4)
+    rows = [(float(i), float(r.normal()), float(r.normal())) for i in r.uniform(-2, 2, 300)]
+    df = spark.createDataFrame(rows, "a double, b double, e double").selectExpr("array(a, b) x", "2 * a - b + e y", "0 fold").repartition(3).persist()
+    conf = {"mean": [0.0, 0.0], "gamma": 0.5, "dim": 12, "seed": 1}
+    passes, summed, line = [], kernel.summed, kernel._line
+    monkeypatch.setattr(kernel, "summed", lambda *a: passes.append(a[2]) or summed(*a))
+    w = kernel.solve(df, conf, [(0.0, -1)], len(rows), 1.0, 0.1, 4.0)
+    merged = list(passes)
+
+    def apart(*a):
+        make, size = line(*a[:6])
+        more = kernel._derivatives(a[0], a[1] + a[2], a[3], a[4], a[6]) if a[6] else None
+        if more is None:
+            return make, size
+        return (lambda b: (lambda b: np.concatenate([make(b), more[0](b)]))(list(b))), size + more[1]
+
+    own = 13 + 13 * 13 + 1  # sums of a pass for gradients only
+    assert merged.count(own) < len(merged) / 2
+    monkeypatch.setattr(kernel, "_line", apart)
+    assert np.allclose(kernel.solve(df, conf, [(0.0, -1)], len(rows), 1.0, 0.1, 4.0), w, rtol=1e-12)
+    df.unpersist()
+
+
 def test_svr_reaches_the_optimum(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 2))
