@@ -345,3 +345,23 @@ def test_regression_noise_scores_each_row_once(spark):
     made = seen.value
     assert made == 300
     assert 0 < review.count() <= 30 and seen.value == made
+
+
+def test_a_failed_auc_is_no_result(spark, monkeypatch):
+    """An error in the ROC-AUC ends the comparison; one class among the test
+    rows leaves it without a value."""
+    from tessera.operators import evaluate, train
+    rows = [(k, float(k % 10 + 3 * (k % c)), str(k % c), c) for c in (2, 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, y string, c int")
+    for c, name in ((2, "roc_auc"), (3, "roc_auc_ovr")):
+        part = df.where(F.col("c") == c)
+        res, _best, _fitted = train.train_classification(part, part.where("y = '1'"), "y", ["a"], ["naive_bayes"])
+        assert res.first()["roc_auc"] is None
+        assert train.train_classification(part, part, "y", ["a"], ["naive_bayes"])[0].first()["roc_auc"] > 0.5
+
+        def broken(*args, **kwargs):
+            raise RuntimeError("broken")
+
+        monkeypatch.setattr(evaluate, name, broken)
+        with pytest.raises(RuntimeError, match="broken"):
+            train.train_classification(part, part, "y", ["a"], ["naive_bayes"])
