@@ -365,3 +365,25 @@ def test_a_failed_auc_is_no_result(spark, monkeypatch):
         monkeypatch.setattr(evaluate, name, broken)
         with pytest.raises(RuntimeError, match="broken"):
             train.train_classification(part, part, "y", ["a"], ["naive_bayes"])
+
+
+def test_mixed_automl_gives_the_saved_winners_predictions(spark, tmp_path, monkeypatch):
+    """One row per model, then one per test row, scored by the model read
+    back: their share of hits is the winner's accuracy."""
+    from tessera.catalog import QUERIES
+    from tessera.operators import automl
+    from tessera.operators.split import split
+    monkeypatch.setattr(automl, "recommend_models", lambda profile: [("logistic_regression", 1)])
+    docs = [(k, ["en", "de", "fr"][k % 3], f"src{k % 4}", 100 + k * 37 % 211) for k in range(240)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k * 37 % 211 > 90 + k % 50), k % 2) for k in range(0, 240, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["aml1_automl_mixed"](spark, str(tmp_path)).collect()
+    results, told = [r for r in rows if r["doc_id"] is None], [r for r in rows if r["doc_id"] is not None]
+    assert [(r["model"], r["saved_stages"]) for r in results] == [("logistic_regression", 2)]
+    _, test = split(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", 0.25)
+    assert {(r["doc_id"], r["actual"]) for r in told} == {(r["doc_id"], r["quality"]) for r in test.collect()} and told
+    assert len(told) == test.count() and {r["model"] for r in told} == {"logistic_regression"}
+    hits = sum(r["predicted_class"] == str(r["actual"]) for r in told)
+    assert abs(hits / len(told) - results[0]["accuracy"]) < 1e-6
+    assert all(50 <= r["probability_pct"] <= 100 for r in told)
