@@ -387,3 +387,23 @@ def test_mixed_automl_gives_the_saved_winners_predictions(spark, tmp_path, monke
     hits = sum(r["predicted_class"] == str(r["actual"]) for r in told)
     assert abs(hits / len(told) - results[0]["accuracy"]) < 1e-6
     assert all(50 <= r["probability_pct"] <= 100 for r in told)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_larger_nodes_are_split_in_a_task_as_by_passes(spark, monkeypatch, classes):
+    """Nodes of up to eight times local_rows take no pass over the table, and
+    the trees are those of passes."""
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(700, 3)), 2)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    y = rng.integers(0, 3, 700) if classes else np.nan_to_num(x[:, 0]) * 3 + rng.normal(size=700)
+    df, _ = _data(spark, x, y)
+    got, passes, splits = [], [], forest._splits
+    monkeypatch.setattr(forest, "_splits", lambda *a: passes.append(1) or splits(*a))
+    for nodes in (1, 8):
+        monkeypatch.setattr(forest, "TASK_NODES", nodes)
+        model = forest.Forest({"classes": classes, "trees": 3, "local_rows": 100}).fit(df)
+        got.append((len(passes), _scored(model, df, "prediction")["prediction"].to_numpy(), model.featureImportances.toArray(), model.depth))
+    assert got[0][0] > 3 and got[1][0] == got[0][0]
+    assert np.allclose(got[0][1], got[1][1]) and got[0][3] == got[1][3]
+    assert np.allclose(got[0][2], got[1][2], atol=0.01)       # gains of passes count rows, those of tasks drawn rows
